@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +54,41 @@ def batches(texts: list, size: int = BATCH_CHARS):
 
 def arrow_table(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+#: Columns of a row that carries one stretch of a summed array.
+STRETCH = 64
+
+
+def summed(source: DataFrame, size: int, add) -> np.ndarray:
+    """The sum over all rows of arrays of ``size`` numbers that ``add(batch, total)`` adds up within a task.
+
+    Each task gives its non-zero stretches of STRETCH numbers; Spark sums them by stretch with partial
+    aggregation, so a task holds one array and the driver gets one array, whatever the input.
+    """
+    names = [f"v{i}" for i in range(STRETCH)]
+
+    def count(rows):
+        total = np.zeros(size, np.float64)
+        for batch in rows:
+            add(batch, total)
+        table = total.reshape(-1, STRETCH)
+        at = np.flatnonzero(table.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array(table[at, i], pa.float64()) for i in range(STRETCH)]], names=["at", *names])
+
+    counted = source.mapInArrow(count, "at bigint, " + ", ".join(f"{n} double" for n in names))
+    out = np.zeros((size // STRETCH, STRETCH))
+    for r in counted.groupBy("at").agg(*[F.sum(n).alias(n) for n in names]).collect():
+        out[r[0]] = r[1:]
+    return out.reshape(-1)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int, outside: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, label, text) of at most ``most`` labelled rows, by a hash of the id.
+
+    Rows whose fold is ``held`` stay out if ``outside``. An id with several labels takes the largest.
+    """
+    fold = remainder(id_col, modulus)
+    rows = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ((fold != held) if outside else (fold == held)))
+    ids = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "label", "text")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.llm.common import documents
+from strandlight.llm import language_id
+from strandlight.llm.common import documents, labels, remainder
 from strandlight.llm.secret_scan import BASE_KINDS, scan_secrets
 
 
@@ -22,5 +23,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = remainder("doc_id", 5)
+    found = language_id.identify(docs, language_id.fit(docs, fold != 0))
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id}
 ORACLE_SQL: dict[str, str] = {}
