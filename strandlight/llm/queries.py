@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlight.llm import language_id
 from strandlight.llm import quality_rules
+from strandlight.llm import quality_classifier
 from strandlight.llm.common import documents, labels, remainder
 from strandlight.llm.secret_scan import BASE_KINDS, scan_secrets
 
@@ -36,5 +37,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.references(docs))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules}
+def scored(found: DataFrame, fold, *more: str) -> DataFrame:
+    return found.select("doc_id", fold.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"), *more)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_classifier.fit(docs, labels(spark, sf_dir))
+    return scored(quality_classifier.score(docs, model), remainder("doc_id", 5) == 0)
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier}
 ORACLE_SQL: dict[str, str] = {}
