@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlight.llm import language_id
 from strandlight.llm import quality_rules
 from strandlight.llm import quality_classifier
+from strandlight.llm import toxicity
 from strandlight.llm.common import documents, labels, remainder
 from strandlight.llm.secret_scan import BASE_KINDS, scan_secrets
 
@@ -47,5 +48,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(quality_classifier.score(docs, model), remainder("doc_id", 5) == 0)
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, labels(spark, sf_dir))
+    return scored(toxicity.score(docs, model), remainder("doc_id", 4) == 2, "passages")
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_toxicity": op8_toxicity}
 ORACLE_SQL: dict[str, str] = {}
