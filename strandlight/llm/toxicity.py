@@ -1,8 +1,9 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Token log-odds between toxic and other labelled rows take an informative Dirichlet prior from the counts
-of all documents; odds that could be chance count as none, and every token pays a small toll so that
-neutral text scores below zero. A linear scan (all maximal scoring subsequences) finds every passage in
+Log-odds between toxic and other labelled rows take an informative Dirichlet prior from the counts of all
+documents. They are kept for words and for the beginnings of words, so that a compound not seen before
+has the odds of its stem; a token takes the most certain of its odds. Odds that could be chance count as
+none, and every token pays a small toll so that neutral text scores below zero. A linear scan (all maximal scoring subsequences) finds every passage in
 a text. A passage's significance follows the extreme-value law for the best of as many starts as the
 text has tokens; the sum over significant passages, calibrated by logistic regression, is the
 probability that the text is toxic.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,32 +31,68 @@ from strandlight.llm.common import WORD, labelled, summed
 SLOTS = 1 << 18
 #: The log-odds come from at most this many labelled rows.
 MAX_LABELLED = 20_000
-PRIOR_WEIGHT, LEAST_Z, TOLL, CLIP = 2000.0, 3.0, 0.15, 8.0
+PRIOR_WEIGHT, LEAST_Z, TOLL, CLIP = 500.0, 4.0, 0.04, 8.0
+#: Lengths of the beginnings of words; distinct words whose weight a task keeps.
+STEMS, CACHED = range(3, 9), 200_000
 _WORD = re.compile(WORD)
-_EDGES = b".,;:!?\"'()[]{}*#$%&|-_"
+_EDGES = ".,;:!?\"'()[]{}*#$%&|-_"
 
 
 @dataclass
 class ToxicityModel:
-    weights: np.ndarray
+    odds: np.ndarray
+    z: np.ndarray
     decay: float
     level: float
     slope: float
     intercept: float
 
 
-def tokens(text: str | None) -> np.ndarray:
-    words = [w.strip(_EDGES) for w in text.lower().encode("utf-8", "surrogatepass").split()] if text else []
-    return (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) & np.uint32(SLOTS - 1)).astype(np.int64)
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words of the whole text, one for each word of the contract, without edge punctuation."""
+    return [w.strip(_EDGES) for w in _WORD.findall(text.lower())] if text else []
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Weight of each slot's tokens: Dirichlet-smoothed log-odds where they are certain, less the toll."""
+def features(word: str) -> list[int]:
+    """Slots of a word and of its beginnings."""
+    parts = [word, *[f"{word[:n]}^" for n in STEMS if n < len(word)]]
+    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & (SLOTS - 1) for p in parts]
+
+
+def tally(words: Counter, total: np.ndarray, offset: int = 0) -> None:
+    """Adds the counts of the words' features to ``total``."""
+    for word, n in words.items():
+        for slot in features(word):
+            total[offset + slot] += n
+    words.clear()
+
+
+def log_odds(toxic: np.ndarray, other: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dirichlet-smoothed log-odds of each slot, 0 where they are not certain, and their z-scores."""
     alpha = (prior + toxic + other + 0.01) / (prior + toxic + other + 0.01).sum() * PRIOR_WEIGHT
     a, b = toxic + alpha, other + alpha
     odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
     z = odds / np.sqrt(1 / a + 1 / b)
-    return np.clip(np.where(np.abs(z) >= LEAST_Z, odds, 0), -CLIP, CLIP) - TOLL
+    sure = np.abs(z) >= LEAST_Z
+    return np.where(sure, np.clip(odds, -1, CLIP), 0), np.where(sure, z, 0)
+
+
+class Weights(dict):
+    """Weight of a word: its most certain log-odds, less the toll."""
+
+    def __init__(self, odds: np.ndarray, z: np.ndarray):
+        self.odds, self.z = odds, z
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > CACHED:
+            self.clear()
+        slot = max(features(word), key=lambda s: abs(self.z[s]))
+        self[word] = out = float(self.odds[slot]) - TOLL
+        return out
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
 
 def maximal_segments(w: np.ndarray) -> list[tuple[int, int, float]]:
@@ -80,59 +118,54 @@ def maximal_segments(w: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - x)) for a, b, x, r, _ in held]
 
 
-def decay_rate(w: np.ndarray, share: np.ndarray) -> float:
-    """The positive root x of sum(share * exp(x * w)) = 1."""
-    low, high = 1e-6, 1.0
-    value = lambda x: float(share @ np.exp(x * w))
-    if value(high) < 1:
-        return high
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if value(mid) < 1 else (low, mid)
-    return max(low, 1e-3)
-
-
 def strength(segments: list[tuple[int, int, float]], n: int, decay: float, level: float) -> float:
     """Sum of the significances of the passages that chance would give less than once in ``n`` tokens."""
     return sum(max(0.0, decay * s - np.log(max(n, 1)) - level) for _, _, s in segments)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
-    def tally(batch: pa.RecordBatch, total: np.ndarray) -> None:
+    # texts that hold a word count once each: a text that repeats itself says no more than another
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        words: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            at = tokens(text)
-            np.add.at(total, at, 1.0)
-
-    prior = summed(docs.select(F.col(text_col).alias("text")), SLOTS, tally)
-    sample = labelled(docs, labels, label, modulus, held, MAX_LABELLED, True, id_col, text_col).select("label", "text")
+            words.update(set(words_of(text)))
+            if len(words) > CACHED:
+                tally(words, total)
+        tally(words, total)
 
     def by_label(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        words: dict[bool, Counter] = {False: Counter(), True: Counter()}
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            np.add.at(total, tokens(text) + SLOTS * int(y == 1), 1.0)
+            words[y == 1].update(set(words_of(text)))
+        for toxic, counts in words.items():
+            tally(counts, total, SLOTS * toxic)
 
+    prior = summed(docs.select(F.col(text_col).alias("text")), SLOTS, count)
+    sample = labelled(docs, labels, label, modulus, held, MAX_LABELLED, True, id_col, text_col).select("label", "text")
     both = summed(sample, 2 * SLOTS, by_label)
     other, toxic = both[:SLOTS], both[SLOTS:]
     if not toxic.any() or not other.any():
         return None
-    weights = log_odds(toxic, other, prior).astype(np.float64)
-    decay = decay_rate(weights, other / other.sum())
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    odds, z = log_odds(toxic, other, prior)
+    shared = docs.sparkSession.sparkContext.broadcast((odds, z))
 
     def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(*shared.value)
         for batch in rows:
             got = []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = shared.value[tokens(text)]
+                w = weights.of(text)
                 got.append((float(y), len(w), [s for _, _, s in maximal_segments(w)]))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names=["y", "n", "scores"])
 
     got = sample.mapInArrow(measure, "y double, n bigint, scores array<double>").collect()
     got.sort(key=lambda r: (r["y"], r["n"], r["scores"]))
+    decay = 1.0  # log-odds are in natural units, in which the law of the best segment decays by 1
     best = np.array([decay * max(r["scores"], default=0.0) - np.log(max(r["n"], 1)) for r in got if r["y"] != 1])
     level = gumbel_level(best)
     x = np.log1p([strength([(0, 0, s) for s in r["scores"]], r["n"], decay, level) for r in got])
     slope, intercept = logistic(x, np.array([r["y"] for r in got]))
-    return ToxicityModel(weights, decay, level, slope, intercept)
+    return ToxicityModel(odds, z, decay, level, slope, intercept)
 
 
 def gumbel_level(best: np.ndarray) -> float:
@@ -156,12 +189,13 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        weights = Weights(m.odds, m.z) if m else None
         for batch in rows:
             scores, passages = [], []
             for text in batch.column(1).to_pylist():
                 found, n = [], 0
                 if m and text:
-                    w = m.weights[tokens(text)]
+                    w = weights.of(text)
                     n, found = len(w), maximal_segments(w)
                 sums = strength(found, n, m.decay, m.level) if m else 0.0
                 scores.append(float(1 / (1 + np.exp(-(m.slope * np.log1p(sums) + m.intercept)))) if m else 0.0)
