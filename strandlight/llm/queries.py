@@ -10,6 +10,7 @@ from strandlight.llm import quality_rules
 from strandlight.llm import quality_classifier
 from strandlight.llm import toxicity
 from strandlight.llm import mixing
+from strandlight.llm import packing
 from strandlight.llm.common import documents, labels, remainder
 from strandlight.llm.secret_scan import BASE_KINDS, scan_secrets
 
@@ -59,5 +60,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op3_best_fit_packing": op3_best_fit_packing}
 ORACLE_SQL: dict[str, str] = {}
