@@ -11,6 +11,7 @@ from strandlight.llm import quality_classifier
 from strandlight.llm import toxicity
 from strandlight.llm import mixing
 from strandlight.llm import packing
+from strandlight.llm import line_dedup
 from strandlight.llm.common import documents, labels, remainder
 from strandlight.llm.secret_scan import BASE_KINDS, scan_secrets
 
@@ -64,5 +65,32 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op3_best_fit_packing": op3_best_fit_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_boilerplate(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op10_line_dedup": op10_line_dedup}
+#: The words of the contracts and the lines of at least three of them, for DuckDB's expressions.
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, source, CAST(place AS BIGINT) AS place, line,
+         regexp_matches(line, '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]+') AS long
+  FROM (SELECT doc_id, source, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL)
+),
+spread AS (SELECT line, min(doc_id) AS holder FROM lines WHERE long GROUP BY line HAVING count(DISTINCT source) >= 8),
+marked AS (
+  SELECT l.*, s.holder, row_number() OVER (PARTITION BY l.doc_id, l.line ORDER BY l.place) AS nth
+  FROM lines l LEFT JOIN spread s ON l.line = s.line
+),
+kept AS (SELECT *, holder IS NULL OR (doc_id = holder AND nth = 1) AS stays FROM marked),
+cleaned AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (stays), '') AS text
+  FROM kept GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed, sha256(c.text) AS text_sha256
+FROM documents d LEFT JOIN cleaned c ON d.doc_id = c.doc_id
+""",
+}
