@@ -12,6 +12,7 @@ from strandlight.llm import toxicity
 from strandlight.llm import mixing
 from strandlight.llm import packing
 from strandlight.llm import line_dedup
+from strandlight.llm import fingerprints
 from strandlight.llm.common import documents, labels, remainder
 from strandlight.llm.secret_scan import BASE_KINDS, scan_secrets
 
@@ -70,7 +71,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op10_line_dedup": op10_line_dedup}
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op10_line_dedup": op10_line_dedup, "op2_fingerprints": op2_fingerprints}
 #: The words of the contracts and the lines of at least three of them, for DuckDB's expressions.
 ORACLE_SQL: dict[str, str] = {
     "op10_line_dedup": r"""
