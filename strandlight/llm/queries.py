@@ -13,6 +13,7 @@ from strandlight.llm import mixing
 from strandlight.llm import packing
 from strandlight.llm import line_dedup
 from strandlight.llm import fingerprints
+from strandlight.llm import jaccard_join
 from strandlight.llm.common import documents, labels, remainder
 from strandlight.llm.secret_scan import BASE_KINDS, scan_secrets
 
@@ -75,7 +76,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op10_line_dedup": op10_line_dedup, "op2_fingerprints": op2_fingerprints}
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op10_line_dedup": op10_line_dedup, "op2_fingerprints": op2_fingerprints, "op4_jaccard_join": op4_jaccard_join}
 #: The words of the contracts and the lines of at least three of them, for DuckDB's expressions.
 ORACLE_SQL: dict[str, str] = {
     "op10_line_dedup": r"""
