@@ -1,16 +1,63 @@
-"""Documents to packed training sequences, in stages that each apply one operator of strandlight.llm."""
+"""Documents to packed training sequences, in stages that each apply one operator of strandlight.llm.
+
+Each stage works on all that its predecessor kept and all but the last return the columns of ``documents``.
+Null ids, texts, languages and sources pass through: a null text has no language and leaves in the first stage;
+rows of a null id are never near duplicates; columns besides those of ``documents`` are carried along.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlight.llm import jaccard_join, language_id, line_dedup, mixing, packing
+from strandlight.llm.common import checkpointed, documents, remainder
+
+#: A document whose best language has a smaller score is no language that the model knows.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no text, no letter, or nothing like the languages learned."""
+    model = language_id.fit(docs, remainder("doc_id", 5) != 0)
+    found = language_id.identify(docs, model, keep=docs.columns)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes cross-site boilerplate lines; every document stays, with the lines left to it."""
+    cleaned = line_dedup.remove_boilerplate(docs)
+    chars = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {}
+    return cleaned.withColumns(chars).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each component of near duplicates; of rows that repeat an id, the smallest."""
+    found = jaccard_join.near_duplicates(docs)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    own = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return own.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, one row a copy."""
+    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").cast("int").alias("__copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (mixing.size_of("text") == F.col("__size"))
+    return docs.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the documents' token pieces in sequences."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
-#: No stage that learns or tokenises can be said in SQL; tests/llm holds brute-force versions.
+STAGES = [("language_id", language), ("line_dedup", lines), ("jaccard_join", near_duplicates), ("mixing", mixed), ("packing", packed)]
+#: The first stage learns and the last tokenises, which SQL can't express; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
