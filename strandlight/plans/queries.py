@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.functions import cigar as C
-from strandlight.operators import dedup, filters, pairing, pileup, rescue, seeds, sorting, stats
+from strandlight.operators import calls, dedup, filters, pairing, pileup, rescue, seeds, sorting, stats
 from strandlight.plans.fixtures import aln, refs, special_refs
 from strandlight.sources import sam
 
@@ -240,6 +240,21 @@ def gap_masked_consensus(spark, sf_dir):
     return pileup.consensus_text(pileup.all_bases(reads, refs(spark, sf_dir)), refs(spark, sf_dir), gaps=gaps)
 
 
+@query
+def consensus_call(spark, sf_dir):
+    return calls.consensus(masked(spark, sf_dir))
+
+
+@query
+def nm_md(spark, sf_dir):
+    return calls.mismatch_strings(aln(spark, sf_dir), refs(spark, sf_dir))
+
+
+@query
+def variant_filter(spark, sf_dir):
+    return calls.filtered_variants(calls.variant_sites(masked(spark, sf_dir), refs(spark, sf_dir)))
+
+
 @query
 def coord_sort_rank(spark, sf_dir):
     return sorting.ranked(aln(spark, sf_dir).select("qname", "m", "tid", "pos", "rec_no"), sorting.coordinate_order())
