@@ -25,7 +25,7 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Sequences of FASTA files, each read whole."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("lines"))
     return parsed(files.select("path", F.posexplode("lines").alias("line", "value")))
 
 
