@@ -22,8 +22,8 @@ PHRED = 4.343
 GENOTYPES = [(i, j) for i in range(4) for j in range(i, 4)]
 
 
-def consensus(aln: DataFrame) -> DataFrame:
-    """(tid, pos, cons, cons_q, second, rms_q, depth): best genotype, its lead over the next, root mean square mapping quality.
+def evidence(aln: DataFrame) -> DataFrame:
+    """(tid, pos, e0-e3, c0-c3, rms_q, depth): summed weights and counts of the four bases at each site.
 
     A base weighs its quality, capped by its read's; each further one of the same strand and base at a site weighs less.
     """
@@ -38,8 +38,22 @@ def consensus(aln: DataFrame) -> DataFrame:
     part = F.round((F.pow(F.lit(THETA), F.col("rank")) * (1 - ETA) + ETA) * F.col("q") * UNIT).cast("bigint")
     sums = [F.coalesce(F.sum(F.when((F.col("code") == b) & F.col("rank").isNotNull(), part)), F.lit(0)).alias(f"e{b}") for b in range(4)]
     counts = [F.count_if((F.col("code") == b) & F.col("rank").isNotNull()).alias(f"c{b}") for b in range(4)]
-    site = at.groupBy("tid", "pos").agg(*sums, *counts, rms(F.col("mapq"), CAP).alias("rms_q"), F.count(F.lit(1)).alias("depth"))
-    return site.select("tid", "pos", *_called(), "rms_q", "depth")
+    return at.groupBy("tid", "pos").agg(*sums, *counts, rms(F.col("mapq"), CAP).alias("rms_q"), F.count(F.lit(1)).alias("depth"))
+
+
+def consensus(aln: DataFrame) -> DataFrame:
+    """(tid, pos, cons, cons_q, second, rms_q, depth): best genotype, its lead over the next, root mean square mapping quality."""
+    return evidence(aln).select("tid", "pos", *_called(), "rms_q", "depth")
+
+
+def likelihood_records(aln: DataFrame) -> DataFrame:
+    """(tid, pos, offset, depth, rms_q, min_lk, lk): the ten genotypes' scaled likelihoods of each site, and how far it lies from the one before."""
+    raw = likelihoods()
+    least = F.least(*raw)
+    whole = lambda x: F.least(F.lit(255), F.floor((x + UNIT // 2) / UNIT)).cast("bigint")
+    before = F.lag("pos").over(Window.partitionBy("tid").orderBy("pos"))
+    found = evidence(aln).withColumn("offset", F.col("pos") - F.coalesce(before, F.lit(0)))
+    return found.select("tid", "pos", "offset", "depth", "rms_q", whole(least).alias("min_lk"), F.array(*[whole(x - least) for x in raw]).alias("lk"))
 
 
 def likelihoods() -> list[Column]:

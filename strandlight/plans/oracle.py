@@ -232,9 +232,13 @@ FROM aln a JOIN run2 b ON a.rec_no = b.rec_no WHERE (a.flag & 4) = 0 GROUP BY AL
 _GT = [(i, j) for i in range(4) for j in range(i, 4)]
 _LK = [" + ".join([f"e{b}" for b in range(4) if b not in (i, j)] + ([f"(c{i} + c{j}) * 3010338"] if i != j else [])) for i, j in _GT]
 _CALL = ", ".join(f"struct_pack(v := CAST(least(255, ({x} - low + 500000) // 1000000) + {0 if i == j else 27} AS BIGINT), g := {4 * i + j}, bits := {(1 << i) | (1 << j)})" for x, (i, j) in zip(_LK, _GT, strict=True))
-_add("consensus_call", f"""SELECT tid, pos, substring('NACMGRSVTWYHKDBN', b[1].bits + 1, 1) AS cons, least(b[2].v - b[1].v, 255) AS cons_q, substring('NACMGRSVTWYHKDBN', b[2].bits + 1, 1) AS second, rms_q, depth FROM (
-  SELECT tid, pos, rms_q, depth, list_sort([{_CALL}]) AS b FROM (SELECT *, least({", ".join(_LK)}) AS low FROM (
+_EVIDENCE = f"""
     SELECT tid, pos, {", ".join(f"CAST(coalesce(sum(part) FILTER (code = {b}), 0) AS BIGINT) AS e{b}, count(part) FILTER (code = {b}) AS c{b}" for b in range(4))},
            CAST(floor(sqrt(CAST(sum(least(mapq, 60) * least(mapq, 60)) AS DOUBLE) / count(*)) + 0.499) AS BIGINT) AS rms_q, count(*) AS depth
     FROM (SELECT *, CASE WHEN q > 0 AND code >= 0 THEN CAST(round((pow(0.85, least(row_number() OVER (PARTITION BY tid, pos, code, reverse ORDER BY q DESC, baseq DESC, mapq DESC, rec_no) - 1, 255)) * (1 - 0.03) + 0.03) * q * 1000000) AS BIGINT) END AS part
-      FROM (SELECT *, instr('ACGT', upper(base)) - 1 AS code, CASE WHEN least(baseq, mapq) < 4 AND baseq <> 0 THEN 4 ELSE least(baseq, mapq) END AS q FROM elem WHERE NOT deleted)) GROUP BY tid, pos)))""", "elem")
+      FROM (SELECT *, instr('ACGT', upper(base)) - 1 AS code, CASE WHEN least(baseq, mapq) < 4 AND baseq <> 0 THEN 4 ELSE least(baseq, mapq) END AS q FROM elem WHERE NOT deleted)) GROUP BY tid, pos"""
+_add("consensus_call", f"""SELECT tid, pos, substring('NACMGRSVTWYHKDBN', b[1].bits + 1, 1) AS cons, least(b[2].v - b[1].v, 255) AS cons_q, substring('NACMGRSVTWYHKDBN', b[2].bits + 1, 1) AS second, rms_q, depth
+FROM (SELECT tid, pos, rms_q, depth, list_sort([{_CALL}]) AS b FROM (SELECT *, least({", ".join(_LK)}) AS low FROM ({_EVIDENCE})))""", "elem")
+
+_add("likelihood_records", f"""SELECT tid, pos, pos - coalesce(lag(pos) OVER (PARTITION BY tid ORDER BY pos), 0) AS "offset", depth, rms_q, CAST(least(255, (low + 500000) // 1000000) AS BIGINT) AS min_lk,
+  concat_ws(',', {", ".join(f"CAST(least(255, ({x} - low + 500000) // 1000000) AS BIGINT)" for x in _LK)}) AS lk FROM (SELECT *, least({", ".join(_LK)}) AS low FROM ({_EVIDENCE}))""", "elem")

@@ -245,6 +245,12 @@ def consensus_call(spark, sf_dir):
     return calls.consensus(masked(spark, sf_dir))
 
 
+@query
+def likelihood_records(spark, sf_dir):
+    found = calls.likelihood_records(masked(spark, sf_dir))
+    return found.select("tid", "pos", "offset", "depth", "rms_q", "min_lk", F.array_join("lk", ",").alias("lk"))
+
+
 @query
 def nm_md(spark, sf_dir):
     return calls.mismatch_strings(aln(spark, sf_dir), refs(spark, sf_dir))
@@ -357,7 +363,7 @@ def search_window(spark, sf_dir):
 
 @query
 def best_event(spark, sf_dir):
-    """Arg-max with the later one of equals first, over the ranked sums of each read group's parts by weekday-like classes."""
+    """The mate of greatest mapping quality of each pair, the later one of equals: the rule by which events are chosen."""
     reads = aln(spark, sf_dir).groupBy("pair_id", "m").agg(F.sum("mapq").alias("covered"))
     return reads.groupBy("pair_id").agg(F.max(F.struct("covered", "m")).alias("b")).select("pair_id", F.col("b.m").alias("m"), F.col("b.covered").alias("covered"))
 
