@@ -7,8 +7,8 @@ more. The join is exact and works on set relations:
 2. Shingles are put in one global order, rare ones first. Two linked sets share a shingle among the first
    ``n - ceil(0.8 n) + 1`` of each in that order, so only those prefixes are indexed. Frequency comes from a table of
    hashed counters of fixed size over all texts; a poor estimate costs time, never a link.
-3. Highly similar sets first: sets that share one of their very first shingles are compared with one representative of
-   that shingle's list, which joins most groups of near copies by as many comparisons as they have members.
+3. Highly similar sets first: sets that share one of their smallest hashes are compared with a few representatives of
+   that hash's list, which joins nearly all groups of near copies by comparisons linear in their members.
 4. For the rest of the index the answers of sets already in one component follow from that, so lists within one
    component are skipped whole. Other lists, ordered by set size, are passed in blocks: a set meets only the
    stretch of sizes that can reach the overlap, and of it only sets from another component whose position
@@ -26,43 +26,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlight.llm.common import checkpointed, summed
+from strandlight.llm.common import batches, checkpointed, summed
 
 WORDS = 5
 #: Least similarity, in percent.
 PERCENT = 80
 #: Counters of hashed shingles; deviations above the median count from which a shingle counts as frequent.
-COUNTERS, DEVIATIONS = 1 << 18, 6
-#: First shingles of a set that look for near copies.
-FIRST = 6
+COUNTERS, DEVIATIONS = 1 << 20, 5
+#: Smallest hashes of a set that look for near copies, and representatives of each one's list.
+FIRST, LEADERS = 6, 3
+#: Turns of such comparisons, each with other representatives and only between groups; the index finds all links left.
+TURNS = 3
+#: Sets whose ids and groups a task may hold (16 bytes each); beyond, they are joined by a shuffle.
+SETS_IN_MEMORY = 1_000_000
 #: Bits of the table that tells a pass over the texts which sets are wanted.
 WANTED_BITS = 1 << 23
+#: Slots of the marks by which pairs that can't be similar drop out before their sets are fetched.
+SLOT_BITS = 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    import xxhash
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STEP, _BACK = np.uint64(0x100000001B3), np.uint64(pow(0x100000001B3, -1, 1 << 64))
 
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the set of ``text``."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    size = min(WORDS, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def combined(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words."""
+    h = np.full(max(0, len(words) - size + 1), size, np.uint64)
     for k in range(size):
-        h = h * _BASE + w[k : len(w) - size + 1 + k]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    return np.unique(h)
+        h = h * _BASE + words[k : len(words) - size + 1 + k]
+    return mixed(h)
+
+
+def raw_shingles(texts: list[str | None]) -> list[np.ndarray]:
+    """64-bit hashes of each text's shingles, repeats included.
+
+    All texts' words are hashed together: a word is the difference of two running sums of bytes times powers of an odd
+    number, taken back to the first power.
+    """
+    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)
+    space = _SPACE[data]
+    first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    last = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_STEP, len(data)), out=sums[1:])
+    words = mixed((sums[last] - sums[first]) * powers(_BACK, len(data))[first])
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    bounds = np.concatenate([[0], np.searchsorted(first, ends, side="right")])
+    runs = combined(words, WORDS)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        out.append(runs[a : b - WORDS + 1] if b - a >= WORDS else combined(words[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+    return out
+
+
+def all_raw(texts: list[str | None]) -> Iterator[np.ndarray]:
+    for a, b in batches(texts):
+        yield from raw_shingles(texts[a:b])
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the set of one text."""
+    return np.unique(raw_shingles([text])[0])
 
 
 def prefix_length(n: int) -> int:
@@ -77,8 +118,8 @@ def frequency_classes(source: DataFrame) -> np.ndarray:
     """Class of each counter: 0 if its count is usual, else 1 + log2 of what it has above the median."""
 
     def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        for text in batch.column(0).to_pylist():
-            np.add.at(total, counter_of(shingles(text)), 1)
+        for h in all_raw(batch.column(0).to_pylist()):
+            np.add.at(total, counter_of(h), 1)
 
     counts = summed(source.select("text"), COUNTERS, add)
     median = np.median(counts)
@@ -86,46 +127,63 @@ def frequency_classes(source: DataFrame) -> np.ndarray:
     return np.where(above > DEVIATIONS * np.sqrt(median + 1), 1 + np.log2(np.maximum(above, 1)).astype(np.int64), 0).astype(np.uint8)
 
 
-def indexed(source: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(id, n, sig_a, sig_b, prefix): size, signature and first shingles in the global order of each text's set."""
-    shared = source.sparkSession.sparkContext.broadcast(classes)
+def indexed(source: DataFrame) -> DataFrame:
+    """(id, n, sig_a, sig_b, firsts): size, signature and smallest hashes of each text's set."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.astype(np.uint64)
         for batch in rows:
-            n, first, second, prefix = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingles(text)
-                order = np.sort((known[counter_of(h)] << np.uint64(58)) | (h >> np.uint64(6)))
+            n, first, second, firsts = [], [], [], []
+            for h in map(np.unique, all_raw(batch.column(1).to_pylist())):
                 n.append(len(h))
                 first.append(int(np.add.reduce(h * h, dtype=np.uint64).view(np.int64)))
                 second.append(int(np.add.reduce((h ^ (h >> np.uint64(32))) * _BASE, dtype=np.uint64).view(np.int64)))
-                prefix.append(order[: prefix_length(len(h))].view(np.int64))
-            flat = np.concatenate([np.zeros(0, np.int64), *prefix])
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "n", "sig_a", "sig_b", "prefix"])
+                firsts.append(h[:FIRST].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists_of(firsts)], names=["id", "n", "sig_a", "sig_b", "firsts"])
+
+    return source.mapInArrow(run, "id bigint, n bigint, sig_a bigint, sig_b bigint, firsts array<bigint>")
+
+
+def in_order(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The shingles as 64-bit numbers whose order is the global one: frequency class, then hash."""
+    return np.sort((classes[counter_of(h)] << np.uint64(58)) | (h >> np.uint64(6))).view(np.int64)
+
 
-    return source.mapInArrow(run, "id bigint, n bigint, sig_a bigint, sig_b bigint, prefix array<bigint>")
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def prefixes(source: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(id, n, prefix): the indexed shingles of each text's set."""
+    shared = source.sparkSession.sparkContext.broadcast(classes)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.astype(np.uint64)
+        for batch in rows:
+            sets = list(map(np.unique, all_raw(batch.column(1).to_pylist())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int32()), lists_of([in_order(h, known)[: prefix_length(len(h))] for h in sets])], names=["id", "n", "prefix"])
+
+    return source.mapInArrow(run, "id bigint, n int, prefix array<bigint>")
 
 
 def wanted_slot(ids: np.ndarray) -> np.ndarray:
     return ((ids.astype(np.int64).view(np.uint64) * _BASE) >> np.uint64(64 - WANTED_BITS.bit_length() + 1)).astype(np.int64)
 
 
-def sets_of(source: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the texts whose id is in ``ids``, by one pass that shuffles no text.
+def sets_of(source: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
+    """(id, n, bits) or, if ``whole``, (id, shingles) of the texts whose id is in ``ids``, by one pass that shuffles no text.
 
     A table of WANTED_BITS bits of hashed ids goes to the tasks; the few rows that share a bit with a wanted
-    one drop out in the joins that follow.
+    one drop out in the joins that follow. ``bits`` marks the slots of a set's shingles.
     """
 
-    def bits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             slot = wanted_slot(batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(np.left_shift(np.int64(1), slot & 63))], names=["word", "bit"])
 
     table = np.zeros(WANTED_BITS // 64, np.int64)
-    for r in ids.mapInArrow(bits, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).collect():
+    for r in ids.mapInArrow(marks, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).collect():
         table[r["word"]] = r["bit"]
     shared = source.sparkSession.sparkContext.broadcast(table)
 
@@ -134,28 +192,51 @@ def sets_of(source: DataFrame, ids: DataFrame) -> DataFrame:
             batch = batch.filter(pa.compute.is_valid(batch.column(0)))
             slot = wanted_slot(batch.column(0).to_numpy())
             batch = batch.filter(pa.array((shared.value[slot >> 6] >> (slot & 63)) & 1 == 1))
-            sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            flat = np.concatenate([np.zeros(0, np.int64), *sets])
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "shingles"])
+            sets = list(map(np.unique, all_raw(batch.column(1).to_pylist())))
+            if whole:
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists_of([h.view(np.int64) for h in sets])], names=["id", "shingles"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), lists_of([slot_bits(h) for h in sets])], names=["id", "n", "bits"])
 
-    return source.mapInArrow(run, "id bigint, shingles array<bigint>")
+    return source.mapInArrow(run, "id bigint, shingles array<bigint>" if whole else "id bigint, n bigint, bits array<bigint>")
+
+
+def slot_bits(h: np.ndarray) -> np.ndarray:
+    marked = np.zeros(SLOT_BITS, np.uint8)
+    marked[(h & np.uint64(SLOT_BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(marked).view(np.int64)
+
+
+def possible(source: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that may be similar by their slots: each slot that only one set marks holds a shingle the other lacks."""
+    sets = checkpointed(sets_of(source, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), False))
+    a, b = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    need = F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / (100 + PERCENT))
+
+    def only(x: str, y: str) -> Column:
+        lone = F.zip_with(f"bits_{x}", f"bits_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(lone, F.lit(0), lambda s, v: s + v)
+
+    return both.where((F.col("n_a") - only("a", "b") >= need) & (F.col("n_b") - only("b", "a") >= need)).select("a", "b")
 
 
 def verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = checkpointed(sets_of(source, ids))
+    pairs = checkpointed(possible(source, pairs))
+    sets = checkpointed(sets_of(source, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), True))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def first_pairs(sets: DataFrame) -> DataFrame:
-    """Each set with the representative of each of its first shingles' lists."""
-    firsts = sets.select("id", "n", F.explode(F.slice("prefix", 1, FIRST)).alias("shingle"))
-    leaders = firsts.groupBy("shingle").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "shingle")).alias("of"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    pairs = firsts.join(leaders, "shingle").where((F.col("id") != F.col("of.id")) & (100 * F.least("n", "of.n") >= PERCENT * F.greatest("n", "of.n")))
+def first_pairs(sets: DataFrame, turn: int) -> DataFrame:
+    """Each set with LEADERS representatives of each of its smallest hashes' lists that lie in another group."""
+    firsts = sets.select("id", "n", "group", F.explode("firsts").alias("shingle"))
+    chosen = [F.min_by(F.struct("id", "n", "group"), F.xxhash64("id", "shingle", F.lit(LEADERS * turn + k))) for k in range(LEADERS)]
+    leaders = firsts.groupBy("shingle").agg(F.array_distinct(F.array(*chosen)).alias("leaders"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("shingle", "leaders")
+    pairs = firsts.join(leaders, "shingle").select("id", "n", "group", F.explode("leaders").alias("of"))
+    pairs = pairs.where((F.col("group") != F.col("of.group")) & (100 * F.least("n", "of.n") >= PERCENT * F.greatest("n", "of.n")))
     return pairs.select(F.least("id", "of.id").alias("a"), F.greatest("id", "of.id").alias("b")).distinct()
 
 
@@ -173,9 +254,15 @@ def list_pairs(n: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.nda
     return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
 
 
-def other_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of sets of different groups that share an indexed shingle and may be similar."""
-    rows = sets.select("id", "n", "group", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "id", F.col("n").cast("int").alias("n"), "at", "group")
+def other_pairs(source: DataFrame, classes: np.ndarray, sets: DataFrame) -> DataFrame:
+    """Pairs of sets of different groups that share an indexed shingle and may be similar.
+
+    ``sets`` (id, group) has one id of each set; up to SETS_IN_MEMORY of them, by count, go to the tasks, more are joined by
+    a shuffle.
+    """
+    small = sets.limit(SETS_IN_MEMORY + 1).count() <= SETS_IN_MEMORY
+    rows = prefixes(source, classes).join(F.broadcast(sets) if small else sets, "id")
+    rows = rows.select("id", "n", "group", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "id", "n", "at", "group")
     rows = rows.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shingle").sortWithinPartitions("shingle", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,16 +328,23 @@ def grouped(sets: DataFrame, groups: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = checkpointed(indexed(source, frequency_classes(source)))
+    classes = frequency_classes(source)
+    rows = checkpointed(indexed(source))
     known = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
     key = ["sig_a", "sig_b", "n"]
-    sets = checkpointed(known.groupBy(*key).agg(F.min(F.struct("id", "prefix")).alias("of")).select(*key, "of.id", "of.prefix"))
-    links = checkpointed(verified(source, checkpointed(first_pairs(sets))))
+    sets = checkpointed(known.groupBy(*key).agg(F.min(F.struct("id", "firsts")).alias("of")).select(*key, "of.id", "of.firsts"))
     # an id with several rows may stand for several sets, which are one document
-    again = known.select("id", "sig_a", "sig_b", "n").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").join(known, "id").join(sets.select(*key, F.col("id").alias("b")), key).select(F.col("id").alias("a"), "b").where("a != b")
-    links = checkpointed(links.unionByName(again))
-    groups = components(links)
-    more = verified(source, checkpointed(other_pairs(grouped(sets.select("id", "n", "prefix"), groups))))
+    several = known.select("id", *key).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("id")
+    again = known.join(several, "id").join(sets.select(*key, F.col("id").alias("b")), key).select(F.col("id").alias("a"), "b").where("a != b")
+    links, groups = checkpointed(again), sets.select("id").distinct().withColumn("group", F.col("id"))
+    for turn in range(TURNS):
+        more = checkpointed(verified(source, checkpointed(first_pairs(sets.join(groups, "id"), turn))))
+        if more.isEmpty():
+            break
+        # a set has one link to its group's smallest id from here on
+        links = components(links.unionByName(more)).select(F.col("id").alias("a"), F.col("group").alias("b"))
+        groups = checkpointed(grouped(sets.select("id").distinct(), links.select(F.col("a").alias("id"), F.col("b").alias("group"))))
+    more = verified(source, checkpointed(other_pairs(source, classes, groups)))
     groups = components(links.unionByName(more))
     of_sets = grouped(sets.select(*key, "id"), groups).select(*key, "group")
     found = rows.select("id", *key).join(of_sets, key, "left")
