@@ -1,19 +1,19 @@
 """Document fingerprints in the manner of I-Match, on DataFrame functions only.
 
-Terms are the distinct lower-case runs of letters and digits of a text. A term may belong to one of
-several random subsets of the lexicon, chosen by its hash; only terms whose inverse document frequency lies in a band
-count. For each subset the sorted terms that a text has of it are hashed together, and the list of these hashes is
-the fingerprint. Two fingerprints are as like as the share of equal hashes among the subsets of which
-either text has a term. Most subsets hold one term in 256 and so outlast a change of part of a text; the
-others hold one in 2048 and serve very long texts.
+Terms are the distinct lower-case runs of letters and digits of a text; only terms whose inverse document
+frequency lies in a band count. The hash of a term puts it in one of 256 subsets of the lexicon, which cover it
+whole, and one term in 128 in one of 16 smaller subsets as well. For each subset the sorted terms that a text has of
+it are hashed together, and the list of these hashes, each with its subset's number, is the fingerprint. Two
+fingerprints are as like as the share of equal hashes among the subsets of which either text has a term. The 256
+hold one term in 256 each and so outlast a change of part of a text; the 16 hold one in 2048 and serve very long texts.
 
 Document frequencies are counted over all texts, in a table of hashed terms of fixed size, so that what tasks
 need to know of the lexicon is a bitmap of ``TERM_SLOTS`` bits whatever the size of the vocabulary.
 
-Defined results: a null text is an empty one; texts without a term in the band have the empty fingerprint, and
-two such are alike (1); equal texts have equal fingerprints; a null id comes after all others; rows of
-equal id follow one another by a hash of their text; a table of one row has itself as next; an empty table
-gives an empty table.
+Defined results: a null text is an empty one; texts without a term in the band have one hash of all their terms
+as fingerprint, texts without any term the empty fingerprint, and two such are alike (1); equal texts have equal
+fingerprints; a null id comes after all others; rows of equal id follow one another by a hash of their text; a table
+of one row has itself as next; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,27 +25,26 @@ from pyspark.sql import functions as F
 
 #: Kept terms have an inverse document frequency, ln(documents / documents with the term), in this band.
 MIN_IDF, MAX_IDF = 1.0, 7.5
-#: (number of subsets, one term in so many belongs to each), the hash bits that choose them.
-SUBSETS = ((64, 256, 0), (16, 2048, 20))
-TERM_SLOTS = 1 << 18
+#: (number of subsets, one term in so many belongs to each, the hash bits that choose them). The first kind takes the
+#: highest bits, all of their values, so that every term has a subset and sorted hashes stand by subset.
+SUBSETS = ((256, 256, 56), (16, 2048, 20))
+#: Number of the subset of all terms, for texts without a term in the band.
+WHOLE = sum(c for c, _, _ in SUBSETS)
+#: Bits of a fingerprint's entry below the number of its subset.
+HASH_BITS = 55
+TERM_SLOTS = 1 << 20
 NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
-def subset(h: Column, place: int) -> Column:
-    """Number of the subset of the kind ``place`` to which a hashed term belongs, null if to none."""
-    count, one_in, shift = SUBSETS[place]
-    slot = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(one_in - 1))
-    return F.when(slot < count, slot + sum(c for c, _, _ in SUBSETS[:place]))
-
-
-def chosen(h: Column) -> Column:
-    return subset(h, 0).isNotNull() | subset(h, 1).isNotNull()
+def choice(h: Column, place: int) -> Column:
+    """Number of the subset of a hashed term within the kind ``place``; beyond its last it belongs to none."""
+    _, one_in, shift = SUBSETS[place]
+    return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(one_in - 1))
 
 
 def terms(text: Column) -> Column:
-    """Sorted hashes of the distinct terms that belong to any subset."""
-    hashes = F.array_distinct(F.transform(F.split(F.lower(text), NOT_TERM), lambda t: F.when(t != "", F.xxhash64(t))))
-    return F.sort_array(F.filter(hashes, lambda h: h.isNotNull() & chosen(h)))
+    """Sorted hashes of the distinct terms."""
+    return F.sort_array(F.array_compact(F.array_distinct(F.transform(F.split(F.lower(text), NOT_TERM), lambda t: F.when(t != "", F.xxhash64(t))))))
 
 
 def slot_of(h: Column) -> Column:
@@ -70,7 +69,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = MIN_IDF, m
 
 
 def with_fingerprint(rows: DataFrame, text_col: str, bits: Column, name: str) -> DataFrame:
-    """``rows`` with column ``name``: the hash of each subset's terms, 0 where the text has none.
+    """``rows`` with column ``name``: of each subset of which the text has terms its number and their hash, as one long.
 
     Each step is a column that the next one uses at least twice, so Spark computes it once for a row and
     not again for each element of the next.
@@ -79,33 +78,42 @@ def with_fingerprint(rows: DataFrame, text_col: str, bits: Column, name: str) ->
         word = F.get(bits, F.shiftright(slot_of(h), 6).cast("int"))
         return F.call_function("getbit", word, slot_of(h).bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    def own(place: int) -> Column:
-        tagged = F.transform("__kept", lambda h: F.struct(h.alias("h"), subset(h, place).alias("subset")))
-        return F.when(F.size("__kept") > 0, F.filter(tagged, lambda x: x["subset"].isNotNull()))
+    def entry(number: Column, hashes: Column) -> Column:
+        return F.shiftleft(number.cast("bigint"), HASH_BITS).bitwiseOR(F.xxhash64(hashes).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    def hashes(place: int) -> Column:
-        first, count = sum(c for c, _, _ in SUBSETS[:place]), SUBSETS[place][0]
+    def begins(i: Column) -> Column:
+        return (i == 0) | (choice(F.get("__kept", i), 0) != choice(F.get("__kept", i - 1), 0))
 
-        def hashed(j: Column) -> Column:
-            mine = F.transform(F.filter(f"__own{place}", lambda x: x["subset"] == j), lambda x: x["h"])
-            return F.when(F.size(mine) > 0, F.hash(mine)).otherwise(0)
+    def run(at: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("__starts", k + 1), F.size("__kept"))
+        return entry(choice(F.get("__kept", at), 0), F.slice("__kept", at + 1, end - at))
 
-        return F.when(F.size(f"__own{place}") > 0, F.transform(F.sequence(F.lit(first), F.lit(first + count - 1)), hashed)).otherwise(F.array_repeat(F.lit(0), count))
+    def own(j: Column) -> Column:
+        return F.filter("__small", lambda h: choice(h, 1) == j)
 
+    first, count = SUBSETS[0][0], SUBSETS[1][0]
+    none = F.array().cast("array<bigint>")
     rows = rows.withColumn("__terms", terms(F.col(text_col)))
-    rows = rows.withColumn("__kept", F.when(F.size("__terms") > 0, F.filter("__terms", in_band)))
-    rows = rows.withColumns({"__own0": own(0), "__own1": own(1)})
-    return rows.withColumn(name, F.concat(hashes(0), hashes(1))).drop("__terms", "__kept", "__own0", "__own1")
+    rows = rows.withColumn("__kept", F.when(F.size("__terms") > 0, F.filter("__terms", in_band)).otherwise(none))
+    rows = rows.withColumns({
+        "__starts": F.when(F.size("__kept") > 0, F.filter(F.sequence(F.lit(0), F.size("__kept") - 1), begins)).otherwise(F.array().cast("array<int>")),
+        "__small": F.when(F.size("__kept") > 0, F.filter("__kept", lambda h: choice(h, 1) < count)).otherwise(none),
+    })
+    small = F.when(F.size("__small") > 0, F.transform(F.array_sort(F.array_distinct(F.transform("__small", lambda h: choice(h, 1)))), lambda j: entry(j + first, own(j)))).otherwise(none)
+    whole = F.when(F.size("__terms") > 0, F.array(entry(F.lit(WHOLE), F.col("__terms")))).otherwise(none)
+    found = F.when(F.size("__kept") > 0, F.concat(F.transform("__starts", run), small)).otherwise(whole)
+    return rows.withColumn(name, found).drop("__terms", "__kept", "__starts", "__small")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != 0)), lambda x: x))
-    either = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), lambda x: x))
+    number = lambda x: F.shiftrightunsigned(x, HASH_BITS)
+    same = F.size(F.array_intersect(a, b))
+    either = F.size(F.array_union(F.transform(a, number), F.transform(b, number)))
     return F.when(either == 0, F.lit(1.0)).otherwise(same / either)
 
 
 def written(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda x: F.when(x == 0, F.lit("")).otherwise(F.lower(F.hex(x)))), ".")
+    return F.array_join(F.transform(fp, lambda x: F.lower(F.hex(x))), ".")
 
 
 def with_next(rows: DataFrame, key: str, carried: list[str], buckets: int) -> DataFrame:

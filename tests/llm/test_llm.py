@@ -359,6 +359,23 @@ def test_fingerprints(docs, odd, none):
     assert fingerprints.edited_fingerprints(none).count() == 0 and fingerprints.edited_fingerprints(odd).count() == odd.count()
 
 
+def test_fingerprints_cover_the_whole_lexicon(spark):
+    """Texts that differ by one term in the band, or have none in it but other terms, differ; only texts without terms are empty."""
+    long = " ".join(f"rare{k}" for k in range(300))
+    texts = [f"term{k} wide" for k in range(120)] + [f"{long} more{k}" for k in range(3)] + ["many few"] * 60 + ["many"] * 60 + [" ?!", ""]
+    df = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = sorted(fingerprints.edited_fingerprints(df).collect(), key=lambda r: r["doc_id"])
+    # more than one text in e has "many", so it is out of the band
+    band = {w for w in {w for t in texts for w in t.split()} if fingerprints.MIN_IDF <= np.log(len(texts) / sum(w in t.split() for t in texts)) <= fingerprints.MAX_IDF}
+    assert "many" not in band and {"term0", "more0"} < band
+    by_print = collections.defaultdict(set)
+    for r, t in zip(got, texts, strict=True):
+        by_print[r["fingerprint"]].add(frozenset(re.findall(r"\w+", t)))
+    assert all(len(v) == 1 for v in by_print.values()) and by_print[""] == {frozenset()}
+    assert all(r["near_next"] == (1 if set(texts[i - 1].split()) == set(texts[i].split()) else 0) for i, r in enumerate(got) if 0 < i < 120 or 125 < i < 243 and i != 183)
+    assert 0.9 < got[121]["near_next"] < 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
