@@ -119,10 +119,10 @@ def mismatches_of(cigar: str, seq: str, ref: str) -> tuple[int, str]:
 FILTERS = "UQdDWGgsiX"
 
 
-def filtered_variants(sites: DataFrame, d: int = 3, D: int = 100, l: int = 30, Q: int = 25, q: int = 10, G: int = 25, s: int = 100, w: int = 10, W: int = 10, N: int = 2) -> DataFrame:  # noqa: E741
+def filtered_variants(sites: DataFrame, d: int = 3, D: int = 100, l: int = 30, Q: int = 25, q: int = 10, G: int = 25, s: int = 100, w: int = 10, W: int = 10, N: int = 2, S: int = 0, i: int = 0) -> DataFrame:  # noqa: E741
     """``sites`` (tid, pos, ref, cons, snp_q, rms_q, depth, allele1, allele2, n1, n2) with ``filter``, U where it passes.
 
-    What holds for a site depends on what held for those before it within the greatest window, so each reference's
+    Gaps whose genotype is ``*/*`` are no variants and are left out. What holds for a site depends on what held for those before it within the greatest window, so each reference's
     sites are passed in order, with no more than that window in hand.
     """
     reach = max(l, w, W)
@@ -142,6 +142,8 @@ def filtered_variants(sites: DataFrame, d: int = 3, D: int = 100, l: int = 30, Q
         gap = row.ref == "*"
         near = lambda x, size: x["pos"] + x["size"] + size >= row.pos
         here = {"tid": row.tid, "pos": row.pos, "ref": row.ref, "cons": row.cons, "size": 0, "score": -1, "flag": 2 if row.depth < d else 3 if row.depth > D else 0}
+        if row.snp_q < (i if gap else S):
+            here["flag"] = 8 if gap else 7
         if here["flag"]:
             return here
         if gap:
@@ -169,16 +171,68 @@ def filtered_variants(sites: DataFrame, d: int = 3, D: int = 100, l: int = 30, Q
             here["flag"] = 5
         return here
 
-    ordered = sites.select("tid", "pos", "ref", "cons", "snp_q", "rms_q", "depth", "allele1", "allele2", "n1", "n2").repartition("tid").sortWithinPartitions("tid", "pos", "ref")
+    ordered = sites.where("cons <> '*/*'").select("tid", "pos", "ref", "cons", "snp_q", "rms_q", "depth", "allele1", "allele2", "n1", "n2").repartition("tid").sortWithinPartitions("tid", "pos", "ref")
     return ordered.mapInPandas(run, "tid long, pos long, ref string, cons string, filter string")
 
 
+#: Defaults of the gap model: quality of an indel in sequencing, dependency of its further lengths, prior of one between haplotypes.
+GAP_QUALITY, GAP_DEPENDENCY, GAP_RATE = 40, 0.9, 0.00015
+
+
+def inserted_text(at: DataFrame) -> DataFrame:
+    """(tid, pos, indel, text): for each length inserted after a position the commonest base of each place, N where none is known."""
+    bases = at.where("indel > 0").select("tid", "pos", "indel", F.posexplode(F.split(F.upper("inserted"), "")).alias("k", "base")).where("base <> ''")
+    code = F.array_position(F.array(*map(F.lit, "ACGT")), F.col("base"))
+    counted = bases.groupBy("tid", "pos", "indel", "k", code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("tid", "pos", "indel", "k").agg(F.max(F.when(F.col("code") > 0, F.struct("n", -F.col("code")))).alias("b"))
+    letter = F.when(F.col("b").isNull(), "N").otherwise(F.substring(F.lit("TGCA"), (F.col("b.col2") + 5).cast("int"), F.lit(1)))
+    return best.select("tid", "pos", "indel", F.struct("k", letter.alias("letter")).alias("x")).groupBy("tid", "pos", "indel").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["letter"]), "").alias("text"))
+
+
+def gaps(aln: DataFrame) -> DataFrame:
+    """(tid, pos, cons, gap_q, snp_q, rms_q, depth, allele1, allele2, n1, n2): genotype of each site after which a read has an indel.
+
+    The two lengths of most reads (none is one of them, written ``*``) stand against each other. A read weighs for the
+    nearer one by the quality of the gap between both, up to what an error of that size is worth.
+    """
+    at = pileup.elements(aln)
+    sites = at.groupBy("tid", "pos").agg(F.count(F.lit(1)).alias("depth"), rms(F.col("mapq"), CAP).alias("rms_q"))
+    seen = at.where("indel <> 0").groupBy("tid", "pos", "indel").agg(F.count(F.lit(1)).alias("n")).join(inserted_text(at), ["tid", "pos", "indel"], "left")
+    shown = F.when(F.col("indel") > 0, F.concat(F.lit("+"), "text")).otherwise(F.concat(F.lit("-"), F.repeat(F.lit("N"), (-F.col("indel")).cast("int"))))
+    kinds = seen.groupBy("tid", "pos").agg(F.collect_list(F.struct("indel", "n", shown.alias("text"))).alias("kinds"), F.sum("n").alias("with_gap"))
+    none = F.struct(F.lit(0).cast("bigint").alias("indel"), (F.col("depth") - F.col("with_gap")).alias("n"), F.lit("*").alias("text"))
+    found = sites.join(kinds, ["tid", "pos"]).withColumn("kinds", F.sort_array(F.concat("kinds", F.array(none))))
+    # most reads first, then the shorter gap, then the deletion
+    led = F.sort_array(F.transform("kinds", lambda x, i: F.struct((-x["n"]).alias("less"), F.abs(x["indel"]).alias("size"), x["indel"].alias("indel"), i.alias("i"), x["n"].alias("n"), x["text"].alias("text"))))
+    found = found.withColumn("led", F.slice(led, 1, 2)).select("*", F.get("led", F.lit(0)).alias("a"), F.get("led", F.lit(1)).alias("b"))
+    worth = [int(GAP_QUALITY * (1 - GAP_DEPENDENCY ** (k + 1)) / (1 - GAP_DEPENDENCY) + 1e-9) for k in range(200)]
+    most = F.get(F.array(*map(F.lit, worth)), F.least(F.abs(F.col("a.i") - F.col("b.i")), F.lit(len(worth) - 1)))
+
+    def against(one: str, other: str) -> Column:
+        """Quality against genotype ``one``: of the reads that lie nearer to ``other``."""
+        far = lambda x: GAP_QUALITY * (F.abs(x["indel"] - F.col(f"{one}.indel")) - F.abs(x["indel"] - F.col(f"{other}.indel")))
+        return F.aggregate("kinds", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"] * F.least(F.greatest(far(x), F.lit(0)), most))
+
+    import math
+
+    prior = int(-PHRED * math.log(GAP_RATE) + 0.5)
+    found = found.withColumns({"q0": against("a", "b"), "q1": against("b", "a"), "q2": F.col("depth") * 3 + prior})
+    ranked = F.sort_array(F.array(*[F.struct(F.col(f"q{g}").alias("q"), F.lit(g).alias("g")) for g in range(3)]))
+    found = found.withColumn("ranked", ranked).withColumn("g", F.col("ranked")[0]["g"])
+    own = F.when(F.col("g") == 0, F.col("a.text")).when(F.col("g") == 1, F.col("b.text"))
+    lead = F.when(own == "*", 0).when(F.col("g") == 0, F.col("q1") - F.col("q0") - prior - 3).when(F.col("g") == 1, F.col("q0") - F.col("q1") - prior - 3)
+    lead = lead.otherwise(F.when(F.col("a.text") == "*", F.col("q0")).otherwise(F.col("q1")) - F.col("q2"))
+    cons = F.coalesce(F.concat(own, F.lit("/"), own), F.concat("a.text", F.lit("/"), "b.text"))
+    return found.select(
+        "tid", "pos", cons.alias("cons"), (F.col("ranked")[1]["q"] - F.col("ranked")[0]["q"]).alias("gap_q"), F.greatest(lead, F.lit(0)).cast("bigint").alias("snp_q"),
+        "rms_q", "depth", F.col("a.text").alias("allele1"), F.col("b.text").alias("allele2"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"),
+    )
+
+
 def variant_sites(aln: DataFrame, refs: DataFrame) -> DataFrame:
-    """Sites whose consensus differs from the reference, and indel sites, in the columns of ``filtered_variants``."""
+    """Sites whose consensus differs from the reference, and all indel sites, in the columns of ``filtered_variants``."""
     called = pileup.with_reference(consensus(aln), refs)
     empty = [F.lit("").alias("allele1"), F.lit("").alias("allele2"), F.lit(0).cast("bigint").alias("n1"), F.lit(0).cast("bigint").alias("n2")]
     snps = called.where((F.col("cons") != F.col("ref")) & (F.col("cons") != "N")).select("tid", "pos", "ref", "cons", F.col("cons_q").alias("snp_q"), "rms_q", "depth", *empty)
-    seen = pileup.indel_sites(aln).withColumn("text", F.when(F.col("indel") > 0, F.concat(F.lit("+"), "allele")).otherwise(F.concat(F.lit("-"), F.repeat(F.lit("N"), (-F.col("indel")).cast("int")))))
-    top = seen.groupBy("tid", "pos").agg(F.max(F.struct("n", "text", "depth")).alias("b")).where("b.n >= 2")
-    gaps = top.select("tid", "pos", F.lit("*").alias("ref"), F.concat(F.lit("*/"), "b.text").alias("cons"), (F.col("b.n") * 20).alias("snp_q"), F.lit(40).cast("bigint").alias("rms_q"), F.col("b.depth").alias("depth"), F.lit("*").alias("allele1"), F.col("b.text").alias("allele2"), F.lit(0).cast("bigint").alias("n1"), F.col("b.n").alias("n2"))
-    return snps.unionByName(gaps)
+    called_gaps = gaps(aln).select("tid", "pos", F.lit("*").alias("ref"), "cons", "snp_q", "rms_q", "depth", "allele1", "allele2", "n1", "n2")
+    return snps.unionByName(called_gaps)
