@@ -75,15 +75,27 @@ def _called() -> list[Column]:
     return [code(best[0]["bits"]).alias("cons"), F.least(best[1]["v"] - best[0]["v"], F.lit(255)).cast("bigint").alias("cons_q"), code(best[1]["bits"]).alias("second")]
 
 
+def _merged(cigar: str) -> Column:
+    """The stretches of reference of a CIGAR: each run of operations between skips as one D, and the skips."""
+    runs = F.regexp_extract_all(cigar, F.lit(r"((?:\d+[MIDSHP=X])+|\d+N)"), F.lit(1))
+    return F.transform(runs, lambda r: F.struct(C.length_of(r, "MDN=X").cast("int").alias("len"), F.when(r.endswith("N"), "N").otherwise("D").alias("op")))
+
+
 def mismatch_strings(aln: DataFrame, refs: DataFrame) -> DataFrame:
     """``aln``'s qname, m and rec_no with ``nm``, edit distance, and ``md``, the mismatch string, of placed mapped reads.
 
-    Each read carries the stretch of reference it spans, cut from a tile.
+    Each read carries the reference it spans: where that lies in one tile and its margin, cut from it, else the
+    stretches between its skips, joined tile by tile.
     """
-    placed = aln.where((F.col("tid") >= 0) & ~C.has("flag", C.UNMAPPED)).withColumn("tile", F.floor(F.col("pos") / pileup.TILE))
-    found = placed.join(pileup.tiled(refs), ["tid", "tile"])
-    span = C.length_of("cigar", "MDN").cast("int")
-    found = found.select("qname", "m", "rec_no", "cigar", "seq", F.substring("tile_bases", (F.col("pos") % pileup.TILE + 1).cast("int"), span).alias("ref"))
+    placed = aln.where((F.col("tid") >= 0) & ~C.has("flag", C.UNMAPPED)).withColumns({"tile": F.floor(F.col("pos") / pileup.TILE), "span": C.length_of("cigar", "MDN=X")})
+    fits = F.col("pos") % pileup.TILE + F.col("span") <= pileup.TILE + pileup.MARGIN
+    near = placed.where(fits).join(pileup.tiled(refs), ["tid", "tile"])
+    near = near.select("qname", "m", "rec_no", "cigar", "seq", F.substring("tile_bases", (F.col("pos") % pileup.TILE + 1).cast("int"), F.col("span").cast("int")).alias("ref"))
+    keys = ["read", "qname", "m", "rec_no", "cigar", "seq"]
+    # one number a read, as reads may be equal in all columns; skips are dropped from the CIGAR as from the stretches
+    far = placed.where(~fits).withColumn("read", F.monotonically_increasing_id()).withColumn("part", F.explode(F.filter(C.walked(_merged("cigar")), lambda x: x["op"] == "D")))
+    spans = far.select("read", "qname", "m", "rec_no", F.regexp_replace("cigar", r"\d+N", "").alias("cigar"), "seq", "tid", (F.col("pos") + F.col("part.ref")).alias("begin"), F.col("part.len").cast("bigint").alias("size"))
+    found = near.unionByName(pileup.stretches(spans, refs, keys).select("qname", "m", "rec_no", "cigar", "seq", F.col("text").alias("ref")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

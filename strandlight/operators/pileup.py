@@ -51,18 +51,39 @@ def with_reference(sites: DataFrame, refs: DataFrame) -> DataFrame:
     return placed.withColumns({"ref": F.substring("tile_bases", at + 1, F.lit(1)), "ref_next": F.substring("tile_bases", at + 2, F.lit(60))}).drop("tile", "tile_bases")
 
 
+def stretches(spans: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text): the reference's bases of each group of ``spans`` (keys, tid, begin, size), in the order of ``begin``.
+
+    Spans are split at tile borders and joined tile by tile, so their size is not bounded by a tile.
+    """
+    end = F.col("begin") + F.col("size")
+    cut = spans.where("size > 0").withColumn("tile", F.explode(F.sequence(F.floor(F.col("begin") / TILE), F.floor((end - 1) / TILE))))
+    first = F.greatest(F.col("begin"), F.col("tile") * TILE)
+    part = F.substring("tile_bases", (first - F.col("tile") * TILE + 1).cast("int"), (F.least(end, (F.col("tile") + 1) * TILE) - first).cast("int"))
+    found = cut.join(tiled(refs), ["tid", "tile"]).select(*keys, F.struct(first.alias("first"), part.alias("part")).alias("x"))
+    return found.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["part"]), "").alias("text"))
+
+
+def deleted_bases(at: DataFrame, refs: DataFrame) -> DataFrame:
+    """(tid, pos, gone): for each site after which elements have deletions a map of their length (negative) to the deleted bases."""
+    seen = at.where("indel < 0").select("tid", "pos", "indel").distinct()
+    spans = seen.select("tid", "pos", "indel", (F.col("pos") + 1).alias("begin"), (-F.col("indel")).alias("size"))
+    return stretches(spans, refs, ["tid", "pos", "indel"]).groupBy("tid", "pos").agg(F.map_from_entries(F.collect_list(F.struct("indel", "text"))).alias("gone"))
+
+
 def rows(aln: DataFrame, refs: DataFrame) -> DataFrame:
     """(tid, pos, ref, depth, bases, quals, mapqs): the text rows of a pileup, elements in file order."""
     one = F.struct("rec_no", "reverse", "deleted", "base", "baseq", "mapq", "head", "tail", "indel", "inserted")
-    sites = elements(aln).groupBy("tid", "pos").agg(F.count(F.lit(1)).alias("depth"), F.sort_array(F.collect_list(one)).alias("e"))
-    sites = with_reference(sites, refs)
+    at = elements(aln)
+    sites = at.groupBy("tid", "pos").agg(F.count(F.lit(1)).alias("depth"), F.sort_array(F.collect_list(one)).alias("e"))
+    sites = with_reference(sites, refs).join(deleted_bases(at, refs), ["tid", "pos"], "left")
 
     def cased(text: Column, reverse: Column) -> Column:
         return F.when(reverse, F.lower(text)).otherwise(F.upper(text))
 
     def shown(x: Column) -> Column:
         base = F.when(x["deleted"], "*").when(F.upper(x["base"]) == F.upper(F.col("ref")), F.when(x["reverse"], ",").otherwise(".")).otherwise(cased(x["base"], x["reverse"]))
-        indel = F.when(x["indel"] > 0, F.concat(F.lit("+"), x["indel"].cast("string"), cased(x["inserted"], x["reverse"]))).when(x["indel"] < 0, F.concat(x["indel"].cast("string"), cased(F.substring("ref_next", F.lit(1), (-x["indel"]).cast("int")), x["reverse"]))).otherwise("")
+        indel = F.when(x["indel"] > 0, F.concat(F.lit("+"), x["indel"].cast("string"), cased(x["inserted"], x["reverse"]))).when(x["indel"] < 0, F.concat(x["indel"].cast("string"), cased(F.coalesce(F.try_element_at("gone", x["indel"]), F.lit("")), x["reverse"]))).otherwise("")
         return F.concat(F.when(x["head"], F.concat(F.lit("^"), F.char(F.least(x["mapq"], F.lit(93)) + 33))).otherwise(""), base, indel, F.when(x["tail"], "$").otherwise(""))
 
     joined = lambda f: F.array_join(F.transform("e", f), "")

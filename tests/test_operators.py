@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from strandlight.functions import cigar as C
-from strandlight.operators import calls, filters, pairing, rescue, sorting, stats
+from strandlight.operators import calls, filters, pairing, pileup, rescue, sorting, stats
 from strandlight.plans.fixtures import aln, refs, special_refs
 from strandlight.sources import bam, fasta, sam
 
@@ -64,6 +64,22 @@ def test_mismatch_strings():
     assert calls.mismatches_of("1S2M2I2M", "NACGGTT", "ACTT") == (2, "4")
 
 
+def test_long_spans_have_all_their_reference(spark):
+    """Introns, deletions and matches beyond a tile and its margin, and the text of a deletion of more than 60 bases."""
+    rng = random.Random(5)
+    bases = "".join(rng.choice("ACGT") for _ in range(200_000))
+    other = lambda c: "A" if c != "A" else "C"
+    reads = [(65_500, "20M3000N20M", bases[65_500:65_519] + other(bases[65_519]) + bases[68_520:68_539] + other(bases[68_539])), (65_530, "10M1500D10M", bases[65_530:65_540] + bases[67_040:67_050]), (10, "150000M", bases[10:150_009] + other(bases[150_009])), (300, "10M2D10M", bases[300:310] + bases[312:322])]
+    reads = [("r", 1, k, 0, 0, p, 60, c, q) for k, (p, c, q) in enumerate([*reads, reads[0]])]
+    aln = spark.createDataFrame(reads, "qname string, m long, rec_no long, flag long, tid long, pos long, mapq long, cigar string, seq string")
+    refs = spark.createDataFrame([(0, "c", len(bases), bases)], "tid long, rname string, len long, bases string")
+    got = {r["rec_no"]: (r["nm"], r["md"]) for r in calls.mismatch_strings(aln, refs).collect()}
+    spliced = (2, f"19{bases[65_519]}19{bases[68_539]}0")
+    assert got == {0: spliced, 1: (1500, f"10^{bases[65_540:67_040]}10"), 2: (1, f"149999{bases[150_009]}0"), 3: (2, f"10^{bases[310:312]}10"), 4: spliced}
+    shown = {r["pos"]: r["bases"] for r in pileup.rows(aln.where("rec_no in (1, 3)"), refs).where("pos in (309, 65539)").collect()}
+    assert shown == {309: f".-2{bases[310:312]}", 65_539: f".-1500{bases[65_540:67_040]}"}
+
+
 def test_variant_filter_marks_dense_and_gaps(spark):
     snp = lambda pos: (0, pos, "A", "G", 50, 60, 20, "", "", 0, 0)
     gap = lambda pos: (0, pos, "*", "*/+A", 60, 60, 20, "*", "+A", 0, 5)
