@@ -155,6 +155,50 @@ def test_jaccard_odd(odd, none):
     assert {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (None, None)} <= got and jaccard_join.near_duplicates(none).count() == 0
 
 
+def passages_and_copies():
+    """Sixty near copies of one text, thirty texts that share a passage, and ten chains of texts that link one by one."""
+    rng = random.Random(4)
+    word = lambda: f"u{rng.randint(0, 10**9)}"
+    base, passage = [word() for _ in range(150)], [word() for _ in range(60)]
+    rows = []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(150)] = word()
+        rows.append(copy)
+    rows += [[word() for _ in range(100)] + passage + [word() for _ in range(100)] for _ in range(30)]
+    for _ in range(10):
+        chain = [word() for _ in range(100)]
+        for k in range(6):
+            chain = [*chain[: 12 * k], *[word() for _ in range(6)], *chain[12 * k + 6 :]]
+            rows.append(chain)
+    return [(i * 31 % 1009, " ".join(r)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_jaccard_lists_in_parts(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = passages_and_copies()
+    got = jaccard_join.near_duplicates(table(spark, [(i, t, None, None) for i, t in rows]))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == components(rows)
+
+
+def test_jaccard_candidates(spark, monkeypatch):
+    """What is compared grows with the sets, not with the pairs of a group: 60 near copies have 1770 pairs, 30 texts with a passage 435."""
+    counts = collections.Counter()
+    compared = jaccard_join.compared
+
+    def counted(sets, pairs):
+        counts["pairs"] += pairs.count()
+        counts["sets"] = sets.count()
+        return compared(sets, pairs)
+
+    monkeypatch.setattr(jaccard_join, "compared", counted)
+    rows = passages_and_copies()
+    jaccard_join.near_duplicates(table(spark, [(i, t, None, None) for i, t in rows])).collect()
+    assert counts["sets"] < 125 and counts["pairs"] < 3 * counts["sets"]
+
+
 def test_size_and_position_filters_lose_nothing():
     rng = np.random.default_rng(4)
     for _ in range(200):
@@ -172,6 +216,18 @@ def test_size_and_position_filters_lose_nothing():
         assert left.tolist() == [0] and right.tolist() == [1]
 
 
+def test_block_skipping_is_the_plain_filter():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 63, 64, 65, 300):
+        n = np.sort(rng.integers(5, 60, size))
+        at = (rng.random(size) * (n * 0.2 + 1)).astype(np.int64)
+        group, side = rng.integers(0, 5, size), rng.integers(0, 2, size)
+        for own in (None, side):
+            i, j = jaccard_join.list_pairs(n, at, group, own)
+            want = {(x, y) for x in range(size) for y in range(x + 1, size) if group[x] != group[y] and 100 * n[x] >= 80 * n[y] and 180 * min(n[x] - at[x], n[y] - at[y]) >= 80 * (n[x] + n[y]) and (own is None or own[x] != own[y])}
+            assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
+
+
 def test_language(spark, docs, odd, none):
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
