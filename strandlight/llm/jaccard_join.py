@@ -45,7 +45,7 @@ PERCENT = 80
 #: Counters of hashed shingles; one of them is heavy from HEAVY times their mean and from HEAVY_LEAST on.
 COUNTERS, HEAVY, HEAVY_LEAST = 1 << 20, 4, 64
 #: Shingles that a task puts in order together, and that an exchange's group holds on average.
-FLUSH, GROUP = 4_000_000, 2_000_000
+FLUSH, GROUP = 2_000_000, 2_000_000
 #: Turns of comparisons with leaders, by another hash each; the index finds all links left.
 TURNS = 3
 #: Sets of an index list that are compared in one task, and of one block of it.
