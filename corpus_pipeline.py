@@ -1,14 +1,16 @@
 """Documents to packed training sequences, in stages that each apply one operator of strandlight.llm.
 
-Each stage works on all that its predecessor kept and all but the last return the columns of ``documents``.
+Each stage works on all its predecessor kept and all but the last return the columns of ``documents``.
 Null ids, texts, languages and sources pass through: a null text has no language and leaves in the first stage;
-rows of a null id are never near duplicates; columns besides those of ``documents`` are carried along.
+rows of a null id are never near duplicates. Other columns, of any name and type, are carried along: within a stage
+all columns go by their number, so no name can clash with those that a stage works with.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, AtomicType
 
 from strandlight.llm import jaccard_join, language_id, line_dedup, mixing, packing
 from strandlight.llm.common import checkpointed, documents, remainder
@@ -17,33 +19,50 @@ from strandlight.llm.common import checkpointed, documents, remainder
 LEAST_SCORE = 0.3
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1 and so on, and these names by the old ones."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no text, no letter, or nothing like the languages learned."""
-    model = language_id.fit(docs, remainder("doc_id", 5) != 0)
-    found = language_id.identify(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    own, c = numbered(docs)
+    model = language_id.fit(own, remainder(c["doc_id"], 5) != 0, c["doc_id"], c["text"], c["lang"])
+    found = language_id.identify(own, model, c["doc_id"], c["text"], keep=own.columns)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*own.columns).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes cross-site boilerplate lines; every document stays, with the lines left to it."""
-    cleaned = line_dedup.remove_boilerplate(docs)
-    chars = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {}
-    return cleaned.withColumns(chars).select(*docs.columns)
+    own, c = numbered(docs)
+    cleaned = line_dedup.remove_boilerplate(own, id_col=c["doc_id"], text_col=c["text"], site_col=c["source"])
+    n = c.get("n_chars")
+    chars = {n: F.when(F.col("n_removed") > 0, F.length(c["text"])).otherwise(F.col(n)).cast("long")} if n else {}
+    return cleaned.withColumns(chars).select(*own.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each component of near duplicates; of rows that repeat an id, the smallest."""
-    found = jaccard_join.near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    own = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return own.unionByName(docs.where(F.col("doc_id").isNull()))
+    own, c = numbered(docs)
+    i = c["doc_id"]
+    found = jaccard_join.near_duplicates(own, i, c["text"])
+    kept = found.where(F.col(i) == F.col("component_id")).select(i).distinct()
+    # columns that have no order of their own are compared as they are written
+    simple = [f.name for f in own.schema if isinstance(f.dataType, AtomicType) or isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, AtomicType)]
+    other = [n for n in own.columns if n not in simple]
+    order = F.struct(*simple, *([F.to_json(F.struct(*other))] if other else []))
+    first = own.join(kept, i, "left_semi").groupBy(i).agg(F.min_by(F.struct(*own.columns), order).alias("row")).select("row.*")
+    return first.unionByName(own.where(F.col(i).isNull())).toDF(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, one row a copy."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").cast("int").alias("__copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (mixing.size_of("text") == F.col("__size"))
-    return docs.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    own, c = numbered(docs)
+    i, text, source = c["doc_id"], c["text"], c["source"]
+    taken = mixing.mix(own, i, text, source).where("copies > 0").groupBy(F.col(i).alias("of_id"), F.col(source).alias("of_source"), F.col("size").alias("of_size")).agg(F.max("copies").cast("int").alias("copies"))
+    same = F.col(i).eqNullSafe(F.col("of_id")) & F.col(source).eqNullSafe(F.col("of_source")) & (mixing.size_of(text) == F.col("of_size"))
+    return own.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own.columns).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
