@@ -449,9 +449,58 @@ def test_pipeline(spark):
 
 
 def test_pipeline_odd(spark, odd):
+    """Columns of any name and type go through unchanged."""
     import corpus_pipeline
 
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
+    more = {"lang_pred": F.lit("mine"), "n_lines": F.lit(-7), "n_removed": F.lit(-8), "copies": F.lit(-9), "id": F.lit("i"), "c0": F.lit("c"), "size": F.create_map(F.lit("k"), F.lit(1)), "row": F.struct(F.lit(2).alias("score"))}
+    docs = odd.withColumns(more)
+    columns, types = docs.columns, docs.dtypes
+    for name, stage in corpus_pipeline.STAGES:
         docs = packing.checkpointed(stage(spark, docs, SF))
+        if name != "packing":
+            assert docs.columns == columns and docs.dtypes == types
+            assert {tuple(r) for r in docs.select("spans", F.col("score"), "lang_pred", "n_lines", "n_removed", "copies", "id", "c0", F.col("size")["k"], "row.score").collect()} <= {("clash", 1.0, "mine", -7, -8, -9, "i", "c", 1, 2)}
     check_places(docs.toPandas())
+
+
+def test_pipeline_brute(spark):
+    """Each stage's rows from those of the stage before, by definition."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("more", F.col("doc_id") * 2)
+    stages = dict(corpus_pipeline.STAGES)
+    first = packing.checkpointed(stages["language_id"](spark, docs, SF))
+    model = language_id.fit(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    want = {r["doc_id"] for r in language_id.identify(docs, model).collect() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_SCORE}
+    assert {r["doc_id"] for r in first.collect()} == want
+    second = packing.checkpointed(stages["line_dedup"](spark, first, SF))
+    sites, holder = collections.defaultdict(set), {}
+    rows = sorted(first.collect(), key=lambda r: r["doc_id"])
+    for r in rows:
+        for x in r["text"].split("\n"):
+            if len(WORD.findall(x)) >= 3:
+                sites[x] |= {r["source"]} - {None}
+                holder.setdefault(x, r["doc_id"])
+    got = {r["doc_id"]: r for r in second.collect()}
+    for r in rows:
+        kept, seen = [], set()
+        for x in r["text"].split("\n"):
+            if len(sites.get(x, ())) < line_dedup.MIN_SITES or holder[x] == r["doc_id"] and x not in seen:
+                kept.append(x)
+            seen.add(x)
+        assert got[r["doc_id"]]["text"] == "\n".join(kept) and got[r["doc_id"]]["more"] == 2 * r["doc_id"]
+    third = packing.checkpointed(stages["jaccard_join"](spark, second, SF))
+    groups = components([(r["doc_id"], r["text"]) for r in got.values()])
+    assert sorted(r["doc_id"] for r in third.collect()) == sorted({g for g in groups.values()})
+    fourth = packing.checkpointed(stages["mixing"](spark, third, SF))
+    words = {r["doc_id"]: len(WORD.findall(r["text"])) for r in third.collect()}
+    by = collections.Counter()
+    for r in third.collect():
+        by[r["source"]] += words[r["doc_id"]]
+    names = sorted(s for s in by if s is not None) + ([None] if None in by else [])
+    target = filled(dict(by), {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, 1.5 * sum(by.values()))
+    taken = collections.Counter()
+    for r in fourth.collect():
+        taken[r["source"]] += words[r["doc_id"]]
+    assert all(abs(taken[s] - target[s]) <= max(words.values()) / 2 + 1 for s in by)
+    check_places(stages["packing"](spark, fourth, SF).toPandas())
