@@ -1,45 +1,62 @@
 """Document fingerprints in the manner of I-Match, on DataFrame functions only.
 
-Terms are the distinct lower-case runs of letters and digits of a text; only terms whose inverse document
-frequency lies in a band count. The hash of a term puts it in one of 256 subsets of the lexicon, which cover it
-whole, and one term in 128 in one of 16 smaller subsets as well. For each subset the sorted terms that a text has of
-it are hashed together, and the list of these hashes, each with its subset's number, is the fingerprint. Two
-fingerprints are as like as the share of equal hashes among the subsets of which either text has a term. The 256
-hold one term in 256 each and so outlast a change of part of a text; the 16 hold one in 2048 and serve very long texts.
+Terms are the distinct lower-case runs of letters and digits of a text; only the lexicon counts, the terms whose inverse
+document frequency lies in a band. The sorted terms that a text has of a subset of the lexicon are hashed together, for
+several randomised subsets, which overlap and whose members the hash of a term chooses:
 
-Document frequencies are counted over all texts, in a table of hashed terms of fixed size, so that what tasks
-need to know of the lexicon is a bitmap of ``TERM_SLOTS`` bits whatever the size of the vocabulary.
+* the whole lexicon and 8 subsets of three quarters of it, each its own, which tell near replicas;
+* 64 subsets of one in 64, which cover the lexicon, and 16 of one in 512, which outlast larger changes of short and of
+  long texts and so grade the likeness.
+
+The list of these hashes, each with its subset's number, is the fingerprint. Two fingerprints are as like as the share of
+equal hashes among the subsets of which either text has a term.
+
+Document frequencies are exact counts over all texts. A term of the lexicon stands in at least ``exp(-MAX_IDF)`` of the
+documents, so the lexicon has at most ``exp(MAX_IDF)`` times as many terms as a text has on average (1,808 times; some
+thousands in practice) whatever the size of the corpus; it goes to the tasks as a table of hashes with two places for
+each term, which tells members exactly.
 
 Defined results: a null text is an empty one; texts without a term in the band have one hash of all their terms
 as fingerprint, texts without any term the empty fingerprint, and two such are alike (1); equal texts have equal
 fingerprints; a null id comes after all others; rows of equal id follow one another by a hash of their text; a table
-of one row has itself as next; an empty table gives an empty table.
+of one row has itself as next; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kept terms have an inverse document frequency, ln(documents / documents with the term), in this band.
 MIN_IDF, MAX_IDF = 1.0, 7.5
-#: (number of subsets, one term in so many belongs to each, the hash bits that choose them). The first kind takes the
-#: highest bits, all of their values, so that every term has a subset and sorted hashes stand by subset.
-SUBSETS = ((256, 256, 56), (16, 2048, 20))
-#: Number of the subset of all terms, for texts without a term in the band.
-WHOLE = sum(c for c, _, _ in SUBSETS)
-#: Bits of a fingerprint's entry below the number of its subset.
-HASH_BITS = 55
-TERM_SLOTS = 1 << 20
+#: Subsets of three quarters of the lexicon, of one in 64 (all 64 of them) and of one in 512.
+DENSE, PARTS, SPARSE = 8, 64, 16
+#: Number of the subset of all terms, for texts without a term of the lexicon; that of the whole lexicon is 0.
+EVERYTHING = 1 + DENSE + PARTS + SPARSE
+#: Bits of a fingerprint's entry below the number of its subset; what they are where a text has no term of it.
+HASH_BITS, NO_TERM = 55, 42
 NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
-def choice(h: Column, place: int) -> Column:
-    """Number of the subset of a hashed term within the kind ``place``; beyond its last it belongs to none."""
-    _, one_in, shift = SUBSETS[place]
-    return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(one_in - 1))
+def part_of(h: Column) -> Column:
+    """Which of the PARTS: the highest bits, so that sorted hashes stand by part."""
+    return F.shiftrightunsigned(h, 58)
+
+
+def dense(k: int) -> Callable[[Column], Column]:
+    return lambda h: F.shiftrightunsigned(h, 2 * k).bitwiseAND(F.lit(3)) != 0
+
+
+def sparse_of(h: Column) -> Column:
+    """Which of the SPARSE; beyond their number, none."""
+    return F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(511))
+
+
+def in_sparse(k: int) -> Callable[[Column], Column]:
+    return lambda h: sparse_of(h) == k
 
 
 def terms(text: Column) -> Column:
@@ -47,62 +64,84 @@ def terms(text: Column) -> Column:
     return F.sort_array(F.array_compact(F.array_distinct(F.transform(F.split(F.lower(text), NOT_TERM), lambda t: F.when(t != "", F.xxhash64(t))))))
 
 
-def slot_of(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(TERM_SLOTS - 1))
-
-
 def constant(numbers: list[int]) -> Column:
     """A literal array of longs, folded from one string."""
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> list[int]:
-    """TERM_SLOTS bits as longs, set for the slots of terms in the band."""
+    """Hashes of the terms in the band, exactly counted over all texts."""
     n = docs.count()
-    seen = docs.select(F.explode(terms(F.col(text_col))).alias("h")).groupBy(slot_of(F.col("h")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    band = seen.where(F.col("n").between(n * math.exp(-max_idf), n * math.exp(-min_idf)))
-    words = band.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits"))
-    out = [0] * (TERM_SLOTS // 64)
-    for r in words.collect():
-        out[r["word"]] = r["bits"]
-    return out
-
-
-def with_fingerprint(rows: DataFrame, text_col: str, bits: Column, name: str) -> DataFrame:
+    seen = docs.select(F.explode(terms(F.col(text_col))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["h"] for r in seen.where(F.col("n").between(n * math.exp(-max_idf), n * math.exp(-min_idf))).select("h").collect())
+
+
+def places(h: int, mask: int) -> tuple[int, int]:
+    """The two places of a term in a table of ``mask`` + 1."""
+    return (h >> 34) & mask, (h >> 11) & mask
+
+
+def table_of(found: list[int]) -> list[int]:
+    """A table in which each hash stands at one of its two places (cuckoo hashing), else 0."""
+    size = 1024
+    while size < 2.5 * len(found):
+        size *= 2
+    while True:
+        table = [0] * size
+        for h in found:
+            at = places(h, size - 1)[0]
+            for _ in range(200):
+                h, table[at] = table[at], h
+                if not h:
+                    break
+                # the one that stood there goes to its other place, and may push out another
+                one, two = places(h, size - 1)
+                at = two if at == one else one
+            else:
+                break
+        else:
+            return table
+        size *= 2
+
+
+def member(table: Column, size: int, h: Column) -> Column:
+    mask = F.lit(size - 1)
+    one = F.shiftright(h, 34).bitwiseAND(mask)
+    two = F.shiftright(h, 11).bitwiseAND(mask)
+    return (F.get(table, one.cast("int")) == h) | (F.get(table, two.cast("int")) == h)
+
+
+def with_fingerprint(rows: DataFrame, text_col: str, table: list[int], name: str) -> DataFrame:
     """``rows`` with column ``name``: of each subset of which the text has terms its number and their hash, as one long.
 
     Each step is a column that the next one uses at least twice, so Spark computes it once for a row and
     not again for each element of the next.
     """
-    def in_band(h: Column) -> Column:
-        word = F.get(bits, F.shiftright(slot_of(h), 6).cast("int"))
-        return F.call_function("getbit", word, slot_of(h).bitwiseAND(F.lit(63)).cast("int")) == 1
+    known = constant(table)
 
     def entry(number: Column, hashes: Column) -> Column:
         return F.shiftleft(number.cast("bigint"), HASH_BITS).bitwiseOR(F.xxhash64(hashes).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     def begins(i: Column) -> Column:
-        return (i == 0) | (choice(F.get("__kept", i), 0) != choice(F.get("__kept", i - 1), 0))
+        return (i == 0) | (part_of(F.get("__kept", i)) != part_of(F.get("__kept", i - 1)))
 
     def run(at: Column, k: Column) -> Column:
         end = F.coalesce(F.get("__starts", k + 1), F.size("__kept"))
-        return entry(choice(F.get("__kept", at), 0), F.slice("__kept", at + 1, end - at))
-
-    def own(j: Column) -> Column:
-        return F.filter("__small", lambda h: choice(h, 1) == j)
+        return entry(part_of(F.get("__kept", at)) + (1 + DENSE), F.slice("__kept", at + 1, end - at))
 
-    first, count = SUBSETS[0][0], SUBSETS[1][0]
     none = F.array().cast("array<bigint>")
     rows = rows.withColumn("__terms", terms(F.col(text_col)))
-    rows = rows.withColumn("__kept", F.when(F.size("__terms") > 0, F.filter("__terms", in_band)).otherwise(none))
+    rows = rows.withColumn("__kept", F.when(F.size("__terms") > 0, F.filter("__terms", lambda h: member(known, len(table), h))).otherwise(none))
     rows = rows.withColumns({
         "__starts": F.when(F.size("__kept") > 0, F.filter(F.sequence(F.lit(0), F.size("__kept") - 1), begins)).otherwise(F.array().cast("array<int>")),
-        "__small": F.when(F.size("__kept") > 0, F.filter("__kept", lambda h: choice(h, 1) < count)).otherwise(none),
+        "__few": F.when(F.size("__kept") > 0, F.filter("__kept", lambda h: sparse_of(h) < SPARSE)).otherwise(none),
     })
-    small = F.when(F.size("__small") > 0, F.transform(F.array_sort(F.array_distinct(F.transform("__small", lambda h: choice(h, 1)))), lambda j: entry(j + first, own(j)))).otherwise(none)
-    whole = F.when(F.size("__terms") > 0, F.array(entry(F.lit(WHOLE), F.col("__terms")))).otherwise(none)
-    found = F.when(F.size("__kept") > 0, F.concat(F.transform("__starts", run), small)).otherwise(whole)
-    return rows.withColumn(name, found).drop("__terms", "__kept", "__starts", "__small")
+    whole = [entry(F.lit(0), F.col("__kept"))] + [entry(F.lit(1 + k), F.filter("__kept", dense(k))) for k in range(DENSE)]
+    few = [entry(F.lit(1 + DENSE + PARTS + k), F.filter("__few", in_sparse(k))) for k in range(SPARSE)]
+    fixed = F.filter(F.array(*whole, *few), lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)) != NO_TERM)
+    everything = F.when(F.size("__terms") > 0, F.array(entry(F.lit(EVERYTHING), F.col("__terms")))).otherwise(none)
+    found = F.when(F.size("__kept") > 0, F.concat(fixed, F.transform("__starts", run))).otherwise(everything)
+    return rows.withColumn(name, found).drop("__terms", "__kept", "__starts", "__few")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -150,12 +189,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         buckets = 1
     else:
         buckets = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = constant(lexicon(base, "text"))
+    table = table_of(lexicon(base, "text"))
     rows = base.withColumns({"key": F.coalesce(F.col("id"), F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
-    rows = with_next(with_fingerprint(rows, "text", bits, "fp"), "key", ["text", "fp"], buckets)
+    rows = with_next(with_fingerprint(rows, "text", table, "fp"), "key", ["text", "fp"], buckets)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
     rows = rows.select("id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", "edited")
-    rows = with_fingerprint(rows, "edited", bits, "edited_fp").drop("edited")
+    rows = with_fingerprint(rows, "edited", table, "edited_fp").drop("edited")
     return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", written(F.col("fp")).alias("fingerprint"), written(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))

@@ -429,7 +429,62 @@ def test_fingerprints_cover_the_whole_lexicon(spark):
         by_print[r["fingerprint"]].add(frozenset(re.findall(r"\w+", t)))
     assert all(len(v) == 1 for v in by_print.values()) and by_print[""] == {frozenset()}
     assert all(r["near_next"] == (1 if set(texts[i - 1].split()) == set(texts[i].split()) else 0) for i, r in enumerate(got) if 0 < i < 120 or 125 < i < 243 and i != 183)
-    assert 0.9 < got[121]["near_next"] < 1
+    assert 0.8 < got[121]["near_next"] < 1
+
+
+def fingerprint_brute(texts):
+    """Fingerprint of each text by the definition, as {subset: hash}; the lexicon is that of the texts given first."""
+    import regex
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of = lambda t: sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w})
+
+    def together(hashes):
+        h = 42
+        for x in hashes:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), h)
+        return h & ((1 << 55) - 1)
+
+    df = collections.Counter(x for t in texts for x in of(t))
+    low, high = len(texts) * np.exp(-fingerprints.MAX_IDF), len(texts) * np.exp(-fingerprints.MIN_IDF)
+
+    def result(text):
+        terms = of(text)
+        own = [x for x in terms if low <= df[x] <= high]
+        if not own:
+            return {89: together(terms)} if terms else {}
+        subsets = {0: own}
+        for k in range(8):
+            subsets[1 + k] = [x for x in own if (x >> 2 * k) & 3]
+        for k in range(64):
+            subsets[9 + k] = [x for x in own if (x >> 58) & 63 == k]
+        for k in range(16):
+            subsets[73 + k] = [x for x in own if (x >> 20) & 511 == k]
+        return {k: together(v) for k, v in subsets.items() if v}
+
+    return result
+
+
+def test_fingerprints_by_definition(docs):
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    of = fingerprint_brute([t for _, t in rows])
+    read = lambda text: {(v := int(x, 16)) >> 55: v & ((1 << 55) - 1) for x in text.split(".") if x}
+    alike = lambda a, b: sum(a.get(k) == h for k, h in b.items()) / len({*a, *b}) if {*a, *b} else 1.0
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        own, changed = of(text), of(edited)
+        assert read(got[i]["fingerprint"]) == own and read(got[i]["edited_fingerprint"]) == changed
+        assert abs(got[i]["near_edited"] - alike(own, changed)) < 1e-9 and abs(got[i]["near_next"] - alike(own, of(after))) < 1e-9
+
+
+def test_fingerprint_table():
+    rng = np.random.default_rng(3)
+    found = np.unique(rng.integers(-(1 << 63), 1 << 63, 5000)).tolist()
+    held = fingerprints.table_of(found)
+    assert all(h in {held[at] for at in fingerprints.places(h, len(held) - 1)} for h in found) and fingerprints.table_of([]) == [0] * 1024
 
 
 def test_pipeline(spark):
