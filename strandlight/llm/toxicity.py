@@ -4,13 +4,16 @@ Log-odds between toxic and other labelled rows take an informative Dirichlet pri
 documents. They are kept for words and for the beginnings of words, so that a compound not seen before
 has the odds of its stem; a token takes the most certain of its odds. Odds that could be chance count as
 none, and every token pays a small toll so that neutral text scores below zero. A linear scan (all maximal scoring subsequences) finds every passage in
-a text. A passage's significance follows the extreme-value law for the best of as many starts as the
-text has tokens; the sum over significant passages, calibrated by logistic regression, is the
-probability that the text is toxic.
+a text. A passage's significance follows the extreme-value law of the best segment of random tokens: its decay is
+the positive root of ``E exp(decay * score) = 1`` over the token scores of rows that aren't toxic, and its level, the
+logarithm of the law's constant, is the likeliest location of what these rows' best segments exceed the logarithm of
+their length by. The sum over significant passages, calibrated by logistic regression, is the probability
+that the text is toxic.
 
 Defined results: null and empty texts have no passage and so the score of a text with none; whole texts are
-scanned; without labelled rows of both kinds the score is 0; repeated rows give repeated results; an
-empty table gives an empty table.
+scanned; without labelled rows of both kinds the score is 0; repeated rows give repeated results; equally certain odds of a
+token count by the larger; a row of null id is scored but never learned from; an empty table gives an empty table; only
+the named columns are read.
 """
 
 from __future__ import annotations
@@ -163,12 +166,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
             got = []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = weights.of(text)
-                got.append((float(y), len(w), [s for _, _, s in maximal_segments(w)]))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names=["y", "n", "scores"])
+                values, counts = np.unique(w, return_counts=True)
+                got.append((float(y), len(w), [s for _, _, s in maximal_segments(w)], values.tolist(), counts.tolist()))
+            kinds = (pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], names=["y", "n", "scores", "values", "counts"])
 
-    got = sample.mapInArrow(measure, "y double, n bigint, scores array<double>").collect()
+    got = sample.mapInArrow(measure, "y double, n bigint, scores array<double>, values array<double>, counts array<bigint>").collect()
     got.sort(key=lambda r: (r["y"], r["n"], r["scores"]))
-    decay = 1.0  # log-odds are in natural units, in which the law of the best segment decays by 1
+    tokens: Counter = Counter()
+    for r in got:
+        if r["y"] != 1:
+            tokens.update(dict(zip(r["values"], r["counts"], strict=True)))
+    decay = decay_of(np.array(sorted(tokens)), np.array([tokens[v] for v in sorted(tokens)], float))
     best = np.array([decay * max(r["scores"], default=0.0) - np.log(max(r["n"], 1)) for r in got if r["y"] != 1])
     level = gumbel_level(best)
     x = np.log1p([strength([(0, 0, s) for s in r["scores"]], r["n"], decay, level) for r in got])
@@ -176,9 +185,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     return ToxicityModel(odds, z, decay, level, slope, intercept)
 
 
+def decay_of(values: np.ndarray, counts: np.ndarray) -> float:
+    """The positive root of ``sum(share * exp(decay * value)) = 1``, by bisection; 1 where there is none.
+
+    There is one root if the mean is negative and some value positive; log-odds with neither chance nor toll have 1.
+    """
+    if not len(values) or values.max() <= 0 or values @ counts >= 0:
+        return 1.0
+    share = counts / counts.sum()
+    excess = lambda x: float(share @ np.expm1(x * values))
+    low, high = 0.0, 1.0
+    while excess(high) < 0 and high * values.max() < 500:
+        low, high = high, 2 * high
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if excess(middle) < 0 else (low, middle)
+    return high
+
+
 def gumbel_level(best: np.ndarray) -> float:
-    """Location of the extreme-value law of unit scale of ``best`` (maximum likelihood), but no less than its 90th percentile shows."""
-    return float(max(-np.log(np.mean(np.exp(-best))), np.quantile(best, 0.9)))
+    """Location of the extreme-value law of unit scale of ``best``, by maximum likelihood."""
+    return float(-np.log(np.mean(np.exp(-best))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
