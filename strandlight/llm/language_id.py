@@ -26,8 +26,9 @@ from strandlight.llm.common import batches
 UNKNOWN = "und"
 #: Slots of the hashed n-grams (a power of two), the n-gram lengths.
 SLOTS, ORDERS = 1 << 14, (1, 2, 3)
-#: Bounds of the fit: labelled rows and landmarks for each language, and languages (the most frequent).
-SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MAX_LANGUAGES = 300, 32, 100
+#: Bounds of the fit: labelled rows and landmarks for each language; where rows of all languages would pass MAX_SAMPLE each
+#: language has fewer, but LEAST_PER_LANGUAGE at least, so that no language is left unlearned.
+SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MAX_SAMPLE, LEAST_PER_LANGUAGE = 300, 32, 30_000, 8
 RIDGE, SHARPNESS = 0.1, 4.0
 _MULTIPLIER = np.uint32(2654435761)
 
@@ -87,21 +88,22 @@ def score_batch(x: np.ndarray, marks: np.ndarray, weights: np.ndarray) -> tuple[
     return margin.argmax(1), e.max(1) / e.sum(1)
 
 
-def labelled_sample(docs: DataFrame, train: Column, id_col: str, label_col: str, per_label: int, max_labels: int) -> list:
-    """Ids of at most ``per_label`` training rows of each label, by a hash of the id."""
+def labelled_sample(docs: DataFrame, train: Column, id_col: str, label_col: str) -> list:
+    """Ids of training rows of each label, by a hash of the id: as many of each as the bounds allow."""
     rows = docs.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    top = [r[0] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()]
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    return [r[0] for r in rows.where(F.col("label").isin(top)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("id").collect()] if top else []
+    best = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_PER_LANGUAGE).select("id", "label", "n").collect()
+    each = max(LEAST_PER_LANGUAGE, MAX_SAMPLE // max(1, len({r["label"] for r in best})))
+    return [r["id"] for r in best if r["n"] <= each]
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelModel | None:
     """A model of the rows where ``train`` holds and the label isn't null.
 
-    The sample is bounded by SAMPLE_PER_LANGUAGE x MAX_LANGUAGES rows; presence bits, not texts, come
-    to the driver (SLOTS / 8 bytes each).
+    The sample is bounded by SAMPLE_PER_LANGUAGE ids a language and MAX_SAMPLE rows of presence bits, not texts, in all
+    (SLOTS / 8 bytes each), or LEAST_PER_LANGUAGE a language where languages are very many.
     """
-    ids = labelled_sample(docs, train, id_col, lang_col, SAMPLE_PER_LANGUAGE, MAX_LANGUAGES)
+    ids = labelled_sample(docs, train, id_col, lang_col)
     if not ids:
         return None
 
