@@ -7,7 +7,8 @@ end the pieces of sequences left unfilled are packed once more by best fit. A sh
 unfilled and holds thousands, so what its borders cost is small at any size.
 
 Defined results: a null or empty text is its end token alone; texts of any length are cut, none dropped; repeated
-rows are packed each; pieces of full length have a sequence of their own; an empty table gives an empty table.
+rows and rows of a null id are packed each; pieces of full length have a sequence of their own; pieces of equal length are
+placed by id, piece and ids; an empty table gives an empty table; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -158,7 +159,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         sequence, offset = packed(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=sequence * shards + key[0], offset=offset).drop(columns="shard")
 
-    shard = F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).alias("shard")
+    # with the row's own number, so that pieces of equal ids spread too
+    shard = F.pmod(F.xxhash64("id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).alias("shard")
     names = f"id {kind}, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
     placed = found.select("*", shard).groupBy("shard").applyInPandas(place, names)
     return placed.select(F.col("id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
