@@ -2,8 +2,9 @@
 
 A source's target may be more or less than what it holds. Its whole multiples are allotted for certain to
 each of its documents; for the rest every document gets a ranking variable, its random odds over its
-inclusion odds (Pareto order sampling), where the inclusion odds grow with the document's size, and
-the documents of the smallest ranks are taken until the words of the source reach its target. The running
+inclusion odds (Pareto order sampling). Inclusion probabilities grow with a document's size and are solved so that the
+words expected are those wanted: sizes whose probability would reach 1 are taken for certain, the others share the
+rest. The documents of the smallest ranks are taken until the words of the source reach its target. The running
 sum behind that cut works on the counts of rank intervals first and on the rows of one interval last, so
 no source is sorted in one task.
 
@@ -53,16 +54,36 @@ def targets(sized: DataFrame) -> DataFrame:
     return by.select("source", "source_size", "source_rows", target.alias("target"))
 
 
-def ranked(sized: DataFrame) -> DataFrame:
-    """Whole copies, words still wanted and the Pareto rank of each row of ``sized`` with its source's figures."""
+def pull(size: Column) -> Column:
+    """How strongly a document of a size is drawn, against one of its source's mean size."""
+    return 0.5 + 0.5 * size * F.col("source_rows") / F.col("source_size")
+
+
+def solved(sized: DataFrame, by: DataFrame) -> DataFrame:
+    """``by`` with ``whole`` copies, words ``wanted`` beside them, ``scale`` of the pulls and size ``open`` up to which chance decides.
+
+    Larger sizes are taken for certain. In descending order of size, if all before a size are certain the scale of the rest
+    is what is left over their pulled words; the first size whose own probability is then below 1 is right.
+    The window passes over the distinct sizes of a source, not over its rows.
+    """
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(0)
-    sized = sized.withColumn("whole", whole.cast("long"))
-    sized = sized.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
-    chance = F.col("wanted") / F.col("source_size")
-    inclusion = F.least(F.lit(0.999), chance * (0.5 + 0.5 * F.col("size") * F.col("source_rows") / F.col("source_size")))
+    by = by.withColumn("whole", whole.cast("long")).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
+    sizes = sized.where("size > 0").groupBy(F.col("source").alias("of"), "size").agg(F.sum("size").alias("words"))
+    sizes = sizes.join(by.where("wanted > 0"), F.col("of").eqNullSafe(F.col("source"))).select("of", "size", "words", "wanted", pull(F.col("size")).alias("pull"))
+    order = Window.partitionBy("of").orderBy(F.desc("size"))
+    above = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("pull") * F.col("words")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    sizes = sizes.withColumn("scale", (F.col("wanted") - above) / rest)
+    right = sizes.where(F.col("scale") * F.col("pull") < 1).groupBy("of").agg(F.max_by("scale", "size").alias("scale"), F.max("size").alias("open"))
+    return by.join(right, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def ranked(sized: DataFrame) -> DataFrame:
+    """The Pareto rank of each row of ``sized`` with its source's figures; 0 for those taken for certain."""
+    inclusion = F.col("scale") * pull(F.col("size"))
     uniform = (F.col("bits") + 0.5) / float(1 << 52)
     odds = (uniform / (1 - uniform)) / (inclusion / (1 - inclusion))
-    rank = F.when((F.col("size") > 0) & (F.col("wanted") > 0), odds)
+    rank = F.when((F.col("size") > 0) & (F.col("wanted") > 0), F.when(F.col("size") <= F.col("open"), odds).otherwise(0.0))
     # a rank from 0 to infinity as an interval number: rank / (1 + rank) lies below 1
     fine = F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * (INTERVALS * INTERVALS)), F.lit(INTERVALS * INTERVALS - 1)).cast("long")
     return sized.withColumn("rank", rank).withColumn("fine", fine)
@@ -72,7 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``id_col``, ``source_col``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` for each row."""
     bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), F.col("id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
     sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size")).withColumn("bits", bits))
-    by = targets(sized)
+    by = checkpointed(solved(sized, targets(sized)))
     # the few sources come to the rows by an equi-join that AQE makes a broadcast when it sees their size
     rows = checkpointed(ranked(sized.join(by.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")).drop("bits"))
     drawn = rows.where(F.col("rank").isNotNull())
