@@ -4,12 +4,12 @@ A first pass over all documents builds, for each language, the distribution of c
 the counts of words; the most common words of a language make its word histogram. A document's own
 histograms are held against the reference of its language by Jensen-Shannon distance (base 2, so from
 0 to 1). A document under ``MIN_WORDS`` words, too short for its histograms to mean anything, is left to
-the base rules. Rare languages (beyond ``MAX_LANGUAGES`` by size) and rows without a language
-use the reference of all documents together.
+the base rules. The same guard holds for references: a language of fewer than ``REFERENCE_WORDS`` words has none of its
+own, and its rows, like those without a language, use the reference counted over all documents.
 
 Defined results: a null or empty text has counts of 0 and fails the base rule (under 50 words); every
-row gets one result, from its whole text; repeated rows give repeated results; an empty table gives an
-empty table.
+row gets one result, from its whole text, null ids too; repeated rows give repeated results; of equally common words the
+smaller by bytes comes first; an empty table gives an empty table; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlight.llm.common import checkpointed
+
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-#: Reference size: common words of a language; languages with a reference of their own.
-COMMON_WORDS, MAX_LANGUAGES = 50, 200
+#: Reference size: common words of a language; words under which a language has no reference of its own.
+COMMON_WORDS, REFERENCE_WORDS = 50, 5_000
 #: Greatest Jensen-Shannon distances of a kept document.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.45
-ALL = "*"
 #: The counted characters.
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
 CLASSES = ("lower", "upper", "letter", "digit", "space", "line", "stop", "punctuation", "symbol", "other")
@@ -103,56 +104,61 @@ def normal(word: bytes) -> bytes:
     return word.lower().strip(b".,;:!?")
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """For each language and for all: class counts, place of each common word, word counts with all other words last.
+#: A reference: class counts, place of each common word, word counts with all other words last.
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
+
 
-    Counted over all documents; what comes to the driver is at most MAX_LANGUAGES + 1 references of
-    COMMON_WORDS + len(CLASSES) + 1 numbers.
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str | None, Reference]:
+    """The reference of each language and, under None, that of all documents.
+
+    Counted over all documents; what comes to the driver is COMMON_WORDS words and the class counts of each language
+    that has a reference.
     """
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = defaultdict(Counter)
-        classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
-
-        def flush(last: bool):
-            out = [(lang, w, n) for lang, c in words.items() for w, n in c.items()]
-            if last:
-                out += [(lang, b"\x00" + str(k).encode(), int(n)) for lang, c in classes.items() for k, n in enumerate(c) if n]
-                out += [(lang, b"\x00n", int(c)) for lang, c in totals.items()]
+        words: dict[str | None, Counter] = defaultdict(Counter)
+        classes: dict[str | None, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
+
+        def flush() -> pa.RecordBatch:
+            out = [(lang, w, None, n) for lang, c in words.items() for w, n in c.items()]
+            out += [(lang, None, k, int(n)) for lang, c in classes.items() for k, n in enumerate(c) if n]
             words.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.int64())], names=["lang", "item", "n"])
+            classes.clear()
+            kinds = (pa.string(), pa.binary(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["lang", "word", "class", "n"])
 
-        totals: Counter = Counter()
         for batch in rows:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    found = list(map(normal, words_of(text)))
-                    words[lang].update(found)
-                    totals[lang] += len(found)
+                    words[lang].update(map(normal, words_of(text)))
                     classes[lang] += class_counts(text)
                     if sum(map(len, words.values())) > _FLUSH:
-                        yield flush(False)
-        yield flush(True)
-
-    rows = docs.select(F.coalesce(F.col(lang_col), F.lit(ALL)).alias("lang"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(count, "lang string, item binary, n bigint").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang", F.col("item").startswith(F.lit(b"\x00"))).orderBy(F.desc("n"), "item")
-    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON_WORDS + len(CLASSES) + 1)
-    by: dict[str, dict[bytes, int]] = defaultdict(dict)
+                        yield flush()
+        yield flush()
+
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counted = checkpointed(rows.mapInArrow(count, "lang string, word binary, class int, n bigint").groupBy("lang", "word", "class").agg(F.sum("n").alias("n")))
+    total = F.sum(F.when(F.col("word").isNotNull(), F.col("n")))
+    own = counted.where("lang IS NOT NULL")
+    large = own.groupBy("lang").agg(total.alias("total")).where(F.col("total") >= REFERENCE_WORDS)
+    every = counted.groupBy("word", "class").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "class", "n", F.lit(counted.agg(total).first()[0] or 0).cast("long").alias("total"))
+    both = own.join(large, "lang").select("lang", "word", "class", "n", "total").unionByName(every)
+    order = Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.desc("n"), "word", "class")
+    top = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON_WORDS)
+    by: dict[str | None, list] = defaultdict(list)
     for r in top.collect():
-        by[r["lang"]][bytes(r["item"])] = r["n"]
-    merged: Counter = Counter()
-    for counts in by.values():
-        merged.update(counts)
-    kept = sorted(by, key=lambda x: (-by[x].get(b"\x00n", 0), x))[:MAX_LANGUAGES]
-    return {lang: reference(counts) for lang, counts in ({x: by[x] for x in kept} | {ALL: merged}).items()}
+        by[r["lang"]].append(r)
+    return {lang: reference(found) for lang, found in by.items()}
 
 
-def reference(counts: dict[bytes, int]) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
-    classes = np.array([counts.get(b"\x00" + str(k).encode(), 0) for k in range(len(CLASSES))], float)
-    words = sorted(((n, w) for w, n in counts.items() if w[:1] != b"\x00"), key=lambda x: (-x[0], x[1]))[:COMMON_WORDS]
-    common = np.array([n for n, _ in words] + [max(0, counts.get(b"\x00n", 0) - sum(n for n, _ in words))], float)
-    return classes, {w: k for k, (_, w) in enumerate(words)}, common
+def reference(rows: list) -> Reference:
+    classes = np.zeros(len(CLASSES))
+    for r in rows:
+        if r["class"] is not None:
+            classes[r["class"]] = r["n"]
+    words = sorted(((r["rank"], bytes(r["word"]), r["n"]) for r in rows if r["word"] is not None), key=lambda x: x[0])
+    common = np.array([n for _, _, n in words] + [rows[0]["total"] - sum(n for _, _, n in words)], float)
+    return classes, {w: k for k, (_, w, _) in enumerate(words)}, common
 
 
 def judge(text: str | None, lang: str | None, known: dict) -> tuple:
@@ -165,7 +171,7 @@ def judge(text: str | None, lang: str | None, known: dict) -> tuple:
     repeats = repeated_words(words)
     failed = n < MIN_WORDS or 100 * repeats > MAX_REPEATED_PERCENT * n
     by_class = by_word = float("nan")
-    if n >= MIN_WORDS and (ref := known.get(lang or ALL) or known.get(ALL)):
+    if n >= MIN_WORDS and (ref := known.get(lang) or known.get(None)):
         by_class = divergence(class_counts(text), ref[0])
         own = np.bincount([ref[1].get(normal(w), len(ref[2]) - 1) for w in words], minlength=len(ref[2]))
         by_word = divergence(own, ref[2])
