@@ -84,7 +84,7 @@ def places(h: int, mask: int) -> tuple[int, int]:
 def table_of(found: list[int]) -> list[int]:
     """A table in which each hash stands at one of its two places (cuckoo hashing), else 0."""
     size = 1024
-    while size < 2.5 * len(found):
+    while size < 2.1 * len(found):
         size *= 2
     while True:
         table = [0] * size

@@ -34,8 +34,9 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fold = remainder("doc_id", 5)
+    # a null id is in no fold: not learned from and not held out
     found = language_id.identify(docs, language_id.fit(docs, fold != 0))
-    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(found: DataFrame, fold, *more: str) -> DataFrame:
-    return found.select("doc_id", fold.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"), *more)
+    return found.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"), *more)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
