@@ -273,6 +273,38 @@ def test_quality_rules(docs, odd, none):
     assert quality_rules.apply_rules(none, quality_rules.references(none)).count() == 0
 
 
+def test_references_by_definition(spark, monkeypatch):
+    """Counts of each language and of all, words that begin with a null character included; small languages have none of their own."""
+    monkeypatch.setattr(quality_rules, "REFERENCE_WORDS", 40)
+    rng = random.Random(2)
+    vocabulary = ["\x000", "\x00n", "*", *[f"w{k}" for k in range(90)]]
+    rows = [(i, " ".join(rng.choices(vocabulary, range(len(vocabulary), 0, -1), k=rng.randint(0, 30))), rng.choice(["en", "de", None, "*"]) if i else "rare", "a") for i in range(60)]
+    known = quality_rules.references(table(spark, rows))
+    assert set(known) == {"en", "de", "*", None}
+    for lang, (classes, place, common) in known.items():
+        texts = [t for _, t, g, _ in rows if lang is None or g == lang]
+        counts = collections.Counter(quality_rules.normal(w) for t in texts for w in quality_rules.words_of(t))
+        top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON_WORDS]
+        assert list(place) == [w for w, _ in top] and common.tolist() == [*[n for _, n in top], sum(counts.values()) - sum(n for _, n in top)]
+        assert classes.tolist() == sum(quality_rules.class_counts(t) for t in texts).tolist()
+    # verdicts by the distances' definition
+    for _, text, lang, _ in rows + [(0, " ".join(["zz"] * 30 + ["yy", "xx", "vv"] * 9 + [f"q{k}" for k in range(30)]), "en", "a")]:
+        n, *_, failed, kept, by_class, by_word = quality_rules.judge(text, lang, known)
+        if n >= quality_rules.MIN_WORDS:
+            classes, place, common = known.get(lang) or known[None]
+            own = np.zeros(len(common))
+            for w in quality_rules.words_of(text):
+                own[place.get(quality_rules.normal(w), len(common) - 1)] += 1
+            for got, p, q in ((by_class, quality_rules.class_counts(text), classes), (by_word, own, common)):
+                p, q = p / p.sum(), q / q.sum()
+                m = (p + q) / 2
+                want = sum(x * np.log2(x / z) for x, z in zip(p, m, strict=True) if x) / 2 + sum(x * np.log2(x / z) for x, z in zip(q, m, strict=True) if x) / 2
+                assert abs(got**2 - want) < 1e-9
+            assert kept == (not failed and by_class <= quality_rules.MAX_CLASS_DISTANCE and by_word <= quality_rules.MAX_WORD_DISTANCE)
+        else:
+            assert failed and not kept
+
+
 def test_divergence():
     assert quality_rules.divergence(np.array([1.0, 0]), np.array([0, 1.0])) == 1 and quality_rules.divergence(np.array([2.0, 6]), np.array([1.0, 3])) == 0
 
@@ -301,6 +333,31 @@ def test_quality_classifier(spark, odd, none):
     assert quality_classifier.score(none, model).count() == 0
 
 
+def test_contexts_pooling_and_forward_pass(spark):
+    texts = ["a b c", "b a a d", "", None, "c"]
+    words = quality_classifier.contexts(table(spark, [(i, t, None, None) for i, t in enumerate(texts)]))
+    at, sign = quality_classifier.index_vectors()
+    slot = lambda w: zlib.crc32(w.encode()) & (quality_classifier.SLOTS - 1)
+    want = np.zeros((quality_classifier.SLOTS, quality_classifier.DIMENSIONS))
+    for t in texts:
+        w = (t or "").split()
+        for i, x in enumerate(w):
+            for j, y in enumerate(w):
+                if 0 < abs(i - j) <= quality_classifier.WINDOW:
+                    for e in range(quality_classifier.ENTRIES):
+                        want[slot(x), at[slot(y), e]] += sign[slot(y), e]
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(words, want / np.maximum(norm, 1e-9), atol=1e-6)
+    got = quality_classifier.pooled(texts, words)
+    for row, t in zip(got, texts, strict=True):
+        v = np.array([words[slot(x)] for x in (t or "").split()])
+        assert np.allclose(row, np.r_[v.mean(0), v.std(0)] if len(v) else 0, atol=1e-4)
+    rng = np.random.default_rng(1)
+    layers = [rng.normal(size=s) for s in ((128, 5), (5,), (5, 1), (1,))]
+    hidden = [[np.tanh(sum(got[r, i] * layers[0][i, j] for i in range(128)) + layers[1][j]) for j in range(5)] for r in range(5)]
+    assert np.allclose(quality_classifier.logits(got, layers), [sum(h[j] * layers[2][j, 0] for j in range(5)) + layers[3][0] for h in hidden], atol=1e-5)
+
+
 def test_toxicity(spark, odd, none):
     model, area = scored(spark, toxicity, "toxic", 4, 2)
     assert area > 0.93
@@ -326,6 +383,36 @@ def maximal(w):
     return maximal(w[: best[0]]) + [best] + shift(maximal(w[best[1] :]), best[1])
 
 
+def test_decay_is_the_root_of_the_law():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        values, counts = np.r_[-0.04, rng.uniform(-1, 6, 5)], np.r_[10_000, rng.integers(1, 20, 5)].astype(float)
+        x = toxicity.decay_of(values, counts)
+        if values @ counts < 0 < values.max():
+            assert x > 0 and abs(counts @ np.exp(x * values) / counts.sum() - 1) < 1e-6
+    # odds of two distributions, untouched: the decay is 1
+    p, q = np.array([0.7, 0.2, 0.1]), np.array([0.2, 0.3, 0.5])
+    assert abs(toxicity.decay_of(np.log(q / p), p) - 1) < 1e-6 and toxicity.decay_of(np.array([1.0]), np.array([1.0])) == 1
+    sample = rng.gumbel(2.5, 1, 20_000)
+    assert abs(toxicity.gumbel_level(sample) - 2.5) < 0.05
+
+
+def test_log_odds_by_definition():
+    rng = np.random.default_rng(6)
+    toxic, other, prior = (rng.integers(0, 60, 40).astype(float) for _ in range(3))
+    odds, z = toxicity.log_odds(toxic, other, prior)
+    every = prior + toxic + other + 0.01
+    for k in range(40):
+        alpha = toxicity.PRIOR_WEIGHT * every[k] / every.sum()
+        a, b = toxic[k] + alpha, other[k] + alpha
+        n, m = toxic.sum() + toxicity.PRIOR_WEIGHT, other.sum() + toxicity.PRIOR_WEIGHT
+        value = np.log(a / (n - a)) - np.log(b / (m - b))
+        if abs(value / np.sqrt(1 / a + 1 / b)) < toxicity.LEAST_Z:
+            assert odds[k] == z[k] == 0
+        else:
+            assert abs(odds[k] - min(max(value, -1), toxicity.CLIP)) < 1e-9
+
+
 def test_segments():
     rng = np.random.default_rng(8)
     for _ in range(300):
@@ -367,6 +454,31 @@ def test_mixing(docs, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_draws_as_odds_say(spark):
+    """Documents of a size are taken as often as their solved inclusion probability; sizes that would pass 1, always."""
+    rng = random.Random(12)
+    kinds = {5: 3000, 20: 2000, 80: 400, 4000: 4}
+    rows = [(i, " ".join(["w"] * n), None, s) for i, (n, s) in enumerate((n, s) for s in "ab" for n, k in kinds.items() for _ in range(k))]
+    rng.shuffle(rows)
+    got = mixing.mix(table(spark, rows)).toPandas()
+    words, docs_ = sum(n * k for n, k in kinds.items()), sum(kinds.values())
+    for source, wanted in (("a", 0), ("b", None)):
+        g = got[got.source == source]
+        wanted = g["target"].iloc[0] - words * (g["target"].iloc[0] // words)
+        pull = {n: 0.5 + 0.5 * n * docs_ / words for n in kinds}
+        certain: set = set()
+        while True:
+            scale = (wanted - sum(n * kinds[n] for n in certain)) / sum(pull[n] * n * kinds[n] for n in kinds if n not in certain)
+            more = {n for n in kinds if n not in certain and scale * pull[n] >= 1}
+            if not more:
+                break
+            certain.add(max(more))
+        extra = (g["taken"] / g["size"]) - g["target"].iloc[0] // words
+        for n in kinds:
+            share, chance = extra[g["size"] == n].mean(), 1 if n in certain else scale * pull[n]
+            assert abs(share - chance) < 4 * (chance * (1 - chance) / kinds[n]) ** 0.5 + 0.02, (source, n, share, chance)
+
+
 def test_line_dedup(spark, none):
     rng = random.Random(6)
     lines = [f"line number {i} of many words" for i in range(12)] + ["two words", ""]
