@@ -1,9 +1,8 @@
-"""Consensus genotypes, mismatch strings and the filters of called variants."""
+"""Consensus genotypes, mismatch strings and genotypes of gaps."""
 
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -127,66 +126,6 @@ def mismatches_of(cigar: str, seq: str, ref: str) -> tuple[int, str]:
     return distance, "".join([*out, str(run)])
 
 
-#: Letters of the filters by number.
-FILTERS = "UQdDWGgsiX"
-
-
-def filtered_variants(sites: DataFrame, d: int = 3, D: int = 100, l: int = 30, Q: int = 25, q: int = 10, G: int = 25, s: int = 100, w: int = 10, W: int = 10, N: int = 2, S: int = 0, i: int = 0) -> DataFrame:  # noqa: E741
-    """``sites`` (tid, pos, ref, cons, snp_q, rms_q, depth, allele1, allele2, n1, n2) with ``filter``, U where it passes.
-
-    Gaps whose genotype is ``*/*`` are no variants and are left out. What holds for a site depends on what held for those before it within the greatest window, so each reference's
-    sites are passed in order, with no more than that window in hand.
-    """
-    reach = max(l, w, W)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: deque = deque()
-        for batch in batches:
-            done = []
-            for row in batch.itertuples(index=False):
-                while held and (held[0]["tid"] != row.tid or held[0]["pos"] + held[0]["size"] + reach < row.pos):
-                    done.append(held.popleft())
-                held.append(judged(row, held))
-            yield pd.DataFrame([(x["tid"], x["pos"], x["ref"], x["cons"], FILTERS[x["flag"]]) for x in done], columns=["tid", "pos", "ref", "cons", "filter"])
-        yield pd.DataFrame([(x["tid"], x["pos"], x["ref"], x["cons"], FILTERS[x["flag"]]) for x in held], columns=["tid", "pos", "ref", "cons", "filter"])
-
-    def judged(row, held: deque) -> dict:
-        gap = row.ref == "*"
-        near = lambda x, size: x["pos"] + x["size"] + size >= row.pos
-        here = {"tid": row.tid, "pos": row.pos, "ref": row.ref, "cons": row.cons, "size": 0, "score": -1, "flag": 2 if row.depth < d else 3 if row.depth > D else 0}
-        if row.snp_q < (i if gap else S):
-            here["flag"] = 8 if gap else 7
-        if here["flag"]:
-            return here
-        if gap:
-            here["size"] = max([len(a) - 1 for a in row.cons.split("/") if a.startswith("-")], default=0)
-            here["flag"] = int(row.rms_q < q)
-            if row.snp_q >= G:
-                for x in held:
-                    if x["score"] < 0 and near(x, w) and not x["flag"]:
-                        x["flag"] = 5
-            here["score"] = row.snp_q + s * ((row.n1 if row.allele1 != "*" else 0) + (row.n2 if row.allele2 != "*" else 0))
-            for x in held:
-                if x["score"] >= 0 and near(x, l):
-                    if x["score"] >= here["score"]:
-                        here["flag"] = 6
-                        break
-                    x["flag"] = 6
-            return here
-        here["flag"] = int(row.rms_q < Q)
-        close = [x for x in held if x["score"] < 0 and near(x, W)]
-        if 1 + sum(x["flag"] in (0, 4, 5) for x in close) > N:
-            here["flag"] = 4
-            for x in close:
-                x["flag"] = x["flag"] or 4
-        elif any(x["score"] >= G and near(x, w) for x in held):
-            here["flag"] = 5
-        return here
-
-    ordered = sites.where("cons <> '*/*'").select("tid", "pos", "ref", "cons", "snp_q", "rms_q", "depth", "allele1", "allele2", "n1", "n2").repartition("tid").sortWithinPartitions("tid", "pos", "ref")
-    return ordered.mapInPandas(run, "tid long, pos long, ref string, cons string, filter string")
-
-
 #: Defaults of the gap model: quality of an indel in sequencing, dependency of its further lengths, prior of one between haplotypes.
 GAP_QUALITY, GAP_DEPENDENCY, GAP_RATE = 40, 0.9, 0.00015
 
@@ -242,7 +181,7 @@ def gaps(aln: DataFrame) -> DataFrame:
 
 
 def variant_sites(aln: DataFrame, refs: DataFrame) -> DataFrame:
-    """Sites whose consensus differs from the reference, and all indel sites, in the columns of ``filtered_variants``."""
+    """Sites whose consensus differs from the reference, and all indel sites, in the columns of ``variants.filtered_variants``."""
     called = pileup.with_reference(consensus(aln), refs)
     empty = [F.lit("").alias("allele1"), F.lit("").alias("allele2"), F.lit(0).cast("bigint").alias("n1"), F.lit(0).cast("bigint").alias("n2")]
     snps = called.where((F.col("cons") != F.col("ref")) & (F.col("cons") != "N")).select("tid", "pos", "ref", "cons", F.col("cons_q").alias("snp_q"), "rms_q", "depth", *empty)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.functions import cigar as C
-from strandlight.operators import calls, dedup, filters, pairing, pileup, rescue, seeds, sorting, stats
+from strandlight.operators import calls, dedup, filters, pairing, pileup, rescue, seeds, sorting, stats, variants
 from strandlight.plans.fixtures import aln, refs, special_refs
 from strandlight.sources import sam
 
@@ -258,7 +258,7 @@ def nm_md(spark, sf_dir):
 
 @query
 def variant_filter(spark, sf_dir):
-    return calls.filtered_variants(calls.variant_sites(masked(spark, sf_dir), refs(spark, sf_dir)))
+    return variants.filtered_variants(calls.variant_sites(masked(spark, sf_dir), refs(spark, sf_dir)))
 
 
 @query

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from strandlight.functions import cigar as C
-from strandlight.operators import calls, filters, pairing, pileup, rescue, sorting, stats
+from strandlight.operators import calls, filters, pairing, pileup, rescue, sorting, stats, variants
 from strandlight.plans.fixtures import aln, refs, special_refs
 from strandlight.sources import bam, fasta, sam
 
@@ -85,10 +85,57 @@ def test_variant_filter_marks_dense_and_gaps(spark):
     gap = lambda pos: (0, pos, "*", "*/+A", 60, 60, 20, "*", "+A", 0, 5)
     rows = [snp(100), snp(103), snp(106), snp(500), gap(503), snp(900)]
     df = spark.createDataFrame(rows, "tid long, pos long, ref string, cons string, snp_q long, rms_q long, depth long, allele1 string, allele2 string, n1 long, n2 long")
-    got = {(r["pos"], r["ref"]): r["filter"] for r in calls.filtered_variants(df).collect()}
+    got = {(r["pos"], r["ref"]): r["filter"] for r in variants.filtered_variants(df).collect()}
     assert got == {(100, "A"): "W", (103, "A"): "W", (106, "A"): "W", (500, "A"): "G", (503, "*"): "U", (900, "A"): "U"}
 
 
+def filters_brute(rows, d=3, D=100, l=30, Q=25, q=10, G=25, s=100, w=10, W=10, N=2, S=0, i=0):  # noqa: E741
+    size = lambda r: max(len(a) - 1 if a[0] == "-" else 0 for a in r[3].split("/")) if r[2] == "*" else 0
+    score = lambda r: r[4] + s * ((r[9] if r[7] != "*" else 0) + (r[10] if r[8] != "*" else 0))
+    own = lambda r: "d" if r[6] < d else "D" if r[6] > D else ("i" if r[2] == "*" else "s") if r[4] < (i if r[2] == "*" else S) else None
+    good = [r for r in rows if not own(r) and r[3] != "*/*"]
+    gaps, snps = [r for r in good if r[2] == "*"], [r for r in good if r[2] != "*" and r[5] >= Q]
+    out = {}
+    for r in rows:
+        if r[3] == "*/*":
+            continue
+        flag = own(r)
+        if not flag and r[2] == "*":
+            flag = "Q" if r[5] < q else "U"
+            for x in gaps:
+                near = x[0] == r[0] and x != r and (x[1] + size(x) + l >= r[1] if (x[1], x[3]) < (r[1], r[3]) else r[1] + size(r) + l >= x[1])
+                if near and (score(x), -x[1], [-ord(c) for c in x[3]]) > (score(r), -r[1], [-ord(c) for c in r[3]]):
+                    flag = "g"
+        elif not flag:
+            flag = "Q" if r[5] < Q else "U"
+            if any(x[0] == r[0] and x[4] >= G and x[1] - w <= r[1] <= x[1] + size(x) + w for x in gaps):
+                flag = "G"
+            if r[5] >= Q and any(sum(y[0] == r[0] and x[1] - W <= y[1] <= x[1] for y in snps) > N for x in snps if x[0] == r[0] and r[1] <= x[1] <= r[1] + W):
+                flag = "W"
+        out[r[0], r[1], r[2], r[3]] = flag
+    return out
+
+
+def test_variant_filters_are_their_rules(spark):
+    rng = random.Random(5)
+    rows = {}
+    for _ in range(400):
+        # around the borders of cells and stretches, on references longer than a stretch
+        pos = max(0, rng.choice([0, 256, 1 << 16, 1 << 17]) + rng.randint(-90, 90))
+        common = (rng.choice([0, 10, 24, 25, 26, 60, 200]), rng.choice([5, 9, 10, 24, 25, 60]), rng.choice([2, 3, 20, 20, 20, 100, 101]))
+        if rng.random() < 0.3:
+            a, b = rng.choice(["*", "+A", "-NN"]), rng.choice(["*", "+AC", "-" + "N" * rng.choice([1, 70, 300])])
+            rows[rng.randint(0, 1), pos, "*"] = (f"{a}/{b}", *common, a, b, rng.randint(0, 4), rng.randint(0, 4))
+        else:
+            rows[rng.randint(0, 1), pos, "A"] = ("G", *common, "", "", 0, 0)
+    rows = [(*k, *v) for k, v in rows.items()]
+    df = spark.createDataFrame(rows, "tid long, pos long, ref string, cons string, snp_q long, rms_q long, depth long, allele1 string, allele2 string, n1 long, n2 long")
+    for options in ({}, {"S": 20, "i": 30, "N": 4, "l": 300}):
+        got = {(r["tid"], r["pos"], r["ref"], r["cons"]): r["filter"] for r in variants.filtered_variants(df, **options).collect()}
+        assert got == filters_brute(rows, **options)
+    assert set("UQdDWGg") <= set(filters_brute(rows).values())
+
+
 def test_gaps_are_called_from_their_reads(spark):
     """Own mapping quality, counts, alleles and quality of each gap; a poorly mapped one is filtered and a weak one flags no SNP."""
     reads = []
@@ -113,9 +160,9 @@ def test_gaps_are_called_from_their_reads(spark):
     assert seen(404)[0] == "*/*" and seen(404)[1] == 0
     sites = calls.variant_sites(aln, refs)
     assert {r["pos"] for r in sites.where("ref = '*'").collect()} == set(got)
-    flags = {(r["pos"], r["ref"]): r["filter"] for r in calls.filtered_variants(sites).collect()}
+    flags = {(r["pos"], r["ref"]): r["filter"] for r in variants.filtered_variants(sites).collect()}
     assert flags[104, "*"] == "Q" and flags[204, "*"] == "U" and flags[198, "A"] == "U" and (404, "*") not in flags
-    strict = {(r["pos"], r["ref"]): r["filter"] for r in calls.filtered_variants(sites, S=256, i=20).collect()}
+    strict = {(r["pos"], r["ref"]): r["filter"] for r in variants.filtered_variants(sites, S=256, i=20).collect()}
     assert strict[204, "*"] == "i" and strict[198, "A"] == "s" and strict[304, "*"] == "U"
 
 
