@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import glob
 import os
+import shutil
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -141,19 +143,28 @@ class Reader(DataSourceReader):
                 yield decoded(stream.take(struct.unpack("<i", size)[0]), refs)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    name: str
+
+
 class Writer(DataSourceWriter):
-    """Each task writes a whole file with the header; files of failed tasks are never renamed into place."""
+    """Each task writes a whole file with the header into a folder of the job; commit moves the files of the tasks that count.
+
+    So a task that is repeated leaves nothing twice, and a job that fails leaves nothing.
+    """
 
-    def __init__(self, path: str, options: dict):
-        self.path, self.text = path, options.get("header", "")
+    def __init__(self, path: str, options: dict, overwrite: bool):
+        self.path, self.text, self.overwrite = path, options.get("header", ""), overwrite
+        self.staging = os.path.join(path, f"_temporary-{uuid.uuid4().hex}")
 
     def write(self, rows) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{uuid.uuid4().hex}.bam")
+        os.makedirs(self.staging, exist_ok=True)
+        name = f"part-{uuid.uuid4().hex}.bam"
         refs = [dict(t.split(":", 1) for t in line.split("\t")[1:]) for line in self.text.splitlines() if line.startswith("@SQ")]
         data = b"BAM\x01" + struct.pack("<i", len(self.text)) + self.text.encode() + struct.pack("<i", len(refs))
         data += b"".join(struct.pack("<i", len(r["SN"]) + 1) + r["SN"].encode() + b"\x00" + struct.pack("<i", int(r["LN"])) for r in refs)
-        with open(name + ".tmp", "wb") as file:
+        with open(os.path.join(self.staging, name), "wb") as file:
             for row in rows:
                 data += encoded(row)
                 while len(data) >= BLOCK:
@@ -162,8 +173,19 @@ class Writer(DataSourceWriter):
             if data:
                 file.write(compressed(data))
             file.write(END_BLOCK)
-        os.replace(name + ".tmp", name)
-        return WriterCommitMessage()
+        return Written(name)
+
+    def commit(self, messages: list) -> None:
+        if self.overwrite:
+            for old in glob.glob(os.path.join(self.path, "*.bam")):
+                os.remove(old)
+        for message in messages:
+            if message is not None:
+                os.replace(os.path.join(self.staging, message.name), os.path.join(self.path, message.name))
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+    def abort(self, messages: list) -> None:
+        shutil.rmtree(self.staging, ignore_errors=True)
 
 
 class BamSource(DataSource):
@@ -178,7 +200,7 @@ class BamSource(DataSource):
         return Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], self.options)
+        return Writer(self.options["path"], self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

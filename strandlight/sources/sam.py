@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlight.functions import cigar as C
@@ -13,23 +13,30 @@ def _names(refs: DataFrame, tid: str, name: str) -> DataFrame:
 
 
 def formatted(aln: DataFrame, refs: DataFrame) -> DataFrame:
-    """One ``value`` column of tab-separated lines; the mate's reference is ``=`` where it is the read's own."""
-    found = aln.join(_names(refs, "tid", "rname"), "tid", "left").join(_names(refs, "mtid", "mname"), "mtid", "left")
+    """One ``value`` column of tab-separated lines; the mate's reference is ``=`` where it is the read's own.
+
+    ``qual`` and ``extra`` (the tags as text, in their order) are written where the input has them, else ``*`` and the
+    read group.
+    """
+    found = aln.drop("rname", "mname").join(_names(refs, "tid", "rname"), "tid", "left").join(_names(refs, "mtid", "mname"), "mtid", "left")
     mate = F.when(F.col("mname").isNull(), "*").when(F.col("mtid") == F.col("tid"), "=").otherwise(F.col("mname"))
-    cells = ["qname", "flag", F.coalesce("rname", F.lit("*")), F.col("pos") + 1, "mapq", "cigar", mate, F.col("mpos") + 1, "isize", "seq", F.lit("*")]
-    tag = F.when(F.col("rg").isNotNull(), F.concat(F.lit("RG:Z:"), F.col("rg")))
+    cells = ["qname", "flag", F.coalesce("rname", F.lit("*")), F.col("pos") + 1, "mapq", "cigar", mate, F.col("mpos") + 1, "isize", F.coalesce("seq", F.lit("*")), F.coalesce("qual", F.lit("*")) if "qual" in aln.columns else F.lit("*")]
+    tag = F.when(F.size("extra") > 0, F.array_join("extra", "\t")) if "extra" in aln.columns else F.when(F.col("rg").isNotNull(), F.concat(F.lit("RG:Z:"), F.col("rg")))
     return found.select(F.concat_ws("\t", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cells], tag).alias("value"))
 
 
 def parsed(lines: DataFrame, refs: DataFrame) -> DataFrame:
-    """Alignments of text lines without headers. A mapped read without a CIGAR becomes unmapped; names unknown are -1."""
+    """Alignments of text lines without headers. A mapped read without a CIGAR becomes unmapped; names unknown are -1.
+
+    ``tags`` maps names to values; ``extra`` has the tags as they stand, with their types.
+    """
     cell = F.split("value", "\t")
     body = lines.where(~F.col("value").startswith("@"))
     tags = F.transform(F.slice(cell, 12, 1 << 20), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 1 << 20)))
     raw = body.select(
         cell[0].alias("qname"), F.when(cell[1].startswith("0x"), F.conv(F.substring(cell[1], 3, 9), 16, 10)).otherwise(cell[1]).cast("bigint").alias("flag"), cell[2].alias("rname"), (cell[3].cast("bigint") - 1).alias("pos"),
         cell[4].cast("bigint").alias("mapq"), F.regexp_replace(cell[5], "[=X]", "M").alias("cigar"), F.when(cell[6] == "=", cell[2]).otherwise(cell[6]).alias("mname"), (cell[7].cast("bigint") - 1).alias("mpos"),
-        cell[8].cast("bigint").alias("isize"), F.when(cell[9] != "*", cell[9]).alias("seq"), F.when(cell[10] != "*", cell[10]).alias("qual"), F.map_from_entries(tags).alias("tags"),
+        cell[8].cast("bigint").alias("isize"), F.when(cell[9] != "*", cell[9]).alias("seq"), F.when(cell[10] != "*", cell[10]).alias("qual"), F.map_from_entries(tags).alias("tags"), F.slice(cell, 12, 1 << 20).alias("extra"),
     )
     found = raw.join(_names(refs, "tid", "rname"), "rname", "left").join(_names(refs, "mtid", "mname"), "mname", "left")
     flag = F.when((F.col("cigar") == "*") & (F.col("rname") != "*"), F.col("flag").bitwiseOR(F.lit(C.UNMAPPED))).otherwise(F.col("flag"))
@@ -45,13 +52,12 @@ def headers(lines: DataFrame) -> DataFrame:
 
 
 def header_refs(lines: DataFrame) -> DataFrame:
-    """(tid, rname, len) of the header's sequences, numbered in the order of the file's lines."""
+    """(tid, rname, len) of the header's sequences, numbered in the order of the lines; files with the same header count once."""
     numbered = lines.withColumn("line", F.monotonically_increasing_id())
-    found = numbered.where(F.col("value").startswith("@SQ"))
-    from pyspark.sql import Window
-
+    found = numbered.where(F.col("value").startswith("@SQ")).select("line", F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("rname"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("bigint").alias("len"))
     # a header has few lines
-    return found.select((F.row_number().over(Window.orderBy("line")) - 1).cast("bigint").alias("tid"), F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("rname"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("bigint").alias("len"))
+    once = found.groupBy("rname").agg(F.min_by("len", "line").alias("len"), F.min("line").alias("line"))
+    return once.select((F.row_number().over(Window.orderBy("line")) - 1).cast("bigint").alias("tid"), "rname", "len")
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -61,8 +67,16 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parsed(lines, refs), refs
 
 
-def write(aln: DataFrame, refs: DataFrame, path: str, compression: str = "none") -> None:
-    formatted(aln, refs).write.option("compression", compression).text(path)
+def header_lines(refs: DataFrame, order: str = "unsorted") -> DataFrame:
+    """One ``value`` column: the header of references (tid, rname, len), in their order."""
+    first = refs.sparkSession.createDataFrame([(f"@HD\tVN:1.0\tSO:{order}",)], "value string")
+    names = refs.orderBy("tid").select(F.format_string("@SQ\tSN:%s\tLN:%d", "rname", F.col("len").cast("bigint")).alias("value"))
+    return first.coalesce(1).union(names.coalesce(1)).coalesce(1)
+
+
+def write(aln: DataFrame, refs: DataFrame, path: str, compression: str = "none", order: str = "unsorted", mode: str = "errorifexists") -> None:
+    """Text files whose first holds the header alone, so that the files one after another are one valid file."""
+    header_lines(refs, order).union(formatted(aln, refs)).write.mode(mode).option("compression", compression).text(path)
 
 
 def as_bed(aln: DataFrame, refs: DataFrame) -> DataFrame:
@@ -72,6 +86,8 @@ def as_bed(aln: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def as_fastq(aln: DataFrame) -> DataFrame:
-    """(name, seq): reads as sequenced, mates with a suffix."""
+    """(name, seq, and qual where the input has it): reads as sequenced, mates with a suffix."""
     suffix = F.when(C.has("flag", C.READ1), "/1").when(C.has("flag", C.READ2), "/2").otherwise("")
-    return aln.select(F.concat("qname", suffix).alias("name"), F.when(C.has("flag", C.REVERSE), C.reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"))
+    turned = C.has("flag", C.REVERSE)
+    qual = [F.when(turned, F.reverse("qual")).otherwise(F.col("qual")).alias("qual")] if "qual" in aln.columns else []
+    return aln.select(F.concat("qname", suffix).alias("name"), F.when(turned, C.reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"), *qual)

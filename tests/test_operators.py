@@ -221,3 +221,70 @@ def test_empty_tables(spark):
     none = aln(spark, SF).limit(0)
     assert stats.depth(none).count() == 0 and pairing.mate_pairs(none, 10).count() == 0 and stats.flagstat(none).first()["total"] == 0
     assert sorting.ranked(none, sorting.coordinate_order()).count() == 0
+
+
+def test_runs_and_islands_over_borders(spark):
+    rng = random.Random(7)
+    rows = [(0, 65_000, 66_000), (0, 65_536, 65_537), (1, 10, 200_000), (1, 131_072, 131_073), (2, 65_000, 65_536), (2, 65_536, 66_000)]
+    rows += [(3, a, a + rng.randint(1, 40)) for a in (rng.randint(0, 600) for _ in range(60))]
+    spans = spark.createDataFrame(rows, "tid long, begin long, end long")
+    for bucket in (1 << 16, 32):
+        if bucket == 32:
+            spans, rows = spans.where("tid = 3"), [r for r in rows if r[0] == 3]
+        runs, want = sorted(tuple(r) for r in stats.coverage_runs(spans, bucket).select("tid", "begin", "end", "depth").collect()), []
+        for tid in sorted({r[0] for r in rows}):
+            own = [r for r in rows if r[0] == tid]
+            edges = sorted({x for r in own for x in r[1:]})
+            for a, b in zip(edges, edges[1:], strict=False):
+                n = sum(r[1] <= a < r[2] for r in own)
+                if n and want and want[-1][0] == tid and want[-1][2] == a and want[-1][3] == n:
+                    want[-1] = (*want[-1][:2], b, n)
+                elif n:
+                    want.append((tid, a, b, n))
+        assert runs == want
+        joined, islands = [], sorted(tuple(r) for r in stats.islands(spans, bucket=bucket).select("tid", "begin", "end").collect())
+        for tid, a, b in sorted(rows):
+            if joined and joined[-1][0] == tid and a <= joined[-1][2]:
+                joined[-1] = (tid, joined[-1][1], max(b, joined[-1][2]))
+            else:
+                joined.append((tid, a, b))
+        assert islands == joined
+
+
+def test_dense_over_borders(spark):
+    at = [0, 5, 65_530, 65_535, 65_536, 65_540, 65_541, 131_080]
+    got = {r["pos"]: (r["near"], r["dense"]) for r in pileup.dense(spark.createDataFrame([(0, p) for p in at], "tid long, pos long"), 10, 2).collect()}
+    assert got == {p: (n := sum(p - 10 <= x <= p for x in at), n > 2) for p in at}
+
+
+def test_text_written_reads_back(spark, tmp_path):
+    body = TOY.split("\n", 1)[1].rstrip("\n").split("\n")
+    lines = spark.createDataFrame([(x,) for x in ["@SQ\tSN:other\tLN:9", "@SQ\tSN:ref\tLN:45", *body, "r009\t16\tref\t20\t3\t3M\t*\t0\t0\tACG\tAB!\tXT:A:U\tNM:i:2"]], "value string").coalesce(1)
+    known = sam.header_refs(lines)
+    reads = sam.parsed(lines, known)
+    path = str(tmp_path / "text")
+    sam.write(reads, known, path, order="coordinate")
+    again, found = sam.read(spark, path)
+    assert sorted(map(tuple, found.collect())) == [(0, "other", 9), (1, "ref", 45)]
+    columns = [c for c in reads.columns if c != "tags"]
+    assert sorted(map(str, again.select(columns).collect())) == sorted(map(str, reads.select(columns).collect())) and again.where("qual = 'AB!' AND tags['NM'] = '2' AND tid = 1").count() == 1
+    # two files with one header each have one set of references
+    sam.write(reads, known, path, mode="append")
+    assert sam.read(spark, path)[1].count() == 2
+    fastq = {r["name"]: (r["seq"], r["qual"]) for r in sam.as_fastq(again).collect()}
+    assert fastq["r009"] == ("CGT", "!BA")
+
+
+def test_binary_files_of_repeated_tasks_count_once(spark, tmp_path):
+    writer = bam.Writer(str(tmp_path), {"header": "@SQ\tSN:ref\tLN:45"}, False)
+    first, again = writer.write(iter(())), writer.write(iter(()))
+    assert not list(tmp_path.glob("*.bam"))
+    writer.commit([first])
+    assert [p.name for p in tmp_path.iterdir()] == [first.name] and again.name != first.name
+    writer = bam.Writer(str(tmp_path), {"header": "@SQ\tSN:ref\tLN:45"}, True)
+    failed = writer.write(iter(()))
+    writer.abort([failed])
+    assert [p.name for p in tmp_path.iterdir()] == [first.name]
+    last = writer.write(iter(()))
+    writer.commit([last, None])
+    assert [p.name for p in tmp_path.iterdir()] == [last.name]
