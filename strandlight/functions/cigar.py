@@ -98,15 +98,23 @@ def alignment_status(flag: str, mapq: str, cigar: str, length: Column, clip: flo
     return F.when(has(flag, UNMAPPED), "orphan").when(soft, "soft").when(good, "anchor").otherwise("poor")
 
 
+def _mode(bits: int, turned: bool) -> int:
+    """The mode of a pair by the four bits REVERSE, MATE_REVERSE, READ1, READ2 of its lower or, if ``turned``, upper read."""
+    reverse, mate_reverse, first, second = ((bits >> k) & 1 for k in range(4))
+    if first == second:
+        return -1
+    own, mate = reverse + 2 * second, mate_reverse + 2 * first
+    up, down = (mate, own) if turned else (own, mate)
+    # the upper one of a valid pair has the mate bit where the lower has none; numbers go by the upper's code
+    return up * 2 + down - 2 if up < 2 <= down else 4 + (up - 2) * 2 + down if down < 2 <= up else -1
+
+
 def pair_mode(flag: str, isize: str) -> Column:
     """Number (0-7) of the orientation of a pair, -1 where both or neither of the mate bits are set."""
-    first, second = has(flag, READ1), has(flag, READ2)
-    own = has(flag, REVERSE).cast("int") + F.when(second, 2).otherwise(0)
-    mate = has(flag, MATE_REVERSE).cast("int") + F.when(first, 2).otherwise(0)
-    up, down = F.when(F.col(isize) < 0, mate).otherwise(own), F.when(F.col(isize) < 0, own).otherwise(mate)
-    # the upper one of a valid pair has the mate bit where the lower has none; numbers go by the upper's code
-    number = F.when((up < 2) & (down >= 2), up * 2 + down - 2).when((up >= 2) & (down < 2), 4 + (up - 2) * 2 + down).otherwise(-1)
-    return F.when(first == second, F.lit(-1)).otherwise(number).cast("bigint")
+    # a table of the 32 cases keeps the expression, and the code generated for it, small
+    table = F.array(*[F.lit(_mode(k & 15, k > 15)).cast("bigint") for k in range(32)])
+    case = F.shiftright(flag, 4).bitwiseAND(F.lit(15)) + F.when(F.col(isize) < 0, 16).otherwise(0)
+    return F.get(table, case.cast("int"))
 
 
 def natural_key(name: str) -> Column:

@@ -50,8 +50,12 @@ def likelihood_records(aln: DataFrame) -> DataFrame:
     raw = likelihoods()
     least = F.least(*raw)
     whole = lambda x: F.least(F.lit(255), F.floor((x + UNIT // 2) / UNIT)).cast("bigint")
-    before = F.lag("pos").over(Window.partitionBy("tid").orderBy("pos"))
-    found = evidence(aln).withColumn("offset", F.col("pos") - F.coalesce(before, F.lit(0)))
+    sites = evidence(aln).withColumn("part", F.floor(F.col("pos") / pileup.TILE))
+    # the site before the first of a stretch is the last of the stretch before it that has any: one row for each
+    last = sites.groupBy("tid", "part").agg(F.max("pos").alias("last"))
+    last = last.select("tid", "part", F.lag("last").over(Window.partitionBy("tid").orderBy("part")).alias("earlier"))
+    before = F.coalesce(F.lag("pos").over(Window.partitionBy("tid", "part").orderBy("pos")), F.col("earlier"), F.lit(0))
+    found = sites.join(last, ["tid", "part"]).withColumn("offset", F.col("pos") - before)
     return found.select("tid", "pos", "offset", "depth", "rms_q", whole(least).alias("min_lk"), F.array(*[whole(x - least) for x in raw]).alias("lk"))
 
 
@@ -88,7 +92,7 @@ def mismatch_strings(aln: DataFrame, refs: DataFrame) -> DataFrame:
     """
     placed = aln.where((F.col("tid") >= 0) & ~C.has("flag", C.UNMAPPED)).withColumns({"tile": F.floor(F.col("pos") / pileup.TILE), "span": C.length_of("cigar", "MDN=X")})
     fits = F.col("pos") % pileup.TILE + F.col("span") <= pileup.TILE + pileup.MARGIN
-    near = placed.where(fits).join(pileup.tiled(refs), ["tid", "tile"])
+    near = placed.where(fits).join(pileup.tiled(refs).drop("len"), ["tid", "tile"])
     near = near.select("qname", "m", "rec_no", "cigar", "seq", F.substring("tile_bases", (F.col("pos") % pileup.TILE + 1).cast("int"), F.col("span").cast("int")).alias("ref"))
     keys = ["read", "qname", "m", "rec_no", "cigar", "seq"]
     # one number a read, as reads may be equal in all columns; skips are dropped from the CIGAR as from the stretches

@@ -38,15 +38,15 @@ def elements(aln: DataFrame) -> DataFrame:
     )
 
 
-def tiled(refs: DataFrame) -> DataFrame:
-    """(tid, tile, tile_bases): references in stretches with a margin, so that no join carries a whole one."""
-    tiles = refs.select("tid", "bases", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("bases") - 1) / TILE))).alias("tile"))
-    return tiles.select("tid", "tile", F.substring("bases", (F.col("tile") * TILE + 1).cast("int"), F.lit(TILE + MARGIN)).alias("tile_bases"))
+def tiled(refs: DataFrame, tile: int = TILE, margin: int = MARGIN) -> DataFrame:
+    """(tid, len, tile, tile_bases): references in stretches with a margin, so that no join carries a whole one."""
+    tiles = refs.select("tid", F.length("bases").alias("len"), "bases", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("bases") - 1) / tile))).alias("tile"))
+    return tiles.select("tid", "len", "tile", F.substring("bases", (F.col("tile") * tile + 1).cast("int"), F.lit(tile + margin)).alias("tile_bases"))
 
 
 def with_reference(sites: DataFrame, refs: DataFrame) -> DataFrame:
     """``sites`` with ``ref``, the reference's base, and ``ref_next``, the bases after it as far as the margin goes."""
-    placed = sites.withColumn("tile", F.floor(F.col("pos") / TILE)).join(tiled(refs), ["tid", "tile"])
+    placed = sites.withColumn("tile", F.floor(F.col("pos") / TILE)).join(tiled(refs).drop("len"), ["tid", "tile"])
     at = (F.col("pos") % TILE).cast("int")
     return placed.withColumns({"ref": F.substring("tile_bases", at + 1, F.lit(1)), "ref_next": F.substring("tile_bases", at + 2, F.lit(60))}).drop("tile", "tile_bases")
 
@@ -60,7 +60,7 @@ def stretches(spans: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
     cut = spans.where("size > 0").withColumn("tile", F.explode(F.sequence(F.floor(F.col("begin") / TILE), F.floor((end - 1) / TILE))))
     first = F.greatest(F.col("begin"), F.col("tile") * TILE)
     part = F.substring("tile_bases", (first - F.col("tile") * TILE + 1).cast("int"), (F.least(end, (F.col("tile") + 1) * TILE) - first).cast("int"))
-    found = cut.join(tiled(refs), ["tid", "tile"]).select(*keys, F.struct(first.alias("first"), part.alias("part")).alias("x"))
+    found = cut.join(tiled(refs).drop("len"), ["tid", "tile"]).select(*keys, F.struct(first.alias("first"), part.alias("part")).alias("x"))
     return found.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["part"]), "").alias("text"))
 
 
@@ -151,5 +151,9 @@ def as_variants(sites: DataFrame) -> DataFrame:
 
 def dense(sites: DataFrame, within: int, most: int) -> DataFrame:
     """``sites`` with ``near``, how many sites lie within ``within`` before them (itself included), and ``dense``."""
-    order = Window.partitionBy("tid").orderBy("pos").rangeBetween(-within, 0)
-    return sites.withColumn("near", F.count(F.lit(1)).over(order)).withColumn("dense", F.col("near") > most)
+    # a site stands in its own stretch of the reference, and in the next where it counts for sites there
+    own = F.floor(F.col("pos") / TILE)
+    parts = sites.withColumn("part", F.explode(F.sequence(own, F.floor((F.col("pos") + within) / TILE))))
+    order = Window.partitionBy("tid", "part").orderBy("pos").rangeBetween(-within, 0)
+    near = parts.withColumn("near", F.count(F.lit(1)).over(order)).where(F.col("part") == own).drop("part")
+    return near.withColumn("dense", F.col("near") > most)

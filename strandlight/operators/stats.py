@@ -73,24 +73,39 @@ def depth(aln: DataFrame) -> DataFrame:
 def coverage_runs(spans: DataFrame, bucket: int = 1 << 16) -> DataFrame:
     """(tid, begin, end, depth) of maximal stretches of one depth, by sweeping the changes at stretches' ends.
 
-    Spans are cut at bucket borders, so a sweep's window is one bucket of one reference; runs may break there.
+    Spans are cut at bucket borders, so a sweep's window is one bucket of one reference. Of each bucket only the runs
+    that touch its borders, two at most, go on to be joined with those of the next.
     """
     low, high = F.floor(F.col("begin") / bucket), F.floor((F.col("end") - 1) / bucket)
-    cut = spans.select("tid", "begin", "end", F.explode(F.sequence(low, high)).alias("bucket"))
+    cut = spans.where("end > begin").select("tid", "begin", "end", F.explode(F.sequence(low, high)).alias("bucket"))
     cut = cut.select("tid", "bucket", F.greatest("begin", F.col("bucket") * bucket).alias("begin"), F.least("end", (F.col("bucket") + 1) * bucket).alias("end"))
     change = cut.select("tid", "bucket", F.explode(F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
     change = change.groupBy("tid", "bucket", "e.at").agg(F.sum("e.d").alias("d")).where("d != 0")
     order = Window.partitionBy("tid", "bucket").orderBy("at")
-    runs = change.select("tid", F.col("at").alias("begin"), F.lead("at").over(order).alias("end"), F.sum("d").over(order).alias("depth"))
-    return runs.where("depth > 0")
+    runs = change.select("tid", F.col("at").alias("begin"), F.lead("at").over(order).alias("end"), F.sum("d").over(order).alias("depth")).where("depth > 0")
+    touches = (F.col("begin") % bucket == 0) | (F.col("end") % bucket == 0)
+    along = Window.partitionBy("tid").orderBy("begin")
+    follows = (F.lag("end").over(along) == F.col("begin")) & (F.lag("depth").over(along) == F.col("depth"))
+    edge = runs.where(touches).withColumn("new", F.when(follows, 0).otherwise(1))
+    joined = edge.withColumn("run", F.sum("new").over(along)).groupBy("tid", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.first("depth").alias("depth"))
+    return runs.where(~touches).unionByName(joined.drop("run"))
 
 
-def islands(spans: DataFrame, key: str = "tid") -> DataFrame:
-    """(key, begin, end): stretches joined where one begins within what those before it reach."""
-    order = Window.partitionBy(key).orderBy("begin", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("new", F.when(reach.isNull() | (F.col("begin") > reach), 1).otherwise(0))
-    return marked.withColumn("island", F.sum("new").over(order)).groupBy(key, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
+def islands(spans: DataFrame, key: str = "tid", bucket: int = 1 << 16) -> DataFrame:
+    """(key, begin, end): stretches joined where one begins within what those before it reach.
+
+    Stretches are joined by bucket of their begin first, and what comes of that over the whole reference, as joining
+    joined stretches gives the same.
+    """
+
+    def joined(found: DataFrame, by: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("begin", "end")
+        reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        marked = found.withColumn("new", F.when(reach.isNull() | (F.col("begin") > reach), 1).otherwise(0))
+        return marked.withColumn("island", F.sum("new").over(order)).groupBy(*by, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
+
+    parts = joined(spans.withColumn("bucket", F.floor(F.col("begin") / bucket)), [key, "bucket"])
+    return joined(parts.drop("bucket"), [key])
 
 
 def rms(quality: Column, cap: int = 60) -> Column:

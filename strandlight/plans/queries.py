@@ -364,8 +364,8 @@ def search_window(spark, sf_dir):
 @query
 def best_event(spark, sf_dir):
     """The mate of greatest mapping quality of each pair, the later one of equals: the rule by which events are chosen."""
-    reads = aln(spark, sf_dir).groupBy("pair_id", "m").agg(F.sum("mapq").alias("covered"))
-    return reads.groupBy("pair_id").agg(F.max(F.struct("covered", "m")).alias("b")).select("pair_id", F.col("b.m").alias("m"), F.col("b.covered").alias("covered"))
+    mates = aln(spark, sf_dir).select(F.col("pair_id").alias("qname"), F.col("m").alias("event"), F.col("m").alias("push"), F.col("mapq").alias("covers"))
+    return rescue.winners(mates).select(F.col("qname").alias("pair_id"), F.col("event").alias("m"), "covered")
 
 
 @query
