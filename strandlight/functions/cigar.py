@@ -55,6 +55,34 @@ def walked(ops: str | Column) -> Column:
     return F.aggregate(ops, start, step, lambda acc: acc["out"])
 
 
+def query_position(pos: str, cigar: str, target: Column, left: bool = True) -> Column:
+    """struct<query,at> of the read's base at reference position ``target``.
+
+    In a deletion or skip: the base after it, ``at`` being the gap's begin or, if not ``left``, its end. Before the read:
+    its first aligned base; beyond it: the place after the last aligned base.
+    """
+    blocks = F.filter(walked(operations(cigar)), lambda x: x["op"].isin("M", "D", "N"))
+    offset = target - F.col(pos)
+    first, last = F.get(blocks, F.lit(0)), F.element_at(blocks, -1)
+    holds = F.get(F.filter(blocks, lambda x: (x["ref"] <= offset) & (offset < x["ref"] + x["len"])), F.lit(0))
+    gap = holds["op"] != "M"
+    query = F.when(offset < 0, first["query"]).when(holds.isNull(), last["query"] + F.when(last["op"] == "M", last["len"]).otherwise(0)).when(gap, holds["query"]).otherwise(holds["query"] + offset - holds["ref"])
+    at = F.when(offset < 0, 0).when(holds.isNull(), last["ref"] + last["len"]).when(gap, holds["ref"] + (0 if left else holds["len"])).otherwise(offset)
+    return F.struct(query.cast("bigint").alias("query"), (F.col(pos) + at).cast("bigint").alias("at"))
+
+
+def colours(seq: str | Column) -> Column:
+    """Colours of neighbouring bases as digits: equal bases 0, and . where one is unknown."""
+    code = F.translate(F.upper(seq), "ACGT", "0123")
+    step = F.transform(F.sequence(F.lit(1), F.greatest(F.length(code) - 1, F.lit(1))), lambda i: F.struct(F.substring(code, i, F.lit(1)).try_cast("int").alias("a"), F.substring(code, i + 1, F.lit(1)).try_cast("int").alias("b")))
+    return F.when(F.length(code) < 2, "").otherwise(F.array_join(F.transform(step, lambda x: F.coalesce(x["a"].bitwiseXOR(x["b"]).cast("string"), F.lit("."))), ""))
+
+
+def tag_number(tags: str, name: str, kind: str = "bigint") -> Column:
+    """A tag's value as a number, 0 where it is none."""
+    return F.coalesce(F.try_element_at(tags, F.lit(name)).try_cast(kind), F.lit(0).cast(kind))
+
+
 def bin_of(begin: Column, end: Column) -> Column:
     """Smallest of the five levels of bins that holds [begin, end)."""
     last = end - 1

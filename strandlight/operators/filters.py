@@ -64,6 +64,42 @@ def overlapping_any(aln: DataFrame, regions: list[tuple[int, int, int]]) -> Data
     return reduce(DataFrame.unionByName, [overlapping(aln, *r).withColumn("region", F.lit(i).cast("bigint")) for i, r in enumerate(regions)])
 
 
+#: Bases of a cell in which reads and regions meet.
+REGION_CELL = 1 << 12
+
+
+def overlapping_regions(aln: DataFrame, regions: DataFrame) -> DataFrame:
+    """Reads with ``region`` for each row (region, tid, begin, end) of a table of regions that they overlap.
+
+    Both meet by an equi-join on the cells of a reference that they touch, in the first cell common to both, so neither
+    side is broadcast and no pair comes twice.
+    """
+    last = F.greatest(C.end_of("pos", "cigar"), F.col("pos") + 1)
+    reads = aln.where("tid >= 0").withColumn("last_pos", last - 1)
+    reads = reads.withColumn("cell", F.explode(F.sequence(F.floor(F.col("pos") / REGION_CELL), F.floor(F.col("last_pos") / REGION_CELL))))
+    spans = regions.where("end > begin").select("region", "tid", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / REGION_CELL), F.floor((F.col("end") - 1) / REGION_CELL))).alias("cell"))
+    met = reads.join(spans, ["tid", "cell"]).where((F.col("pos") < F.col("end")) & (F.col("last_pos") >= F.col("begin")))
+    return met.where(F.col("cell") == F.floor(F.greatest("pos", "begin") / REGION_CELL)).select(*aln.columns, "region")
+
+
+def site_list(lines: DataFrame, refs: DataFrame) -> DataFrame:
+    """(tid, pos, gaps) of text lines ``name pos [gap lengths]``, 1-based: each site once, unknown names left out.
+
+    Cells stand between tabs where a line has any, else between spaces.
+    """
+    cell = F.when(F.col("value").contains("\t"), F.split(F.trim("value"), r"\t")).otherwise(F.split(F.trim("value"), " +"))
+    gaps = F.filter(F.transform(F.slice(cell, 3, 1 << 20), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+    found = lines.select(cell[0].alias("rname"), (F.get(cell, F.lit(1)).try_cast("bigint") - 1).alias("pos"), gaps.alias("gaps")).where("pos IS NOT NULL")
+    known = found.join(refs.select("tid", "rname"), "rname")
+    return known.groupBy("tid", "pos").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gaps")))).alias("gaps"))
+
+
+def normal_pairs(pairs: DataFrame, min_mapq: int) -> DataFrame:
+    """Pairs (a, b) both of whose reads are mapped with at least ``min_mapq``."""
+    good = lambda x: ~C.has(F.col(f"{x}.flag"), C.UNMAPPED) & (F.col(f"{x}.mapq") >= min_mapq)
+    return pairs.where(good("a") & good("b"))
+
+
 def mismatch_filter(mismatches: Column, event: Column, cigar: str, rate: float = 0.1) -> Column:
     """Fewer mismatches outside the event than the rate allows, in single precision."""
     allowed = F.ceil(C.length_of(cigar, "MI").cast("float") * F.lit(rate).cast("float"))

@@ -242,3 +242,24 @@ FROM (SELECT tid, pos, rms_q, depth, list_sort([{_CALL}]) AS b FROM (SELECT *, l
 
 _add("likelihood_records", f"""SELECT tid, pos, pos - coalesce(lag(pos) OVER (PARTITION BY tid ORDER BY pos), 0) AS "offset", depth, rms_q, CAST(least(255, (low + 500000) // 1000000) AS BIGINT) AS min_lk,
   concat_ws(',', {", ".join(f"CAST(least(255, ({x} - low + 500000) // 1000000) AS BIGINT)" for x in _LK)}) AS lk FROM (SELECT *, least({", ".join(_LK)}) AS low FROM ({_EVIDENCE}))""", "elem")
+
+_add("region_join", f"""SELECT g.region, count(*) AS n, min(a.rec_no) AS first, max(a.rec_no) AS last FROM aln a
+  JOIN (SELECT rec_no AS region, mtid, greatest(mpos - 20, 0) AS b, mpos + 20 AS e FROM aln WHERE mtid >= 0 AND rec_no % 7 = 0) g
+  ON a.tid = g.mtid AND a.pos < g.e AND greatest({_end("a.pos", "a.cigar")}, a.pos + 1) > g.b WHERE a.tid >= 0 GROUP BY g.region""")
+_add("site_depths", """SELECT s.tid, s.pos, s.n_gaps, count(*) AS depth FROM
+  (SELECT tid, pos, max(CASE WHEN rec_no % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_gaps FROM aln WHERE tid >= 0 AND rec_no % 3 = 0 AND rec_no % 5 <> 0 GROUP BY tid, pos) s
+  JOIN elem e ON e.tid = s.tid AND e.pos = s.pos GROUP BY s.tid, s.pos, s.n_gaps""", "elem")
+_add("show_alen", f"SELECT qname, m, CAST({_sum('cigar', 'MI')} AS BIGINT) AS alen FROM aln")
+_add("query_positions", """SELECT qname, m, CAST(CASE WHEN t < 0 THEN head WHEN t >= span THEN stop WHEN t < one THEN head + t WHEN t < two THEN head + one ELSE head + t - two + one + put END AS BIGINT) AS qpos,
+    CAST(pos + CASE WHEN t < 0 THEN 0 WHEN t >= span THEN span WHEN t >= one AND t < two THEN one ELSE t END AS BIGINT) AS at_left,
+    CAST(pos + CASE WHEN t < 0 THEN 0 WHEN t >= span THEN span WHEN t >= one AND t < two THEN two ELSE t END AS BIGINT) AS at_right
+  FROM (SELECT *, rec_no % 130 - 5 AS t,
+          CASE cigar WHEN '10S90M' THEN 10 WHEN '30S70M' THEN 30 ELSE 0 END AS head,
+          CASE cigar WHEN '60M2I38M' THEN 98 WHEN '50M3D50M' THEN 103 WHEN '10S90M' THEN 90 WHEN '95M5S' THEN 95 WHEN '40M20N60M' THEN 120 WHEN '30S70M' THEN 70 ELSE 100 END AS span,
+          CASE cigar WHEN '95M5S' THEN 95 ELSE 100 END AS stop,
+          CASE cigar WHEN '60M2I38M' THEN 60 WHEN '50M3D50M' THEN 50 WHEN '40M20N60M' THEN 40 ELSE 1000 END AS one,
+          CASE cigar WHEN '60M2I38M' THEN 60 WHEN '50M3D50M' THEN 53 WHEN '40M20N60M' THEN 60 ELSE 1000 END AS two,
+          CASE cigar WHEN '60M2I38M' THEN 2 ELSE 0 END AS put FROM aln WHERE tid >= 0 AND cigar <> '*')""")
+_add("colour_space", """SELECT qname, m, md5(array_to_string(list_transform(range(1, length(seq)), lambda i: CAST(xor(strpos('ACGT', seq[i]) - 1, strpos('ACGT', seq[i + 1]) - 1) AS VARCHAR)), '')) AS colours_md5 FROM aln""")
+_add("normal_pairs", """SELECT m.qname, m.first, m.second FROM mates m JOIN aln a ON a.rec_no = m.first JOIN aln b ON b.rec_no = m.second
+  WHERE (a.flag & 4) = 0 AND (b.flag & 4) = 0 AND a.mapq >= 20 AND b.mapq >= 20""", "cand", "mates")

@@ -438,3 +438,46 @@ def rescue_full(spark, sf_dir):
 @query
 def rescue_complete(spark, sf_dir):
     return rescue.complete(*_rescued(spark, sf_dir))
+
+
+@query
+def region_join(spark, sf_dir):
+    """Reads over a table of regions: forty bases round every seventh read's mate."""
+    reads = aln(spark, sf_dir)
+    regions = reads.where("mtid >= 0 AND rec_no % 7 = 0").select(F.col("rec_no").alias("region"), F.col("mtid").alias("tid"), F.greatest(F.col("mpos") - 20, F.lit(0)).alias("begin"), (F.col("mpos") + 20).alias("end"))
+    return filters.overlapping_regions(reads, regions).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("rec_no").alias("first"), F.max("rec_no").alias("last"))
+
+
+@query
+def site_depths(spark, sf_dir):
+    """Depth at the sites of a list made of text: every third read's position, some with gap lengths, some names unknown."""
+    reads, known = aln(spark, sf_dir).where("tid >= 0"), refs(spark, sf_dir)
+    named = reads.where("rec_no % 3 = 0").join(known.select("tid", "rname"), "tid")
+    lines = named.select(F.concat_ws("\t", F.when(F.col("rec_no") % 5 == 0, "nowhere").otherwise(F.col("rname")), (F.col("pos") + 1).cast("string"), F.when(F.col("rec_no") % 2 == 0, "-3")).alias("value"))
+    sites = filters.site_list(lines, known)
+    return sites.join(stats.depth(masked(spark, sf_dir)), ["tid", "pos"]).select("tid", "pos", F.size("gaps").cast("bigint").alias("n_gaps"), "depth")
+
+
+@query
+def show_alen(spark, sf_dir):
+    return aln(spark, sf_dir).select("qname", "m", C.length_of("cigar", "MI").cast("bigint").alias("alen"))
+
+
+@query
+def query_positions(spark, sf_dir):
+    """The read's base at a place of the reference that lies in, before or after its gaps."""
+    reads = aln(spark, sf_dir).where("tid >= 0 AND cigar <> '*'")
+    target = F.col("pos") + F.col("rec_no") % 130 - 5
+    found = reads.select("qname", "m", C.query_position("pos", "cigar", target).alias("l"), C.query_position("pos", "cigar", target, left=False).alias("r"))
+    return found.select("qname", "m", F.col("l.query").alias("qpos"), F.col("l.at").alias("at_left"), F.col("r.at").alias("at_right"))
+
+
+@query
+def colour_space(spark, sf_dir):
+    return aln(spark, sf_dir).select("qname", "m", F.md5(C.colours("seq")).alias("colours_md5"))
+
+
+@query
+def normal_pairs(spark, sf_dir):
+    found = filters.normal_pairs(pairing.mate_pairs(filters.rescue_candidates(aln(spark, sf_dir)), WINDOW), 20)
+    return found.select("qname", F.col("a.rec_no").alias("first"), F.col("b.rec_no").alias("second"))

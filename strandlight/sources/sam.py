@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlight.functions import cigar as C
@@ -67,6 +67,26 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parsed(lines, refs), refs
 
 
+def unsorted_header(value: str) -> Column:
+    """A header line with its sort order, by coordinate or by name, taken back to unsorted."""
+    return F.regexp_replace(value, r"^(@HD\t(?:.*\t)?)SO:(coordinate|queryname)", r"$1SO:unsorted")
+
+
+def is_sorted(lines: DataFrame) -> bool:
+    """Whether the header says that reads are in order of coordinates."""
+    return not lines.where(F.col("value").startswith("@HD") & F.col("value").contains("SO:coordinate")).isEmpty()
+
+
+def reference_list(lines: DataFrame) -> DataFrame:
+    """(tid, rname, len) of a list of names and lengths, in the order of its lines; a repeated name is an error."""
+    cell = F.split("value", "\t")
+    found = lines.where(F.col("value") != "").select(F.monotonically_increasing_id().alias("line"), cell[0].alias("rname"), cell[1].cast("bigint").alias("len"))
+    if repeated := found.groupBy("rname").count().where("count > 1").first():
+        raise ValueError(f"reference {repeated['rname']!r} is listed more than once")
+    # a list of references is short
+    return found.select((F.row_number().over(Window.orderBy("line")) - 1).cast("bigint").alias("tid"), "rname", "len")
+
+
 def header_lines(refs: DataFrame, order: str = "unsorted") -> DataFrame:
     """One ``value`` column: the header of references (tid, rname, len), in their order."""
     first = refs.sparkSession.createDataFrame([(f"@HD\tVN:1.0\tSO:{order}",)], "value string")

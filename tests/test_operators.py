@@ -288,3 +288,25 @@ def test_binary_files_of_repeated_tasks_count_once(spark, tmp_path):
     last = writer.write(iter(()))
     writer.commit([last, None])
     assert [p.name for p in tmp_path.iterdir()] == [last.name]
+
+
+def test_headers_and_tags(spark):
+    lines = spark.createDataFrame([("@HD\tVN:1.0\tSO:coordinate",), ("@SQ\tSN:SO:coordinate\tLN:3",), ("r\t0",)], "value string")
+    assert sam.is_sorted(lines) and not sam.is_sorted(lines.select(sam.unsorted_header("value").alias("value")))
+    assert {r[0] for r in lines.select(sam.unsorted_header("value")).collect()} == {"@HD\tVN:1.0\tSO:unsorted", "@SQ\tSN:SO:coordinate\tLN:3", "r\t0"}
+    listed = spark.createDataFrame([("b\t5",), ("a\t7\tmore",)], "value string").coalesce(1)
+    assert [tuple(r) for r in sam.reference_list(listed).orderBy("tid").collect()] == [(0, "b", 5), (1, "a", 7)]
+    with pytest.raises(ValueError):
+        sam.reference_list(listed.union(listed))
+    tags = spark.createDataFrame([({"NM": "3", "XT": "A"},)], "tags map<string,string>")
+    assert tuple(tags.select(C.tag_number("tags", "NM"), C.tag_number("tags", "XT"), C.tag_number("tags", "ZZ")).first()) == (3, 0, 0)
+
+
+def test_regions_meet_once_over_cells(spark):
+    rng = random.Random(9)
+    reads = [(rng.randint(-1, 1), (p := rng.choice([0, 4090, 4096, 8190]) + rng.randint(0, 9)), rng.choice(["5M", "3M5000N2M", "*", "9M2D1M"]), i) for i in range(80)]
+    spans = [(k, rng.randint(0, 1), (b := rng.randint(0, 9000)), b + rng.choice([0, 1, 50, 7000])) for k in range(40)]
+    got = filters.overlapping_regions(spark.createDataFrame(reads, "tid long, pos long, cigar string, rec_no long"), spark.createDataFrame(spans, "region long, tid long, begin long, end long"))
+    size = {"5M": 5, "3M5000N2M": 5005, "*": 1, "9M2D1M": 12}
+    want = sorted((i, k) for t, p, c, i in reads for k, u, b, e in spans if t == u and b < e and p < e and p + size[c] > b)
+    assert sorted((r["rec_no"], r["region"]) for r in got.collect()) == want
