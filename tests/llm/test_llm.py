@@ -671,3 +671,25 @@ def test_pipeline_brute(spark):
         taken[r["source"]] += words[r["doc_id"]]
     assert all(abs(taken[s] - target[s]) <= max(words.values()) / 2 + 1 for s in by)
     check_places(stages["packing"](spark, fourth, SF).toPandas())
+
+
+@pytest.mark.parametrize("name", ["op4_jaccard_join", "op10_line_dedup"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+    from strandlight.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    found = queries.QUERIES[name](spark, SF)
+    cursor = con.execute(queries.ORACLE_SQL[name])
+    columns = sorted(found.columns)
+    assert sorted(c[0] for c in cursor.description) == columns
+    at = [[c[0] for c in cursor.description].index(c) for c in columns]
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(tuple(r[i] for i in at) for r in cursor.fetchall())
+
+
+def test_folds_of_null_ids(odd):
+    """No null id is held out, and none is learned from."""
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    assert [r["h"] for r in odd.where("doc_id IS NULL").select(fold.alias("h")).collect()] == [False]
+    assert odd.where("doc_id IS NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).count() == 0
