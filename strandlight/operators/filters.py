@@ -94,7 +94,7 @@ def site_list(lines: DataFrame, refs: DataFrame) -> DataFrame:
     return known.groupBy("tid", "pos").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gaps")))).alias("gaps"))
 
 
-def normal_pairs(pairs: DataFrame, min_mapq: int) -> DataFrame:
+def well_mapped_pairs(pairs: DataFrame, min_mapq: int) -> DataFrame:
     """Pairs (a, b) both of whose reads are mapped with at least ``min_mapq``."""
     good = lambda x: ~C.has(F.col(f"{x}.flag"), C.UNMAPPED) & (F.col(f"{x}.mapq") >= min_mapq)
     return pairs.where(good("a") & good("b"))

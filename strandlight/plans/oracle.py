@@ -261,5 +261,5 @@ _add("query_positions", """SELECT qname, m, CAST(CASE WHEN t < 0 THEN head WHEN
           CASE cigar WHEN '60M2I38M' THEN 60 WHEN '50M3D50M' THEN 53 WHEN '40M20N60M' THEN 60 ELSE 1000 END AS two,
           CASE cigar WHEN '60M2I38M' THEN 2 ELSE 0 END AS put FROM aln WHERE tid >= 0 AND cigar <> '*')""")
 _add("colour_space", """SELECT qname, m, md5(array_to_string(list_transform(range(1, length(seq)), lambda i: CAST(xor(strpos('ACGT', seq[i]) - 1, strpos('ACGT', seq[i + 1]) - 1) AS VARCHAR)), '')) AS colours_md5 FROM aln""")
-_add("normal_pairs", """SELECT m.qname, m.first, m.second FROM mates m JOIN aln a ON a.rec_no = m.first JOIN aln b ON b.rec_no = m.second
+_add("well_mapped_pairs", """SELECT m.qname, m.first, m.second FROM mates m JOIN aln a ON a.rec_no = m.first JOIN aln b ON b.rec_no = m.second
   WHERE (a.flag & 4) = 0 AND (b.flag & 4) = 0 AND a.mapq >= 20 AND b.mapq >= 20""", "cand", "mates")

@@ -478,6 +478,6 @@ def colour_space(spark, sf_dir):
 
 
 @query
-def normal_pairs(spark, sf_dir):
-    found = filters.normal_pairs(pairing.mate_pairs(filters.rescue_candidates(aln(spark, sf_dir)), WINDOW), 20)
+def well_mapped_pairs(spark, sf_dir):
+    found = filters.well_mapped_pairs(pairing.mate_pairs(filters.rescue_candidates(aln(spark, sf_dir)), WINDOW), 20)
     return found.select("qname", F.col("a.rec_no").alias("first"), F.col("b.rec_no").alias("second"))
