@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,50 +82,66 @@ def _merged(cigar: str) -> Column:
     return F.transform(runs, lambda r: F.struct(C.length_of(r, "MDN=X").cast("int").alias("len"), F.when(r.endswith("N"), "N").otherwise("D").alias("op")))
 
 
-def mismatch_strings(aln: DataFrame, refs: DataFrame) -> DataFrame:
-    """``aln``'s qname, m and rec_no with ``nm``, edit distance, and ``md``, the mismatch string, of placed mapped reads.
+def spanned(aln: DataFrame, refs: DataFrame) -> DataFrame:
+    """(qname, m, rec_no, cigar, seq, qual if there, span): placed mapped reads of ``aln`` with the reference they span.
 
-    Each read carries the reference it spans: where that lies in one tile and its margin, cut from it, else the
-    stretches between its skips, joined tile by tile.
+    Where that lies in one tile and its margin it is cut from it, else it is the stretches between the read's skips,
+    joined tile by tile, and the skips are dropped from the CIGAR too.
     """
-    placed = aln.where((F.col("tid") >= 0) & ~C.has("flag", C.UNMAPPED)).withColumns({"tile": F.floor(F.col("pos") / pileup.TILE), "span": C.length_of("cigar", "MDN=X")})
-    fits = F.col("pos") % pileup.TILE + F.col("span") <= pileup.TILE + pileup.MARGIN
+    own = ["qname", "m", "rec_no", "cigar", "seq", *(["qual"] if "qual" in aln.columns else [])]
+    placed = aln.where((F.col("tid") >= 0) & ~C.has("flag", C.UNMAPPED)).withColumns({"tile": F.floor(F.col("pos") / pileup.TILE), "width": C.length_of("cigar", "MDN=X")})
+    fits = F.col("pos") % pileup.TILE + F.col("width") <= pileup.TILE + pileup.MARGIN
     near = placed.where(fits).join(pileup.tiled(refs).drop("len"), ["tid", "tile"])
-    near = near.select("qname", "m", "rec_no", "cigar", "seq", F.substring("tile_bases", (F.col("pos") % pileup.TILE + 1).cast("int"), F.col("span").cast("int")).alias("ref"))
-    keys = ["read", "qname", "m", "rec_no", "cigar", "seq"]
-    # one number a read, as reads may be equal in all columns; skips are dropped from the CIGAR as from the stretches
+    near = near.select(*own, F.substring("tile_bases", (F.col("pos") % pileup.TILE + 1).cast("int"), F.col("width").cast("int")).alias("span"))
+    # one number a read, as reads may be equal in all columns
     far = placed.where(~fits).withColumn("read", F.monotonically_increasing_id()).withColumn("part", F.explode(F.filter(C.walked(_merged("cigar")), lambda x: x["op"] == "D")))
-    spans = far.select("read", "qname", "m", "rec_no", F.regexp_replace("cigar", r"\d+N", "").alias("cigar"), "seq", "tid", (F.col("pos") + F.col("part.ref")).alias("begin"), F.col("part.len").cast("bigint").alias("size"))
-    found = near.unionByName(pileup.stretches(spans, refs, keys).select("qname", "m", "rec_no", "cigar", "seq", F.col("text").alias("ref")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [mismatches_of(*x) for x in zip(batch["cigar"], batch["seq"], batch["ref"], strict=True)]
-            yield batch[["qname", "m", "rec_no"]].assign(nm=[g[0] for g in got], md=[g[1] for g in got])
-
-    return found.mapInPandas(run, "qname string, m long, rec_no long, nm long, md string")
-
-
-def mismatches_of(cigar: str, seq: str, ref: str) -> tuple[int, str]:
-    """Edit distance and mismatch string of one read against the reference it spans."""
-    distance, run, out, x, y = 0, 0, [], 0, 0
-    for size, op in ((int(n), o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)):
-        if op in "M=X":
-            for a, b in zip(seq[y : y + size], ref[x : x + size], strict=False):
-                if a == "=" or a.upper() == b.upper() != "N":
-                    run += 1
-                else:
-                    out += [str(run), b]
-                    run, distance = 0, distance + 1
-            x, y = x + size, y + size
-        elif op == "D":
-            out += [str(run), "^", ref[x : x + size]]
-            run, distance, x = 0, distance + size, x + size
-        elif op in "IS":
-            y, distance = y + size, distance + (size if op == "I" else 0)
-        elif op == "N":
-            x += size
-    return distance, "".join([*out, str(run)])
+    far = far.withColumns({"cigar": F.regexp_replace("cigar", r"\d+N", ""), "begin": F.col("pos") + F.col("part.ref"), "size": F.col("part.len").cast("bigint")})
+    return near.unionByName(pileup.stretches(far, refs, ["read", *own]).select(*own, F.col("text").alias("span")))
+
+
+def _by_base(x: Column, equal: str, f: Callable[[Column, Column], Column]) -> Column:
+    """A letter for each base of a matching operation: ``equal`` where it is the reference's, else ``f`` of both, in capitals.
+
+    Bases beyond the end of either have none. Stretches that are equal as a whole are not opened into bases.
+    """
+    part = lambda text, at: F.upper(F.substring(F.col(text), at + 1, x["len"]))
+    seq, span = part("seq", x["query"]), part("span", x["ref"])
+    bases = lambda t: F.when(F.length(t) > 0, F.split(t, "")).otherwise(F.array().cast("array<string>"))
+    each = lambda a, b: F.when(((a == b) & (b != "N")) | (a == "="), equal).otherwise(f(a, b))
+    return F.when((seq == span) & ~F.contains(span, F.lit("N")), F.repeat(F.lit(equal), F.length(seq))).otherwise(F.array_join(F.zip_with(bases(seq), bases(span), each), ""))
+
+
+def mismatch_strings(aln: DataFrame, refs: DataFrame) -> DataFrame:
+    """``aln``'s qname, m and rec_no with ``nm``, edit distance, and ``md``, the mismatch string, of placed mapped reads."""
+    return masked_matches(aln, refs).select("qname", "m", "rec_no", "nm", "md")
+
+
+def masked_matches(aln: DataFrame, refs: DataFrame, equal: bool = False, max_nm: int = 0) -> DataFrame:
+    """(qname, m, rec_no, seq, qual if there, nm, md) of placed mapped reads.
+
+    With ``equal``, bases that equal the reference's are written ``=``, others in capitals. Reads of an edit distance of ``max_nm`` or more
+    (0: none) have them written ``N``, of quality 0. A read without bases has neither distance nor string.
+    """
+    reads = spanned(aln, refs).withColumn("ops", C.walked(C.operations("cigar")))
+    # a letter a base of the reference: a point where equal, its base in capitals where not, in small letters where deleted
+    seen = F.transform("ops", lambda x: F.when(x["op"] == "M", _by_base(x, ".", lambda a, b: F.when(a.isNotNull(), b))).when(x["op"] == "D", F.concat(F.lit("^"), F.lower(F.substring(F.col("span"), x["ref"] + 1, x["len"])))).otherwise(""))
+    shown = F.transform("ops", lambda x: F.when(x["op"] == "M", _by_base(x, "=", lambda a, b: a)).when(x["op"].isin("I", "S"), F.upper(F.substring(F.col("seq"), x["query"] + 1, x["len"]))).otherwise(""))
+    reads = reads.withColumn("seen", F.array_join(seen, ""))
+    # an end mark lets every run of points be part of a match, so that the search stays linear
+    marks = F.regexp_extract_all(F.concat("seen", F.lit("|")), F.lit(r"\.*+(?:\^[^.^A-Z|]*|[^.^])"), F.lit(0))
+    letters = lambda t: F.ltrim(t, F.lit("."))
+    md = F.array_join(F.transform(marks, lambda t: F.concat((F.length(t) - F.length(letters(t))).cast("string"), F.upper(F.rtrim(letters(t), F.lit("|"))))), "")
+    nm = F.length(F.regexp_replace("seen", "[.^]", "")) + C.length_of("cigar", "I")
+    has = F.col("seq") != "*"
+    reads = reads.withColumns({"nm": F.when(has, nm.cast("bigint")), "md": F.when(has, md)})
+    far = F.coalesce(F.col("nm") >= max_nm, F.lit(False)) if max_nm > 0 else F.lit(False)
+    if equal or max_nm:
+        reads = reads.withColumn("shown", F.when(F.col("seq") == "*", "*").otherwise(F.array_join(shown, "")))
+        if "qual" in reads.columns:
+            quality = F.array_join(F.zip_with(F.split("shown", ""), F.split("qual", ""), lambda s, q: F.when(s == "=", "!").otherwise(q)), "")
+            reads = reads.withColumn("qual", F.when(far & ~F.col("qual").isin("*", ""), quality).otherwise(F.col("qual")))
+        reads = reads.withColumn("seq", F.when(far, F.translate("shown", "=", "N")).otherwise(F.col("shown" if equal else "seq")))
+    return reads.select("qname", "m", "rec_no", "seq", *(["qual"] if "qual" in reads.columns else []), "nm", "md")
 
 
 #: Defaults of the gap model: quality of an indel in sequencing, dependency of its further lengths, prior of one between haplotypes.

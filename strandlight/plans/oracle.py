@@ -94,8 +94,15 @@ _CTE = {
             SELECT rk.read, sk.ref, rk.place AS q, sk.place AS r FROM rk JOIN sk ON rk.kmer = sk.kmer)) GROUP BY read, ref, r - q, run)""",
     "sam": """sam AS (SELECT concat_ws(chr(9), qname, flag, coalesce(r.rname, '*'), pos + 1, mapq, cigar, CASE WHEN n.rname IS NULL THEN '*' WHEN a.mtid = a.tid THEN '=' ELSE n.rname END,
           mpos + 1, isize, seq, '*', 'RG:Z:' || rg) AS value FROM aln a LEFT JOIN refs r ON r.tid = a.tid LEFT JOIN refs n ON n.tid = a.mtid)""",
+    "placed": "placed AS (SELECT * FROM aln WHERE tid >= 0 AND (flag & 4) = 0)",
+    "cmp": """cmp AS (SELECT rec_no, string_agg(CASE WHEN op = 'D' THEN CASE WHEN j = 0 THEN '^' ELSE '' END || lower(base) WHEN substring(seq, query_off + j + 1, 1) = base THEN '.' ELSE base END, '' ORDER BY ref_off + j) AS seen
+        FROM (SELECT o.*, substring(r.bases, o.pos + o.ref_off + o.j + 1, 1) AS base FROM (SELECT *, unnest(range(len)) AS j FROM ops WHERE op IN ('M', 'D')) o JOIN refs r ON r.tid = o.tid) GROUP BY rec_no)""",
+    "mdnm": """mdnm AS (SELECT p.qname, p.m, p.rec_no, CAST(length(regexp_replace(seen, '[.^]', '', 'g')) + {inserted} AS BIGINT) AS nm,
+          array_to_string(list_transform(regexp_extract_all(seen, '[.]*(?:\\^[a-z]*|[A-Z])'), lambda t: CAST(length(t) - length(ltrim(t, '.')) AS VARCHAR) || upper(ltrim(t, '.'))), '') || CAST(length(seen) - length(rtrim(seen, '.')) AS VARCHAR) AS md
+        FROM placed p JOIN cmp c ON c.rec_no = p.rec_no)""".replace("{inserted}", _sum("cigar", "I")),
 }
 _NEEDS = {
+    "cmp": ["placed", "ops"], "mdnm": ["cmp"],
     "hist": ["modes"], "cum": ["hist"], "cut": ["cum"], "mates": ["cand"], "typed": ["mates", "status"], "elem": ["ops"], "pile": ["elem"], "cons": ["elem"], "vars": ["cons"], "spans": ["ops"], "sweep": ["spans"],
     "heads": ["elig"], "pe": ["heads"], "rk": ["un"], "runs": ["rk", "sk"],
 }
@@ -263,3 +270,9 @@ _add("query_positions", """SELECT qname, m, CAST(CASE WHEN t < 0 THEN head WHEN
 _add("colour_space", """SELECT qname, m, md5(array_to_string(list_transform(range(1, length(seq)), lambda i: CAST(xor(strpos('ACGT', seq[i]) - 1, strpos('ACGT', seq[i + 1]) - 1) AS VARCHAR)), '')) AS colours_md5 FROM aln""")
 _add("well_mapped_pairs", """SELECT m.qname, m.first, m.second FROM mates m JOIN aln a ON a.rec_no = m.first JOIN aln b ON b.rec_no = m.second
   WHERE (a.flag & 4) = 0 AND (b.flag & 4) = 0 AND a.mapq >= 20 AND b.mapq >= 20""", "cand", "mates")
+
+ORACLE_SQL["nm_md"] = _with("mdnm", reads="placed") + "SELECT * FROM mdnm"
+ORACLE_SQL["calmd_masks"] = _with("mdnm", reads="placed") + """SELECT m.qname, m.m, md5(string_agg(CASE WHEN same AND nm >= 5 THEN 'N' WHEN same THEN '=' ELSE base END, '' ORDER BY place)) AS seq_md5,
+    md5(string_agg(CASE WHEN same AND nm >= 5 THEN '!' ELSE 'I' END, '' ORDER BY place)) AS qual_md5
+  FROM (SELECT o.rec_no, o.query_off + o.j AS place, substring(o.seq, o.query_off + o.j + 1, 1) AS base, o.op = 'M' AND substring(r.bases, o.pos + o.ref_off + o.j + 1, 1) = substring(o.seq, o.query_off + o.j + 1, 1) AS same
+    FROM (SELECT *, unnest(range(len)) AS j FROM ops WHERE op IN ('M', 'I', 'S')) o JOIN refs r ON r.tid = o.tid) b JOIN mdnm m ON m.rec_no = b.rec_no GROUP BY m.rec_no, m.qname, m.m"""

@@ -256,6 +256,14 @@ def nm_md(spark, sf_dir):
     return calls.mismatch_strings(aln(spark, sf_dir), refs(spark, sf_dir))
 
 
+@query
+def calmd_masks(spark, sf_dir):
+    """Reads with bases equal to the reference's as ``=``, and as N where five or more differ."""
+    reads = aln(spark, sf_dir).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    found = calls.masked_matches(reads, refs(spark, sf_dir), equal=True, max_nm=5)
+    return found.select("qname", "m", F.md5("seq").alias("seq_md5"), F.md5("qual").alias("qual_md5"))
+
+
 @query
 def variant_filter(spark, sf_dir):
     return variants.filtered_variants(calls.variant_sites(masked(spark, sf_dir), refs(spark, sf_dir)))

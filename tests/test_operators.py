@@ -57,11 +57,17 @@ def test_rescue_recovers_planted_indels(spark):
     assert by["anchor"] == by["rescued"] and by["input"] + by["anchor"] + by["rescued"] == reads.count()
 
 
-def test_mismatch_strings():
-    assert calls.mismatches_of("4M", "ACGT", "ACGT") == (0, "4")
-    assert calls.mismatches_of("4M", "ACCT", "ACGT") == (1, "2G1")
-    assert calls.mismatches_of("2M1D2M", "ACTT", "ACGTT") == (1, "2^G2")
-    assert calls.mismatches_of("1S2M2I2M", "NACGGTT", "ACTT") == (2, "4")
+def test_mismatch_strings_and_masks(spark):
+    bases = "NNACGTTACGNTTGCA"
+    reads = [("a", 2, "4M", "ACGT", "IIII"), ("b", 2, "4M", "ACCT", "IIII"), ("c", 2, "2M1D2M", "ACTT", "IIII"), ("d", 2, "1S2M2I2M", "NACGGGT", "IIIIIII"), ("e", 2, "2M2D1M", "acc", "III"), ("f", 8, "4M", "CGNT", "IIII"), ("g", 2, "3M", "=CT", "III"), ("h", 2, "2M", "*", "*"), ("i", 0, "1M1D1P1D1M", "CC", "II")]
+    aln = spark.createDataFrame([(q, 1, k, 0, 0, p, c, s, u) for k, (q, p, c, s, u) in enumerate(reads)], "qname string, m long, rec_no long, flag long, tid long, pos long, cigar string, seq string, qual string")
+    refs = spark.createDataFrame([(0, "c", len(bases), bases)], "tid long, rname string, len long, bases string")
+    got = {r["qname"]: r for r in calls.masked_matches(aln, refs, equal=True, max_nm=2).collect()}
+    assert {q: (r["nm"], r["md"]) for q, r in got.items()} == {"a": (0, "4"), "b": (1, "2G1"), "c": (1, "2^G2"), "d": (2, "4"), "e": (3, "2^GT0T0"), "f": (1, "2N1"), "g": (1, "2G0"), "h": (None, None), "i": (3, "0N0^N0^A1")}
+    assert {q: r["seq"] for q, r in got.items()} == {"a": "====", "b": "==C=", "c": "====", "d": "NNNGGNN", "e": "NNC", "f": "==N=", "g": "==T", "h": "*", "i": "CN"}
+    assert (got["a"]["qual"], got["d"]["qual"], got["e"]["qual"], got["h"]["qual"]) == ("IIII", "I!!II!!", "!!I", "*")
+    plain = {r["qname"]: r["seq"] for r in calls.masked_matches(aln, refs, max_nm=2).collect()}
+    assert (plain["a"], plain["b"], plain["e"]) == ("ACGT", "ACCT", "NNC")
 
 
 def test_long_spans_have_all_their_reference(spark):
