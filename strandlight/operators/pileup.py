@@ -113,6 +113,13 @@ def all_bases(aln: DataFrame, refs: DataFrame) -> DataFrame:
     return with_reference(sites, refs).select("tid", "pos", "ref", code.alias("cons"), F.lit(60).cast("bigint").alias("cons_q"), "rms_q", "depth")
 
 
+def first_bases(aln: DataFrame, refs: DataFrame) -> DataFrame:
+    """(tid, pos, ref, cons, cons_q, rms_q, depth): base and qualities of a site's first read in file order; N in its deletions."""
+    first = F.min_by(F.struct("base", "baseq", "mapq"), "rec_no")
+    sites = elements(aln).groupBy("tid", "pos").agg(first.alias("f"), F.count(F.lit(1)).alias("depth"))
+    return with_reference(sites, refs).select("tid", "pos", "ref", F.coalesce(F.upper("f.base"), F.lit("N")).alias("cons"), F.col("f.baseq").alias("cons_q"), F.least(F.col("f.mapq"), F.lit(60)).cast("bigint").alias("rms_q"), "depth")
+
+
 def indel_sites(aln: DataFrame) -> DataFrame:
     """(tid, pos, indel, allele, n, depth): indels seen after a position and how many reads show each."""
     at = elements(aln)

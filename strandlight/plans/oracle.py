@@ -276,3 +276,14 @@ ORACLE_SQL["calmd_masks"] = _with("mdnm", reads="placed") + """SELECT m.qname, m
     md5(string_agg(CASE WHEN same AND nm >= 5 THEN '!' ELSE 'I' END, '' ORDER BY place)) AS qual_md5
   FROM (SELECT o.rec_no, o.query_off + o.j AS place, substring(o.seq, o.query_off + o.j + 1, 1) AS base, o.op = 'M' AND substring(r.bases, o.pos + o.ref_off + o.j + 1, 1) = substring(o.seq, o.query_off + o.j + 1, 1) AS same
     FROM (SELECT *, unnest(range(len)) AS j FROM ops WHERE op IN ('M', 'I', 'S')) o JOIN refs r ON r.tid = o.tid) b JOIN mdnm m ON m.rec_no = b.rec_no GROUP BY m.rec_no, m.qname, m.m"""
+
+_CTE["hits"] = "hits AS (SELECT a.*, replace(r.rname, ' ', '_') AS rname, a.rec_no % 3 AS n, (a.flag & 16) <> 0 AS back FROM aln a JOIN refs r ON r.tid = a.tid WHERE a.cigar = '100M')"
+_add("from_bowtie", """SELECT qname, CAST(CASE WHEN back THEN 16 ELSE 0 END AS BIGINT) AS flag, rname, pos, CAST(CASE WHEN n = 0 THEN 25 ELSE 0 END AS BIGINT) AS mapq, cigar, md5(seq) AS seq_md5,
+  CASE WHEN n = 0 THEN '0' ELSE '1' END AS nm, CASE WHEN n = 0 THEN '100' ELSE '7C23T68' END AS md FROM hits""", "hits")
+_add("from_zoom", """SELECT qname, CAST(3 + CASE WHEN m = 1 THEN 64 ELSE 128 END + CASE WHEN (m = 1) = back THEN 16 ELSE 0 END AS BIGINT) AS flag, rname, pos, CAST(30 AS BIGINT) AS mapq, cigar,
+  CAST(NULL AS VARCHAR) AS seq_md5, CAST(n AS VARCHAR) AS nm, CAST(NULL AS VARCHAR) AS md FROM hits""", "hits")
+_add("from_novoalign", f"""SELECT qname, CAST(3 + CASE WHEN m = 1 THEN 64 ELSE 128 END + CASE WHEN back THEN 16 ELSE 0 END AS BIGINT) AS flag, rname, pos, greatest(mapq, 30) AS mapq,
+  CASE WHEN n = 2 THEN '3M2D44M2I51M' ELSE cigar END AS cigar, md5(CASE WHEN back THEN {_revcomp("seq")} ELSE seq END) AS seq_md5, ['0', '2', '4'][n + 1] AS nm, ['100', '6A23G69', '3^GT0A94'][n + 1] AS md
+  FROM hits WHERE rec_no % 11 <> 0""", "hits")
+_add("first_base_calls", """SELECT e.tid, e.pos, substring(r.bases, e.pos + 1, 1) AS ref, coalesce(upper(base), 'N') AS cons, baseq AS cons_q, least(mapq, 60) AS rms_q, depth
+  FROM (SELECT *, count(*) OVER (PARTITION BY tid, pos) AS depth, row_number() OVER (PARTITION BY tid, pos ORDER BY rec_no) AS k FROM elem) e JOIN refs r ON r.tid = e.tid WHERE k = 1""", "elem")

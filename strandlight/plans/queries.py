@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlight.functions import cigar as C
 from strandlight.operators import calls, dedup, filters, pairing, pileup, rescue, seeds, sorting, stats, variants
 from strandlight.plans.fixtures import aln, refs, special_refs
-from strandlight.sources import sam
+from strandlight.sources import convert, sam
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -489,3 +489,41 @@ def colour_space(spark, sf_dir):
 def well_mapped_pairs(spark, sf_dir):
     found = filters.well_mapped_pairs(pairing.mate_pairs(filters.rescue_candidates(aln(spark, sf_dir)), WINDOW), 20)
     return found.select("qname", F.col("a.rec_no").alias("first"), F.col("b.rec_no").alias("second"))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads aligned without gaps, with their reference's name and the strand as a sign."""
+    reads = aln(spark, sf_dir).where("cigar = '100M'").join(refs(spark, sf_dir).select("tid", F.translate("rname", " ", "_").alias("rname")), "tid")
+    return reads.withColumns({"strand": F.when(C.has("flag", C.REVERSE), "-").otherwise("+"), "quality": F.repeat(F.lit("I"), F.length("seq")), "n": F.col("rec_no") % 3})
+
+
+def _converted(found: DataFrame) -> DataFrame:
+    return found.select("qname", "flag", "rname", "pos", "mapq", "cigar", F.md5("seq").alias("seq_md5"), F.col("tags")["NM"].alias("nm"), F.col("tags")["MD"].alias("md"))
+
+
+@query
+def from_bowtie(spark, sf_dir):
+    marks = F.when(F.col("n") > 0, "7:A>C,31:G>T")
+    line = F.concat_ws("\t", F.concat("qname", F.lit("/"), "m"), "strand", "rname", "pos", "seq", "quality", F.col("n").cast("string"), marks)
+    return _converted(convert.bowtie(_hits(spark, sf_dir).select(line.alias("value"))))
+
+
+@query
+def from_zoom(spark, sf_dir):
+    name = F.concat("qname", F.when(F.col("m") == 1, "_F").otherwise("_R"))
+    line = F.concat_ws("\t", name, F.concat("rname", F.lit(" made up:"), "pos"), "strand", F.col("n").cast("string"))
+    return _converted(convert.zoom(_hits(spark, sf_dir).select(line.alias("value")), 100, True))
+
+
+@query
+def from_novoalign(spark, sf_dir):
+    side = F.when(F.col("m") == 1, "L").otherwise("R")
+    marks = F.when(F.col("n") == 1, "7A>C\t31G>T").when(F.col("n") == 2, "4-G\t5-T\t6A>C\t50+AC")
+    status = F.when(F.col("rec_no") % 11 == 0, "R").otherwise("U")
+    line = F.concat_ws("\t", F.concat(F.lit("@"), "qname"), side, "seq", "quality", status, F.col("mapq").cast("string"), F.lit("30"), F.concat(F.lit(">"), "rname"), (F.col("pos") + 1).cast("string"), F.when(F.col("strand") == "-", "R").otherwise("F"), F.lit("."), F.lit("0"), F.lit("0"), marks)
+    return _converted(convert.novoalign(_hits(spark, sf_dir).select(line.alias("value"))))
+
+
+@query
+def first_base_calls(spark, sf_dir):
+    return pileup.first_bases(masked(spark, sf_dir), refs(spark, sf_dir))

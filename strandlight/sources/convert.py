@@ -111,3 +111,60 @@ def psl(lines: DataFrame, match: int = 1, mismatch: int = 3, opening: int = 5, e
         t[9].alias("qname"), F.when(t[8] == "+", 0).otherwise(C.REVERSE).cast("bigint").alias("flag"), t[13].alias("rname"), t[15].cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("mapq"),
         F.concat(clip(F.col("begin")), body, clip(F.col("size") - F.col("end"))).alias("cigar"), none.alias("seq"), none.alias("qual"), _tags(AS=score).alias("tags"),
     )
+
+
+def novoalign(lines: DataFrame) -> DataFrame:
+    """Reads placed once (``U``); variations are ``pos ref>base``, ``pos+bases`` before a place and ``pos-base`` for each base deleted.
+
+    The mismatch string leaves out runs of no match, but for a mismatch right after a deletion, as the original's does.
+    """
+    kept = lines.where(~F.col("value").startswith("#")).select(F.split(F.rtrim("value"), r"\s+").alias("t")).where(F.get("t", F.lit(4)) == "U")
+    t = F.col("t")
+    reverse, length = t[9] == "R", F.length(t[2])
+    event = lambda x: F.struct(F.regexp_extract(x, r"^(\d+)", 1).cast("int").alias("at"), F.regexp_extract(x, "([+>-])", 1).alias("kind"), F.regexp_extract(x, r"^\d+[+-]?([A-Za-z]+)", 1).alias("bases"))
+    rows = kept.withColumn("events", F.transform(F.slice("t", 14, 1 << 20), event))
+    gone = F.transform(F.filter("events", lambda x: x["kind"] == "-"), lambda x: x["at"])
+    # bases deleted side by side are one gap; it takes the length of its run at the first of them
+    ahead = lambda at: F.size(F.filter(gone, lambda y: (y >= at) & (y - at == F.size(F.filter(gone, lambda z: (z >= at) & (z < y))))))
+    gaps = F.filter("events", lambda x: (x["kind"] == "+") | ((x["kind"] == "-") & ~F.array_contains(gone, x["at"] - 1)))
+    start = F.struct(F.lit(1).alias("place"), F.lit(0).alias("used"), F.lit("").alias("text"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run, deleted = x["at"] - acc["place"], x["kind"] == "-"
+        size = F.when(deleted, ahead(x["at"])).otherwise(F.length(x["bases"]))
+        text = F.concat(acc["text"], F.when(run > 0, F.concat(run.cast("string"), F.lit("M"))).otherwise(""), size.cast("string"), F.when(deleted, "D").otherwise("I"))
+        return F.struct((x["at"] + F.when(deleted, size).otherwise(0)).alias("place"), (acc["used"] + run + F.when(deleted, 0).otherwise(size)).alias("used"), text.alias("text"))
+
+    rest = lambda acc: F.concat(acc["text"], F.when(length > acc["used"], F.concat((length - acc["used"]).cast("string"), F.lit("M"))).otherwise(""))
+    first = F.struct(F.lit(1).alias("place"), F.lit(False).alias("open"), F.lit("").alias("text"))
+
+    def mark(acc: Column, x: Column) -> Column:
+        run, deleted = x["at"] - acc["place"], x["kind"] == "-"
+        number = F.when((run > 0) | (acc["open"] & ~deleted), run.cast("string")).otherwise("")
+        caret = F.when(deleted & ~(acc["open"] & (run == 0)), "^").otherwise("")
+        return F.struct((x["at"] + 1).alias("place"), deleted.alias("open"), F.concat(acc["text"], number, caret, x["bases"]).alias("text"))
+
+    inserted = F.aggregate(F.filter("events", lambda x: x["kind"] == "+"), F.lit(0), lambda n, x: n + F.length(x["bases"]))
+    after = length - inserted + F.size(gone) + 1
+    md = F.aggregate(F.filter("events", lambda x: x["kind"] != "+"), first, mark, lambda acc: F.concat(acc["text"], F.when(after > acc["place"], (after - acc["place"]).cast("string")).otherwise("")))
+    flag = F.lit(C.PAIRED) + F.when(t[1] == "L", C.READ1).otherwise(C.READ2) + F.when(t[10] == ".", C.PROPER).otherwise(0) + F.when(reverse, C.REVERSE).otherwise(0)
+    return rows.select(
+        _plain(F.substring(t[0], 2, 1 << 20)).alias("qname"), flag.cast("bigint").alias("flag"), F.substring(t[7], 2, 1 << 20).alias("rname"), (t[8].cast("bigint") - 1).alias("pos"),
+        F.greatest(t[5].cast("bigint"), t[6].cast("bigint")).alias("mapq"), F.aggregate(gaps, start, step, rest).alias("cigar"),
+        F.when(reverse, C.reverse_complement(t[2])).otherwise(t[2]).alias("seq"), F.when(reverse, F.reverse(t[3])).otherwise(t[3]).alias("qual"), _tags(NM=F.size("events"), MD=md).alias("tags"),
+    )
+
+
+def read_groups(samples: DataFrame, experiments: DataFrame, runs: DataFrame) -> DataFrame:
+    """(id, sm, lb): read groups from an archive's three metadata documents, each a whole text in ``value``."""
+    sample = F.coalesce(F.last(F.try_element_at(F.regexp_extract_all("value", F.lit(r'(?i)<SAMPLE\b[^>]*\balias="([^"]+)"'), F.lit(1)), F.lit(-1)), True), F.lit("UNKNOWN"))
+
+    def parts(texts: DataFrame, tag: str) -> DataFrame:
+        """One row an element ``tag``, from its opening tag as far as the next one."""
+        return texts.select(F.explode(F.split("value", rf"(?i)(?=<{tag}\b[^>]*\baccession=)")).alias("part")).where(F.col("part").rlike(rf"(?i)^<{tag}\b"))
+
+    named = lambda tag: F.regexp_extract("part", rf'(?i)<{tag}\b[^>]*\baccession="([^\s"]+)"', 1)
+    library = F.regexp_extract("part", r"(?i)<LIBRARY_NAME>\s*(\S+?)\s*</LIBRARY_NAME>", 1)
+    libraries = parts(experiments, "EXPERIMENT").select(named("EXPERIMENT").alias("experiment"), library.alias("lb"))
+    found = parts(runs, "RUN").select(named("RUN").alias("id"), named("EXPERIMENT_REF").alias("experiment"))
+    return found.join(libraries, "experiment", "left").withColumn("one", F.lit(1)).join(samples.agg(sample.alias("sm")).withColumn("one", F.lit(1)), "one").select("id", "sm", F.nullif("lb", F.lit("")).alias("lb"))

@@ -33,3 +33,24 @@ def test_psl(spark):
     assert (got["flag"], got["pos"], got["cigar"], got["tags"]["AS"]) == (0, 100, "5H10M3D20M5H", str(30 - 6 - 5 - 6))
     back = only(convert.psl(spark.createDataFrame([(row("-", 5, 35, [10, 18], [5, 17], [100, 110]),)], "value string")))["read"]
     assert (back["flag"], back["cigar"]) == (16, "5H10M2I18M5H")
+
+
+def test_novoalign(spark):
+    line = lambda name, side, strand, *marks, status="U": "\t".join([f"@{name}/1", side, "ACGTACGTAC", "IIIIIIIIIH", status, "30", "40", ">chr1", "100", strand, ".", "x", "y", *marks])
+    rows = ["# made up", line("a", "L", "F"), line("b", "R", "R", "3A>C", "7C>T"), line("c", "L", "F", "4-G", "5-T", "6A>C"), line("d", "L", "F", "5+AC"), line("e", "L", "F", "2-A", "6-C", "6+TTT"), line("f", "L", "F", status="R"), line("g", "L", "F", "1A>C", "2C>G")]
+    got = only(convert.novoalign(spark.createDataFrame([(r,) for r in rows], "value string")))
+    assert set(got) == set("abcdeg")
+    assert (got["a"]["flag"], got["a"]["rname"], got["a"]["pos"], got["a"]["mapq"], got["a"]["cigar"], got["a"]["tags"]) == (67, "chr1", 99, 40, "10M", {"NM": "0", "MD": "10"})
+    assert (got["b"]["flag"], got["b"]["seq"], got["b"]["qual"][0], got["b"]["cigar"], got["b"]["tags"]["MD"]) == (147, "GTACGTACGT", "H", "10M", "2A3C3")
+    assert (got["c"]["cigar"], got["c"]["tags"]["MD"], got["c"]["tags"]["NM"]) == ("3M2D7M", "3^GT0A6", "3")
+    assert (got["d"]["cigar"], got["d"]["tags"]["MD"]) == ("4M2I4M", "8")
+    assert (got["g"]["cigar"], got["g"]["tags"]["MD"]) == ("10M", "AC8")
+
+
+def test_read_groups(spark):
+    text = lambda *parts: spark.createDataFrame([(p,) for p in parts], "value string")
+    experiments = text('<EXPERIMENT_SET><EXPERIMENT alias="x" accession="E1"><LIBRARY_NAME> libA </LIBRARY_NAME></EXPERIMENT>\n<EXPERIMENT accession="E2"></EXPERIMENT></EXPERIMENT_SET>')
+    runs = text('<RUN accession="R1"><EXPERIMENT_REF accession="E1"/></RUN><RUN accession="R2"><EXPERIMENT_REF accession="E2"/></RUN>', '<run accession="R3"><experiment_ref accession="E1"/></run>')
+    got = {tuple(r) for r in convert.read_groups(text('<SAMPLE alias="NA1" accession="S1">'), experiments, runs).collect()}
+    assert got == {("R1", "NA1", "libA"), ("R2", "NA1", None), ("R3", "NA1", "libA")}
+    assert {r["sm"] for r in convert.read_groups(text("<none/>"), experiments, runs).collect()} == {"UNKNOWN"}
