@@ -146,14 +146,14 @@ def consensus_text(sites: DataFrame, refs: DataFrame, min_depth: int = 3, max_de
     return every.join(put, ["tid", "tile"], "left").select("tid", "tile", (F.col("tile") * tile).alias("start"), text.alias("bases"))
 
 
-def as_variants(sites: DataFrame) -> DataFrame:
-    """(tid, pos, ref, alt, gt): sites whose code differs from the reference, the code opened into alleles."""
+def as_variants(sites: DataFrame, *keep: str) -> DataFrame:
+    """(tid, pos, ref, alt, gt, columns to keep): sites whose code differs from the reference, the code opened into alleles."""
     alleles = F.create_map(*[F.lit(x) for c, a in zip("ACGTMRWSYK", ("A", "C", "G", "T", "AC", "AG", "AT", "CG", "CT", "GT"), strict=True) for x in (c, a)])
     open_ = sites.withColumn("alleles", alleles[F.col("cons")]).where((F.col("cons") != F.col("ref")) & F.col("alleles").isNotNull())
     other = F.regexp_replace(F.col("alleles"), F.col("ref"), F.lit(""))
     alt = F.array_join(F.filter(F.split(other, ""), lambda x: x != ""), ",")
     gt = F.when(F.length("alleles") == 1, "1/1").when(F.length(other) == 1, "0/1").otherwise("1/2")
-    return open_.select("tid", (F.col("pos") + 1).alias("pos"), "ref", alt.alias("alt"), gt.alias("gt"))
+    return open_.select("tid", (F.col("pos") + 1).alias("pos"), "ref", alt.alias("alt"), gt.alias("gt"), *keep)
 
 
 def dense(sites: DataFrame, within: int, most: int) -> DataFrame:

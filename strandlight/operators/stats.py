@@ -36,6 +36,12 @@ def fragment_histogram(aln: DataFrame, modes: tuple[int, ...] = (1, 5)) -> DataF
     return sized.groupBy("rg", F.abs("isize").alias("frag_len")).agg(F.count(F.lit(1)).alias("freq"))
 
 
+def mode_counts(aln: DataFrame, modes: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """(rg, valid, invalid): reads of pairs whose orientation is one of ``modes``, and of others."""
+    valid = F.count_if(C.pair_mode("flag", "isize").isin(*modes))
+    return aln.groupBy("rg").agg(valid.alias("valid"), (F.count(F.lit(1)) - valid).alias("invalid"))
+
+
 def cumulative(histogram: DataFrame) -> DataFrame:
     """The histogram with the running count and all pairs of the read group."""
     by = Window.partitionBy("rg")

@@ -6,9 +6,13 @@ spread over as many tasks as its sites fill and no row depends on the order in w
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlight.operators import pileup
+
 #: Bases of a cell in which neighbours meet, and of a stretch in which dense sites are counted.
 CELL, STRETCH = 256, 1 << 16
 
@@ -84,3 +88,25 @@ def filtered_variants(sites: DataFrame, d: int = 3, D: int = 100, l: int = 30, Q
     judged = found.join(beaten, ["tid", "pos", "cons", "ref"], "left").join(close, ["tid", "pos", "gap"], "left").join(dense, ["tid", "pos", "gap", "weak"], "left")
     letter = F.coalesce("own", F.when(F.col("dense"), "W"), F.when(F.col("close"), "G"), F.when(F.col("beaten"), "g"), F.when(F.col("weak"), "Q"), F.lit("U"))
     return judged.select("tid", "pos", "ref", "cons", letter.alias("filter"))
+
+
+def as_vcf(sites: DataFrame, refs: DataFrame, snps: bool = True, indels: bool = True) -> DataFrame:
+    """(tid, pos, ref, alt, qual, info, gt): variant records of ``calls.variant_sites``, positions from 1.
+
+    A gap stands at the base before it, inserted bases as ``I`` and their text, deleted ones as ``D`` and their number.
+    Where the genotype is that of no gap, the two lengths compared are shown. Bases of unclear codes drop out.
+    """
+    info = F.concat(F.lit("DP="), F.col("depth").cast("string"))
+    parts = []
+    if snps:
+        called = pileup.as_variants(sites.where("ref <> '*'"), "snp_q", "depth")
+        parts.append(called.select("tid", "pos", "ref", "alt", F.col("snp_q").alias("qual"), info.alias("info"), "gt"))
+    if indels:
+        shown = lambda a: F.when(a.startswith("+"), F.concat(F.lit("I"), F.substring(a, 2, 1 << 20))).when(a.startswith("-"), F.concat(F.lit("D"), (F.length(a) - 1).cast("string")))
+        alleles = F.when(F.col("cons") == "*/*", F.array("allele1", "allele2")).otherwise(F.split("cons", "/"))
+        gaps = pileup.with_reference(sites.where("ref = '*'").drop("ref").withColumn("a", F.transform(alleles, shown)), refs)
+        one, two = F.get("a", F.lit(0)), F.get("a", F.lit(1))
+        alt = F.when(one.isNotNull() & two.isNotNull() & (one != two), F.concat(one, F.lit(","), two)).otherwise(F.coalesce(one, two))
+        gt = F.when(one.isNull() | two.isNull(), "0/1").when(one == two, "1/1").otherwise("1/2")
+        parts.append(gaps.select("tid", (F.col("pos") + 1).alias("pos"), F.upper("ref").alias("ref"), alt.alias("alt"), F.col("snp_q").alias("qual"), info.alias("info"), gt.alias("gt")).where("alt IS NOT NULL"))
+    return reduce(DataFrame.unionByName, parts)

@@ -287,3 +287,4 @@ _add("from_novoalign", f"""SELECT qname, CAST(3 + CASE WHEN m = 1 THEN 64 ELSE 1
   FROM hits WHERE rec_no % 11 <> 0""", "hits")
 _add("first_base_calls", """SELECT e.tid, e.pos, substring(r.bases, e.pos + 1, 1) AS ref, coalesce(upper(base), 'N') AS cons, baseq AS cons_q, least(mapq, 60) AS rms_q, depth
   FROM (SELECT *, count(*) OVER (PARTITION BY tid, pos) AS depth, row_number() OVER (PARTITION BY tid, pos ORDER BY rec_no) AS k FROM elem) e JOIN refs r ON r.tid = e.tid WHERE k = 1""", "elem")
+_add("frag_mode_counts", "SELECT rg, count(*) FILTER (pair_mode IN (1, 5)) AS valid, count(*) FILTER (pair_mode NOT IN (1, 5)) AS invalid FROM modes GROUP BY rg", "modes")

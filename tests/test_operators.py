@@ -316,3 +316,13 @@ def test_regions_meet_once_over_cells(spark):
     size = {"5M": 5, "3M5000N2M": 5005, "*": 1, "9M2D1M": 12}
     want = sorted((i, k) for t, p, c, i in reads for k, u, b, e in spans if t == u and b < e and p < e and p + size[c] > b)
     assert sorted((r["rec_no"], r["region"]) for r in got.collect()) == want
+
+
+def test_vcf_of_sites(spark):
+    rows = [(0, 1, "C", "R", 50, 60, 7, "", "", 0, 0), (0, 2, "G", "T", 40, 60, 5, "", "", 0, 0), (0, 3, "T", "B", 40, 60, 5, "", "", 0, 0)]
+    rows += [(0, p, "*", cons, 30, 60, 9, a, b, 1, 1) for p, cons, a, b in ((4, "+AC/+AC", "+AC", "*"), (5, "*/-NN", "*", "-NN"), (6, "*/*", "*", "+T"), (7, "+A/-NNN", "+A", "-NNN"))]
+    sites = spark.createDataFrame(rows, "tid long, pos long, ref string, cons string, snp_q long, rms_q long, depth long, allele1 string, allele2 string, n1 long, n2 long")
+    refs = spark.createDataFrame([(0, "c", 10, "ACGTacgtAC")], "tid long, rname string, len long, bases string")
+    got = {r["pos"]: tuple(r)[2:] for r in variants.as_vcf(sites, refs).collect()}
+    assert got == {2: ("C", "A,G", 50, "DP=7", "1/2"), 3: ("G", "T", 40, "DP=5", "1/1"), 5: ("A", "IAC", 30, "DP=9", "1/1"), 6: ("C", "D2", 30, "DP=9", "0/1"), 7: ("G", "IT", 30, "DP=9", "0/1"), 8: ("T", "IA,D3", 30, "DP=9", "1/2")}
+    assert {r["pos"] for r in variants.as_vcf(sites, refs, indels=False).collect()} == {2, 3} and {r["pos"] for r in variants.as_vcf(sites, refs, snps=False).collect()} == {5, 6, 7, 8}
