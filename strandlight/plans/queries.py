@@ -274,12 +274,6 @@ def variant_filter(spark, sf_dir):
     return variants.filtered_variants(calls.variant_sites(masked(spark, sf_dir), refs(spark, sf_dir)))
 
 
-@query
-def vcf_with_gaps(spark, sf_dir):
-    known = refs(spark, sf_dir)
-    return variants.as_vcf(calls.variant_sites(masked(spark, sf_dir), known), known)
-
-
 @query
 def coord_sort_rank(spark, sf_dir):
     return sorting.ranked(aln(spark, sf_dir).select("qname", "m", "tid", "pos", "rec_no"), sorting.coordinate_order())
