@@ -14,7 +14,8 @@ from strandlight.llm import packing
 from strandlight.llm import line_dedup
 from strandlight.llm import fingerprints
 from strandlight.llm import jaccard_join
-from strandlight.llm.common import documents, labels, remainder
+from strandlight.llm import simhash_join, fill_in_middle, periodic_runs
+from strandlight.llm.common import WORD, documents, labels, remainder
 from strandlight.llm.secret_scan import BASE_KINDS, scan_secrets
 
 
@@ -81,7 +82,42 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op10_line_dedup": op10_line_dedup, "op2_fingerprints": op2_fingerprints, "op4_jaccard_join": op4_jaccard_join}
+def op11_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.near_duplicates(documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.restored(fill_in_middle.fill_in_middle(documents(spark, sf_dir)))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def varied(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the text of one id in ten, by its hash, made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+    rows = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    rows = rows.withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    unit = F.slice("words", F.col("a") + 1, F.col("p"))
+    again = F.slice(F.flatten(F.array_repeat(unit, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(varied(documents(spark, sf_dir)))
+    first = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.withColumn("best", F.when(F.size("runs") > 0, first))
+    length = -F.col("best.less")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).cast("long").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_language_id": op5_language_id, "op6_quality_rules": op6_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op10_line_dedup": op10_line_dedup, "op2_fingerprints": op2_fingerprints, "op4_jaccard_join": op4_jaccard_join, "op11_simhash_join": op11_simhash_join, "op12_fill_in_middle": op12_fill_in_middle, "op13_periodic_runs": op13_periodic_runs}
 #: The words of the contracts and the lines of at least three of them, for DuckDB's expressions.
 ORACLE_SQL: dict[str, str] = {
     "op10_line_dedup": r"""
