@@ -1,18 +1,21 @@
-"""Consensus genotypes, mismatch strings and genotypes of gaps."""
+"""Consensus genotypes, mismatch strings and the sites of variants."""
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlight.functions import cigar as C
-from strandlight.operators import pileup
-from strandlight.operators.stats import rms
+from strandlight.operators import pileup, realign
 
 #: Defaults of the consensus model: heterozygote rate, dependency of further bases, error floor.
 HET_RATE, THETA, ETA, CAP = 0.001, 0.85, 0.03, 60
+#: Ranks from the last of these on weigh alike.
+DEPENDENT = 256
 #: Sums of weighted qualities are kept as whole millionths, so that their order doesn't matter.
 UNIT = 1_000_000
 PHRED = 4.343
@@ -20,60 +23,83 @@ GENOTYPES = [(i, j) for i in range(4) for j in range(i, 4)]
 
 
 def evidence(aln: DataFrame) -> DataFrame:
-    """(tid, pos, e0-e3, c0-c3, rms_q, depth): summed weights and counts of the four bases at each site.
+    """(tid, pos, e, f, c, rms_q, depth): summed weighted qualities, summed weights and counts of the four bases at each site.
 
-    A base weighs its quality, capped by its read's; each further one of the same strand and base at a site weighs less.
+    A base weighs its quality, capped by its read's; each further one of the same strand and base at a site weighs less,
+    the best first. Equal qualities of a base and strand are counted before they are ranked, so that a deep site is a
+    few rows.
     """
     at = pileup.elements(aln).where(~F.col("deleted"))
     code = F.array_position(F.array(*map(F.lit, "ACGT")), F.upper("base")) - 1
     q = F.least("baseq", "mapq")
     q = F.when((q < 4) & (F.col("baseq") != 0), 4).otherwise(q)
-    at = at.select("tid", "pos", "reverse", "mapq", "rec_no", "baseq", code.alias("code"), q.alias("q"))
-    order = Window.partitionBy("tid", "pos", "code", "reverse").orderBy(F.desc("q"), F.desc("baseq"), F.desc("mapq"), "rec_no")
-    rank = F.when((F.col("q") > 0) & (F.col("code") >= 0), F.least(F.row_number().over(order) - 1, F.lit(255)))
-    at = at.withColumn("rank", rank)
-    part = F.round((F.pow(F.lit(THETA), F.col("rank")) * (1 - ETA) + ETA) * F.col("q") * UNIT).cast("bigint")
-    sums = [F.coalesce(F.sum(F.when((F.col("code") == b) & F.col("rank").isNotNull(), part)), F.lit(0)).alias(f"e{b}") for b in range(4)]
-    counts = [F.count_if((F.col("code") == b) & F.col("rank").isNotNull()).alias(f"c{b}") for b in range(4)]
-    return at.groupBy("tid", "pos").agg(*sums, *counts, rms(F.col("mapq"), CAP).alias("rms_q"), F.count(F.lit(1)).alias("depth"))
+    used = F.when(q > 0, code)
+    capped = F.least("mapq", F.lit(CAP))
+    counted = at.groupBy("tid", "pos", F.when(used >= 0, used).alias("code"), "reverse", q.alias("q")).agg(F.count(F.lit(1)).alias("n"), F.sum(capped * capped).alias("squares"))
+    # one exchange by site serves the ranks and the sums
+    counted = counted.repartition("tid", "pos")
+    order = Window.partitionBy("tid", "pos", "code", "reverse").orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("rank", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    last = F.lit(DEPENDENT - 1)
+    weight = lambda k: F.pow(F.lit(THETA), k) * (1 - ETA) + ETA
+
+    def summed(part) -> Column:
+        """``part`` of the weight of each rank of a group; from the last rank on all are alike."""
+        ranks = F.sequence(F.least("rank", last), F.least(F.col("rank") + F.col("n") - 1, last))
+        zero = F.lit(0).cast("bigint")
+        several = F.aggregate(ranks, zero, lambda acc, k: acc + part(weight(k))) + (F.col("n") - F.size(ranks)) * part(weight(last))
+        return F.when(F.col("n") == 1, part(weight(F.least("rank", last)))).otherwise(several)
+
+    counted = counted.withColumns({
+        "ranked": F.when(F.col("code").isNotNull(), summed(lambda w: F.round(w * F.col("q") * UNIT).cast("bigint"))),
+        "weights": F.when(F.col("code").isNotNull(), summed(lambda w: F.round(w * UNIT).cast("bigint"))),
+    })
+    bases = lambda column: F.array(*[F.coalesce(F.sum(F.when(F.col("code") == b, F.col(column))), F.lit(0)) for b in range(4)])
+    root = F.floor(F.sqrt(F.sum("squares").cast("double") / F.sum("n")) + 0.499).cast("bigint")
+    return counted.groupBy("tid", "pos").agg(bases("ranked").alias("e"), bases("weights").alias("f"), bases("n").alias("c"), root.alias("rms_q"), F.sum("n").alias("depth"))
 
 
 def consensus(aln: DataFrame) -> DataFrame:
-    """(tid, pos, cons, cons_q, second, rms_q, depth): best genotype, its lead over the next, root mean square mapping quality."""
-    return evidence(aln).select("tid", "pos", *_called(), "rms_q", "depth")
+    """(tid, pos, cons, cons_q, second, next_q, rms_q, depth): best genotype, its lead over the next, that and its lead, root mean square mapping quality."""
+    return called(with_likelihoods(evidence(aln)))
 
 
 def likelihood_records(aln: DataFrame) -> DataFrame:
     """(tid, pos, offset, depth, rms_q, min_lk, lk): the ten genotypes' scaled likelihoods of each site, and how far it lies from the one before."""
-    raw = likelihoods()
-    least = F.least(*raw)
     whole = lambda x: F.least(F.lit(255), F.floor((x + UNIT // 2) / UNIT)).cast("bigint")
-    sites = evidence(aln).withColumn("part", F.floor(F.col("pos") / pileup.TILE))
+    sites = with_likelihoods(evidence(aln)).withColumns({"part": F.floor(F.col("pos") / pileup.TILE), "low": F.array_min("lk")})
     # the site before the first of a stretch is the last of the stretch before it that has any: one row for each
     last = sites.groupBy("tid", "part").agg(F.max("pos").alias("last"))
     last = last.select("tid", "part", F.lag("last").over(Window.partitionBy("tid").orderBy("part")).alias("earlier"))
     before = F.coalesce(F.lag("pos").over(Window.partitionBy("tid", "part").orderBy("pos")), F.col("earlier"), F.lit(0))
     found = sites.join(last, ["tid", "part"]).withColumn("offset", F.col("pos") - before)
-    return found.select("tid", "pos", "offset", "depth", "rms_q", whole(least).alias("min_lk"), F.array(*[whole(x - least) for x in raw]).alias("lk"))
+    return found.select("tid", "pos", "offset", "depth", "rms_q", whole(F.col("low")).alias("min_lk"), F.transform("lk", lambda x: whole(x - F.col("low"))).alias("lk"))
 
 
-def likelihoods() -> list[Column]:
-    """Scaled likelihood of each genotype, in millionths: qualities of all other bases, and for two bases their split."""
-    other = lambda skip: sum((F.col(f"e{b}") for b in range(4) if b not in skip), F.lit(0))
-    split = round(PHRED * 0.6931471805599453 * UNIT)
-    return [other((i, j)) if i == j else other((i, j)) + (F.col(f"c{i}") + F.col(f"c{j}")) * split for i, j in GENOTYPES]
+def with_likelihoods(sites: DataFrame) -> DataFrame:
+    """``sites`` with ``lk``, in millionths: for each genotype the qualities of all other bases, and for two bases their split.
 
+    One array, so that what follows works on it as a whole and no plan repeats the ten sums.
+    """
+    split = round(PHRED * 0.6931471805599453 * UNIT)
+    all_ = F.aggregate("e", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    one = lambda i: F.get("e", i)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in GENOTYPES])
+    own = lambda g: F.when(g["i"] == g["j"], one(g["i"])).otherwise(one(g["i"]) + one(g["j"]) - (F.get("c", g["i"]) + F.get("c", g["j"])) * split)
+    return sites.withColumn("all", all_).withColumn("lk", F.transform(pairs, lambda g: F.col("all") - own(g))).drop("all")
 
-def _called() -> list[Column]:
-    import math
 
+def called(sites: DataFrame) -> DataFrame:
+    """(tid, pos, cons, cons_q, second, next_q, rms_q, depth) of sites with likelihoods ``lk`` in millionths."""
     prior = int(-PHRED * math.log(2 * HET_RATE / (1 - HET_RATE)) + 0.5)
-    raw = likelihoods()
-    least = F.least(*raw)
-    scaled = [F.least(F.lit(255), F.floor((x - least + UNIT // 2) / UNIT)) + (0 if i == j else prior) for x, (i, j) in zip(raw, GENOTYPES, strict=True)]
-    best = F.sort_array(F.array(*[F.struct(x.cast("bigint").alias("v"), F.lit(4 * i + j).alias("g"), F.lit((1 << i) | (1 << j)).alias("bits")) for x, (i, j) in zip(scaled, GENOTYPES, strict=True)]))
-    code = lambda bits: F.substring(F.lit(pileup.CODES), bits + 1, F.lit(1))
-    return [code(best[0]["bits"]).alias("cons"), F.least(best[1]["v"] - best[0]["v"], F.lit(255)).cast("bigint").alias("cons_q"), code(best[1]["bits"]).alias("second")]
+    priors, numbers, bits = (F.array(*[F.lit(v) for v in values]) for values in ([0 if i == j else prior for i, j in GENOTYPES], [4 * i + j for i, j in GENOTYPES], [(1 << i) | (1 << j) for i, j in GENOTYPES]))
+    low = F.array_min("lk")
+    scaled = lambda x, k: (F.least(F.lit(255), F.floor((x - F.col("low") + UNIT // 2) / UNIT)) + F.get(priors, k)).cast("bigint")
+    ranked = F.sort_array(F.transform("lk", lambda x, k: F.struct(scaled(x, k).alias("v"), F.get(numbers, k).alias("g"), F.get(bits, k).alias("bits"))))
+    found = sites.withColumn("low", low).withColumn("ranked", ranked)
+    code = lambda k: F.substring(F.lit(pileup.CODES), F.col("ranked")[k]["bits"] + 1, F.lit(1))
+    lead = lambda k: F.least(F.col("ranked")[k + 1]["v"] - F.col("ranked")[k]["v"], F.lit(255)).cast("bigint")
+    return found.select("tid", "pos", code(0).alias("cons"), lead(0).alias("cons_q"), code(1).alias("second"), lead(1).alias("next_q"), "rms_q", "depth")
 
 
 def _merged(cigar: str) -> Column:
@@ -144,64 +170,15 @@ def masked_matches(aln: DataFrame, refs: DataFrame, equal: bool = False, max_nm:
     return reads.select("qname", "m", "rec_no", "seq", *(["qual"] if "qual" in reads.columns else []), "nm", "md")
 
 
-#: Defaults of the gap model: quality of an indel in sequencing, dependency of its further lengths, prior of one between haplotypes.
-GAP_QUALITY, GAP_DEPENDENCY, GAP_RATE = 40, 0.9, 0.00015
-
-
-def inserted_text(at: DataFrame) -> DataFrame:
-    """(tid, pos, indel, text): for each length inserted after a position the commonest base of each place, N where none is known."""
-    bases = at.where("indel > 0").select("tid", "pos", "indel", F.posexplode(F.split(F.upper("inserted"), "")).alias("k", "base")).where("base <> ''")
-    code = F.array_position(F.array(*map(F.lit, "ACGT")), F.col("base"))
-    counted = bases.groupBy("tid", "pos", "indel", "k", code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("tid", "pos", "indel", "k").agg(F.max(F.when(F.col("code") > 0, F.struct("n", -F.col("code")))).alias("b"))
-    letter = F.when(F.col("b").isNull(), "N").otherwise(F.substring(F.lit("TGCA"), (F.col("b.col2") + 5).cast("int"), F.lit(1)))
-    return best.select("tid", "pos", "indel", F.struct("k", letter.alias("letter")).alias("x")).groupBy("tid", "pos", "indel").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["letter"]), "").alias("text"))
-
-
-def gaps(aln: DataFrame) -> DataFrame:
-    """(tid, pos, cons, gap_q, snp_q, rms_q, depth, allele1, allele2, n1, n2): genotype of each site after which a read has an indel.
+def variant_sites(aln: DataFrame, refs: DataFrame) -> DataFrame:
+    """Sites whose consensus differs from the reference, and all sites of gaps, in the columns of ``variants.filtered_variants``.
 
-    The two lengths of most reads (none is one of them, written ``*``) stand against each other. A read weighs for the
-    nearer one by the quality of the gap between both, up to what an error of that size is worth.
+    A site's ``snp_q`` is its consensus' lead over the reference's base: over the next genotype, and where that isn't
+    the reference's, also that one's lead over the third.
     """
-    at = pileup.elements(aln)
-    sites = at.groupBy("tid", "pos").agg(F.count(F.lit(1)).alias("depth"), rms(F.col("mapq"), CAP).alias("rms_q"))
-    seen = at.where("indel <> 0").groupBy("tid", "pos", "indel").agg(F.count(F.lit(1)).alias("n")).join(inserted_text(at), ["tid", "pos", "indel"], "left")
-    shown = F.when(F.col("indel") > 0, F.concat(F.lit("+"), "text")).otherwise(F.concat(F.lit("-"), F.repeat(F.lit("N"), (-F.col("indel")).cast("int"))))
-    kinds = seen.groupBy("tid", "pos").agg(F.collect_list(F.struct("indel", "n", shown.alias("text"))).alias("kinds"), F.sum("n").alias("with_gap"))
-    none = F.struct(F.lit(0).cast("bigint").alias("indel"), (F.col("depth") - F.col("with_gap")).alias("n"), F.lit("*").alias("text"))
-    found = sites.join(kinds, ["tid", "pos"]).withColumn("kinds", F.sort_array(F.concat("kinds", F.array(none))))
-    # most reads first, then the shorter gap, then the deletion
-    led = F.sort_array(F.transform("kinds", lambda x, i: F.struct((-x["n"]).alias("less"), F.abs(x["indel"]).alias("size"), x["indel"].alias("indel"), i.alias("i"), x["n"].alias("n"), x["text"].alias("text"))))
-    found = found.withColumn("led", F.slice(led, 1, 2)).select("*", F.get("led", F.lit(0)).alias("a"), F.get("led", F.lit(1)).alias("b"))
-    worth = [int(GAP_QUALITY * (1 - GAP_DEPENDENCY ** (k + 1)) / (1 - GAP_DEPENDENCY) + 1e-9) for k in range(200)]
-    most = F.get(F.array(*map(F.lit, worth)), F.least(F.abs(F.col("a.i") - F.col("b.i")), F.lit(len(worth) - 1)))
-
-    def against(one: str, other: str) -> Column:
-        """Quality against genotype ``one``: of the reads that lie nearer to ``other``."""
-        far = lambda x: GAP_QUALITY * (F.abs(x["indel"] - F.col(f"{one}.indel")) - F.abs(x["indel"] - F.col(f"{other}.indel")))
-        return F.aggregate("kinds", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"] * F.least(F.greatest(far(x), F.lit(0)), most))
-
-    import math
-
-    prior = int(-PHRED * math.log(GAP_RATE) + 0.5)
-    found = found.withColumns({"q0": against("a", "b"), "q1": against("b", "a"), "q2": F.col("depth") * 3 + prior})
-    ranked = F.sort_array(F.array(*[F.struct(F.col(f"q{g}").alias("q"), F.lit(g).alias("g")) for g in range(3)]))
-    found = found.withColumn("ranked", ranked).withColumn("g", F.col("ranked")[0]["g"])
-    own = F.when(F.col("g") == 0, F.col("a.text")).when(F.col("g") == 1, F.col("b.text"))
-    lead = F.when(own == "*", 0).when(F.col("g") == 0, F.col("q1") - F.col("q0") - prior - 3).when(F.col("g") == 1, F.col("q0") - F.col("q1") - prior - 3)
-    lead = lead.otherwise(F.when(F.col("a.text") == "*", F.col("q0")).otherwise(F.col("q1")) - F.col("q2"))
-    cons = F.coalesce(F.concat(own, F.lit("/"), own), F.concat("a.text", F.lit("/"), "b.text"))
-    return found.select(
-        "tid", "pos", cons.alias("cons"), (F.col("ranked")[1]["q"] - F.col("ranked")[0]["q"]).alias("gap_q"), F.greatest(lead, F.lit(0)).cast("bigint").alias("snp_q"),
-        "rms_q", "depth", F.col("a.text").alias("allele1"), F.col("b.text").alias("allele2"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"),
-    )
-
-
-def variant_sites(aln: DataFrame, refs: DataFrame) -> DataFrame:
-    """Sites whose consensus differs from the reference, and all indel sites, in the columns of ``variants.filtered_variants``."""
-    called = pileup.with_reference(consensus(aln), refs)
+    sites = pileup.with_reference(consensus(aln), refs)
+    lead = F.when(F.col("second") == F.col("ref"), F.col("cons_q")).otherwise(F.least(F.col("cons_q") + F.col("next_q"), F.lit(255)))
     empty = [F.lit("").alias("allele1"), F.lit("").alias("allele2"), F.lit(0).cast("bigint").alias("n1"), F.lit(0).cast("bigint").alias("n2")]
-    snps = called.where((F.col("cons") != F.col("ref")) & (F.col("cons") != "N")).select("tid", "pos", "ref", "cons", F.col("cons_q").alias("snp_q"), "rms_q", "depth", *empty)
-    called_gaps = gaps(aln).select("tid", "pos", F.lit("*").alias("ref"), "cons", "snp_q", "rms_q", "depth", "allele1", "allele2", "n1", "n2")
-    return snps.unionByName(called_gaps)
+    snps = sites.where((F.col("cons") != F.col("ref")) & (F.col("cons") != "N")).select("tid", "pos", "ref", "cons", lead.alias("snp_q"), "rms_q", "depth", *empty)
+    gaps = realign.indel_genotypes(aln, refs).select("tid", "pos", F.lit("*").alias("ref"), "cons", "snp_q", "rms_q", "depth", "allele1", "allele2", "n1", "n2")
+    return snps.unionByName(gaps)

@@ -13,6 +13,14 @@ from strandlight.operators.stats import rms
 TILE, MARGIN = 1 << 16, 1 << 10
 
 
+def with_qualities(aln: DataFrame) -> DataFrame:
+    """``aln`` with ``qual`` (phred + 33); where the input has none, qualities of 20 to 39 by the record number."""
+    if "qual" in aln.columns:
+        return aln
+    turn = "".join(chr(53 + k) for k in range(20))
+    return aln.withColumn("qual", F.substring(F.repeat(F.lit(turn), (F.length("seq") / 20 + 2).cast("int")), (F.col("rec_no") % 20 + 1).cast("int"), F.length("seq")))
+
+
 def elements(aln: DataFrame) -> DataFrame:
     """One row per read and covered position: base, quality, strand, deletion, head, tail and the indel that follows.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.functions import cigar as C
-from strandlight.operators import calls, dedup, filters, pairing, pileup, rescue, seeds, sorting, stats, variants
+from strandlight.operators import calls, dedup, filters, pairing, pileup, realign, rescue, seeds, sorting, stats, variants
 from strandlight.plans.fixtures import aln, refs, special_refs
 from strandlight.sources import convert, sam
 
@@ -247,7 +247,7 @@ def gap_masked_consensus(spark, sf_dir):
 
 @query
 def consensus_call(spark, sf_dir):
-    return calls.consensus(masked(spark, sf_dir))
+    return calls.consensus(masked(spark, sf_dir)).drop("next_q")
 
 
 @query
@@ -274,6 +274,16 @@ def variant_filter(spark, sf_dir):
     return variants.filtered_variants(calls.variant_sites(masked(spark, sf_dir), refs(spark, sf_dir)))
 
 
+@query
+def indel_genotypes(spark, sf_dir):
+    return realign.indel_genotypes(masked(spark, sf_dir), refs(spark, sf_dir))
+
+
+@query
+def vcf_with_gaps(spark, sf_dir):
+    return variants.as_vcf(calls.variant_sites(masked(spark, sf_dir), refs(spark, sf_dir)), refs(spark, sf_dir))
+
+
 @query
 def coord_sort_rank(spark, sf_dir):
     return sorting.ranked(aln(spark, sf_dir).select("qname", "m", "tid", "pos", "rec_no"), sorting.coordinate_order())

@@ -142,36 +142,6 @@ def test_variant_filters_are_their_rules(spark):
     assert set("UQdDWGg") <= set(filters_brute(rows).values())
 
 
-def test_gaps_are_called_from_their_reads(spark):
-    """Own mapping quality, counts, alleles and quality of each gap; a poorly mapped one is filtered and a weak one flags no SNP."""
-    reads = []
-
-    def add(pos, cigar, seq, mapq, times):
-        reads.extend(("r", 0, pos, mapq, cigar, seq, 0, len(reads) + i) for i in range(times))
-
-    add(100, "10M", "A" * 10, 5, 6), add(100, "5M2I5M", "AAAAACCAAAAA", 5, 6)
-    add(200, "10M", "A" * 10, 60, 8), add(200, "5M2D5M", "A" * 10, 60, 1)
-    add(300, "5M2I5M", "AAAAACCAAAAA", 60, 3), add(300, "5M2I5M", "AAAAACTAAAAA", 60, 1), add(300, "5M1D5M", "A" * 10, 60, 4)
-    add(400, "10M", "A" * 10, 60, 8), add(400, "5M1D5M", "A" * 10, 60, 1)
-    add(196, "4M", "AAGA", 60, 5)
-    aln = spark.createDataFrame(reads, "qname string, tid long, pos long, mapq long, cigar string, seq string, flag long, rec_no long")
-    refs = spark.createDataFrame([(0, "c", 1000, "A" * 1000)], "tid long, rname string, len long, bases string")
-    got = {r["pos"]: r for r in calls.gaps(aln).collect()}
-    assert set(got) == {104, 204, 304, 404}
-    seen = lambda pos: tuple(got[pos][c] for c in ("cons", "snp_q", "rms_q", "depth", "allele1", "allele2", "n1", "n2"))
-    # 6 reads each way at 76; both at 3 x 12 + 38
-    assert seen(104) == ("*/+CC", 456 - 74, 5, 12, "*", "+CC", 6, 6)
-    assert seen(204) == ("*/-NN", 76 - 65, 60, 9, "*", "-NN", 8, 1)
-    assert seen(304)[0] == "-N/+CC" and seen(304)[4:] == ("-N", "+CC", 4, 4)
-    assert seen(404)[0] == "*/*" and seen(404)[1] == 0
-    sites = calls.variant_sites(aln, refs)
-    assert {r["pos"] for r in sites.where("ref = '*'").collect()} == set(got)
-    flags = {(r["pos"], r["ref"]): r["filter"] for r in variants.filtered_variants(sites).collect()}
-    assert flags[104, "*"] == "Q" and flags[204, "*"] == "U" and flags[198, "A"] == "U" and (404, "*") not in flags
-    strict = {(r["pos"], r["ref"]): r["filter"] for r in variants.filtered_variants(sites, S=256, i=20).collect()}
-    assert strict[204, "*"] == "i" and strict[198, "A"] == "s" and strict[304, "*"] == "U"
-
-
 def test_headers_merge_and_conflict(spark):
     lines = spark.createDataFrame([("RG", {"ID": "a", "LB": "l"}), ("RG", {"ID": "a", "SM": "s"}), ("CO", {"x": "y"}), ("CO", {"x": "y"})], "type string, tags map<string,string>")
     got = sorted((r["type"], sorted(r["tags"].items())) for r in sorting.merged_headers(lines).collect())
