@@ -24,25 +24,37 @@ def with_qualities(aln: DataFrame) -> DataFrame:
 def elements(aln: DataFrame) -> DataFrame:
     """One row per read and covered position: base, quality, strand, deletion, head, tail and the indel that follows.
 
-    Base qualities come from ``qual`` (phred + 33) where the input has it, else from the record number.
+    Base qualities come from ``qual`` (phred + 33) where the input has it, else from the record number. Each operation gets
+    its own bases and qualities as arrays before these are opened, so no element carries its read's.
     """
+    known = "qual" in aln.columns
     ops = aln.withColumn("ops", C.walked(C.operations("cigar")))
-    at = ops.select("tid", "pos", "rec_no", "flag", "mapq", "seq", *(["qual"] if "qual" in aln.columns else []), "ops", F.posexplode("ops").alias("i", "x"))
+    at = ops.select("tid", "pos", "rec_no", "flag", "mapq", "seq", *(["qual"] if known else []), "ops", F.posexplode("ops").alias("i", "x"))
     before, after = F.get("ops", F.col("i") - 1), F.get("ops", F.col("i") + 1)
     follows = F.when(after["op"] == "I", after["len"]).when(after["op"] == "D", -after["len"]).otherwise(0)
     opens = before.isNull() | before["op"].isin("N", "S", "H")
     closes = after.isNull() | after["op"].isin("N", "S", "H")
-    at = at.where(F.col("x.op").isin("M", "D")).withColumns({"follows": follows, "opens": opens, "closes": closes}).drop("ops")
-    at = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("x.len") - 1)))
+    at = at.where(F.col("x.op").isin("M", "D"))
     deleted = F.col("x.op") == "D"
-    qpos = F.when(deleted, F.col("x.query")).otherwise(F.col("x.query") + F.col("j"))
-    final = ~deleted & (F.col("j") == F.col("x.len") - 1)
-    quality = F.ascii(F.substring("qual", qpos + 1, F.lit(1))) - 33 if "qual" in aln.columns else 20 + (F.col("rec_no") + qpos) % 20
+    # a deletion has its read's next base's quality all along; letters that a read lacks are empty
+    letters = lambda text: F.split(F.rpad(F.substring(text, F.col("x.query") + 1, F.col("x.len")), F.col("x.len"), F.lit(" ")), "")
+    bases = F.when(deleted, F.array_repeat(F.lit(""), F.col("x.len"))).otherwise(letters("seq"))
+    qualities = F.when(deleted, F.array_repeat(F.substring("qual", F.col("x.query") + 1, F.lit(1)), F.col("x.len"))).otherwise(letters("qual")) if known else None
+    at = at.select(
+        "tid", (F.col("pos") + F.col("x.ref")).alias("begin"), F.col("x.query").alias("query"), F.col("x.len").alias("len"), "rec_no", C.has("flag", C.REVERSE).alias("reverse"), "mapq", deleted.alias("deleted"),
+        (~deleted & opens).alias("opens"), (~deleted & closes).alias("closes"), F.when(deleted, 0).otherwise(follows).cast("bigint").alias("follows"),
+        F.when(~deleted & (follows > 0), F.substring("seq", F.col("x.query") + F.col("x.len") + 1, follows)).alias("inserted"), bases.alias("bases"), *([qualities.alias("qualities")] if known else []),
+    )
+    if known:
+        at = at.select("*", F.posexplode(F.arrays_zip("bases", "qualities")).alias("j", "y")).withColumns({"base": F.col("y.bases"), "baseq": F.ascii("y.qualities") - 33})
+    else:
+        at = at.select("*", F.posexplode("bases").alias("j", "base"))
+    qpos = F.col("query") + F.when(F.col("deleted"), 0).otherwise(F.col("j"))
+    quality = F.col("baseq") if known else 20 + (F.col("rec_no") + qpos) % 20
+    final = F.col("j") == F.col("len") - 1
     return at.select(
-        "tid", (F.col("pos") + F.col("x.ref") + F.col("j")).alias("pos"), "rec_no", C.has("flag", C.REVERSE).alias("reverse"), "mapq", deleted.alias("deleted"),
-        F.when(~deleted, F.substring("seq", qpos + 1, F.lit(1))).alias("base"), quality.cast("bigint").alias("baseq"), qpos.cast("bigint").alias("qpos"),
-        (~deleted & F.col("opens") & (F.col("j") == 0)).alias("head"), (final & F.col("closes")).alias("tail"),
-        F.when(final, F.col("follows")).otherwise(0).cast("bigint").alias("indel"), F.when(final & (F.col("follows") > 0), F.substring("seq", qpos + 2, F.col("follows"))).alias("inserted"),
+        "tid", (F.col("begin") + F.col("j")).alias("pos"), "rec_no", "reverse", "mapq", "deleted", F.when(~F.col("deleted"), F.trim("base")).alias("base"), quality.cast("bigint").alias("baseq"), qpos.cast("bigint").alias("qpos"),
+        (F.col("opens") & (F.col("j") == 0)).alias("head"), (final & F.col("closes")).alias("tail"), F.when(final, F.col("follows")).otherwise(0).cast("bigint").alias("indel"), F.when(final, F.col("inserted")).alias("inserted"),
     )
 
 
