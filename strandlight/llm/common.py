@@ -31,10 +31,12 @@ def remainder(doc_id: str, modulus: int) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder named in ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, one machine) a folder of its own is set.
+    Where the session names none and runs on one machine, as in tests, a folder of its own is set; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return df.checkpoint(eager=True)
 

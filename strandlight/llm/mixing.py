@@ -9,8 +9,10 @@ sum behind that cut works on the counts of rank intervals first and on the rows
 no source is sorted in one task.
 
 Defined results: a null text has size 0 and is taken 0 times; the null source is a source of its own, the
-last; documents of the same id and text rank together by their order of counting and so repeated rows give
-the same multiset of results on each run; an empty table, or one without a word, has targets of 0.
+last; a null id is an id like any other; rows of one id draw apart where their texts differ, and rows alike in id, source
+and text are counted first and numbered then, so each draws by its own number and reruns give the same multiset of
+results; equal ranks go by id; an empty table, or one without a word, has targets of 0; other columns are not read, so
+their names can't clash.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def digest_of(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def targets(sized: DataFrame) -> DataFrame:
     """For each source: ``source_size``, ``source_rows`` and ``target``.
 
@@ -90,9 +96,16 @@ def ranked(sized: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``id_col``, ``source_col``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` for each row."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), F.col("id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
-    sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size")).withColumn("bits", bits))
+    """``id_col``, ``source_col``, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` and ``text_hash`` for each row.
+
+    ``digest_of`` gives the last, by which a caller finds a row's text again.
+    """
+    like = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), digest_of(F.col(text_col)).alias("text_hash"))
+    like = like.groupBy("id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    each = like.select("id", "source", "size", "text_hash", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    draw = F.concat_ws("|", F.lit(SEED), F.col("id").cast("string"), F.col("text_hash").cast("string"), F.col("k").cast("string"))
+    bits = F.conv(F.substring(F.md5(draw.cast("binary")), 1, 13), 16, 10).cast("long")
+    sized = checkpointed(each.select("id", "source", "size", "text_hash", bits.alias("bits")))
     by = checkpointed(solved(sized, targets(sized)))
     # the few sources come to the rows by an equi-join that AQE makes a broadcast when it sees their size
     rows = checkpointed(ranked(sized.join(by.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")).drop("bits"))
@@ -117,8 +130,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = F.col("upto") - F.col("size") / 2 <= F.col("cut_left")
     sure = F.col("rank").isNotNull() & (F.col("cut_fine").isNull() | (F.col("fine") < F.col("cut_fine")))
     rest = placed.where(F.coalesce(F.col("fine") != F.col("cut_fine"), F.lit(True)))
-    names = ["id", "source", "size", "source_size", "target", "whole"]
+    names = ["id", "source", "size", "text_hash", "source_size", "target", "whole"]
     both = rest.select(*names, sure.alias("more")).unionByName(edge.select(*names, taken.alias("more")))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more").cast("long")).otherwise(F.lit(0)).cast("long")
     out = both.withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")

@@ -688,8 +688,40 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(map(tuple, found.select(*columns).collect())) == sorted(tuple(r[i] for i in at) for r in cursor.fetchall())
 
 
-def test_folds_of_null_ids(odd):
-    """No null id is held out, and none is learned from."""
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    assert [r["h"] for r in odd.where("doc_id IS NULL").select(fold.alias("h")).collect()] == [False]
-    assert odd.where("doc_id IS NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).count() == 0
+def test_mixing_rows_alike(spark):
+    """Rows of null ids, of one id and alike in all that is read: the pipeline's stage gives what the mix takes of them."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    rows = []
+    for k in range(400):
+        text = " ".join(["x"] * 3 if rng.random() < 0.5 else [str(rng.randint(0, 9)) for _ in range(rng.choice([3, 10, 50]))])
+        rows.append((None if rng.random() < 0.6 else k // 2, text if rng.random() < 0.95 else None, "en", rng.choice(["a", "a", "a", "b", "c", None]), 1, str(k), 0.0))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 400 and sorted(map(str, mixed)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
+    taken = collections.Counter()
+    for r in mixed:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[r["source"]] - r["target"]) <= 25 for r in mixed)
+    hashes = {r["text"]: r["h"] for r in docs.select("text", mixing.digest_of(F.col("text")).alias("h")).collect()}
+    want, got = collections.Counter(), collections.Counter()
+    for r in mixed:
+        want[r["doc_id"], r["source"], r["text_hash"]] += r["copies"]
+    found = corpus_pipeline.mixed(spark, docs, SF).collect()
+    for r in found:
+        got[r["doc_id"], r["source"], hashes[r["text"]]] += 1
+    assert got == +want and max(collections.Counter(r["spans"] for r in found).values()) <= 2
+
+
+def test_folds_of_null_ids(spark, tmp_path):
+    """No null id is held out by a query of a learned operator, and none is learned from."""
+    from strandlight.llm import queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lost = docs.withColumn("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")))
+    odd = lost.withColumn("lang", F.when(F.col("doc_id").isNull(), F.lit("zz")).otherwise(F.col("lang")))
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op5_language_id(spark, str(tmp_path)).collect()
+    assert len(found) == docs.count() and not any(r["held_out"] for r in found if r["doc_id"] is None)
+    assert "zz" not in {r["lang_pred"] for r in found} and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found if r["doc_id"] is not None)
