@@ -8,7 +8,9 @@ all columns go by their number, so no name can clash with those that a stage wor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, AtomicType
 
@@ -57,12 +59,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, one row a copy."""
+    """Each document as often as the mix takes it, one row a copy.
+
+    Rows alike in id, source and text have the sum of what the mix takes of them, dealt evenly; what is over goes to the first ones.
+    """
     own, c = numbered(docs)
     i, text, source = c["doc_id"], c["text"], c["source"]
-    taken = mixing.mix(own, i, text, source).where("copies > 0").groupBy(F.col(i).alias("of_id"), F.col(source).alias("of_source"), F.col("size").alias("of_size")).agg(F.max("copies").cast("int").alias("copies"))
-    same = F.col(i).eqNullSafe(F.col("of_id")) & F.col(source).eqNullSafe(F.col("of_source")) & (mixing.size_of(text) == F.col("of_size"))
-    return own.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own.columns).toDF(*docs.columns)
+    taken = mixing.mix(own, i, text, source).where("copies > 0")
+    taken = taken.groupBy(F.col(i).alias("of_id"), F.col(source).alias("of_source"), F.col("text_hash").alias("of_hash"), F.col("size").alias("of_size")).agg(F.sum("copies").alias("sum"))
+    like = own.groupBy(F.col(i).alias("of_id"), F.col(source).alias("of_source"), mixing.digest_of(F.col(text)).alias("of_hash"), mixing.size_of(text).alias("of_size")).agg(F.count(F.lit(1)).alias("rows"))
+    key = ["of_id", "of_source", "of_hash", "of_size"]
+    alike = lambda a, b: reduce(Column.__and__, (a[k].eqNullSafe(b[k]) for k in key))
+    sums = taken.join(like, alike(taken, like)).select(*[taken[k] for k in key], "sum", "rows")
+    same = F.col(i).eqNullSafe(F.col("of_id")) & F.col(source).eqNullSafe(F.col("of_source")) & (mixing.digest_of(F.col(text)) == F.col("of_hash")) & (mixing.size_of(text) == F.col("of_size"))
+    met = checkpointed(own.join(sums, same).withColumn("part", F.spark_partition_id()))
+    even = met.where(F.col("sum") % F.col("rows") == 0).withColumn("times", F.col("sum") / F.col("rows"))
+    # rows alike are numbered part by part, so that no task gets all of them
+    odd = met.where(F.col("sum") % F.col("rows") != 0)
+    parts = odd.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(k).alias(f"part_{k}") for k in key], F.col("part").alias("part_no"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("earlier"))
+    placed = odd.join(parts, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"part_{k}")) for k in key)) & (F.col("part") == F.col("part_no")))
+    nth = F.col("earlier") + F.row_number().over(Window.partitionBy(*key, "part").orderBy(F.lit(0)))
+    over = placed.withColumn("times", F.floor(F.col("sum") / F.col("rows")) + (nth <= F.col("sum") % F.col("rows")).cast("int"))
+    both = even.select(*own.columns, F.col("times").cast("int")).unionByName(over.select(*own.columns, F.col("times").cast("int")))
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times")))).where("copy > 0").select(*own.columns).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
