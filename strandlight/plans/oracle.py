@@ -288,3 +288,9 @@ _add("from_novoalign", f"""SELECT qname, CAST(3 + CASE WHEN m = 1 THEN 64 ELSE 1
 _add("first_base_calls", """SELECT e.tid, e.pos, substring(r.bases, e.pos + 1, 1) AS ref, coalesce(upper(base), 'N') AS cons, baseq AS cons_q, least(mapq, 60) AS rms_q, depth
   FROM (SELECT *, count(*) OVER (PARTITION BY tid, pos) AS depth, row_number() OVER (PARTITION BY tid, pos ORDER BY rec_no) AS k FROM elem) e JOIN refs r ON r.tid = e.tid WHERE k = 1""", "elem")
 _add("frag_mode_counts", "SELECT rg, count(*) FILTER (pair_mode IN (1, 5)) AS valid, count(*) FILTER (pair_mode NOT IN (1, 5)) AS invalid FROM modes GROUP BY rg", "modes")
+
+_CTE["named"] = """named AS (SELECT tid AS n, replace(rname, ' ', '_') AS rname, bases FROM refs UNION ALL SELECT sp_id + 1000, name, bases FROM specials)"""
+_add("fasta_index", """SELECT rname, CAST(size AS BIGINT) AS length, CAST(sum(bytes) OVER (ORDER BY n) - bytes + head AS BIGINT) AS "offset", CAST(least(60, size) AS BIGINT) AS line_blen, CAST(least(60, size) + 1 AS BIGINT) AS line_len
+  FROM (SELECT *, head + size + (size + 59) // 60 AS bytes FROM (SELECT n, rname, length(bases) AS size, length('>' || rname || ' number ' || n) + 1 AS head FROM named))""", "named")
+_add("fasta_fetch", f"""SELECT a.rec_no, md5(substring(r.bases, greatest(a.pos - 10, 0) + 1, CAST(least({_end("a.pos", "a.cigar")} + 10, r.len) - greatest(a.pos - 10, 0) AS BIGINT))) AS bases_md5
+  FROM aln a JOIN refs r ON r.tid = a.tid WHERE a.cigar <> '*' AND a.rec_no % 7 = 0""")

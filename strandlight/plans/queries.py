@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlight.functions import cigar as C
 from strandlight.operators import calls, dedup, filters, pairing, pileup, realign, rescue, seeds, sorting, stats, variants
 from strandlight.plans.fixtures import aln, refs, special_refs
-from strandlight.sources import convert, sam
+from strandlight.sources import convert, fasta, sam
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,6 +354,29 @@ def fasta_slice(spark, sf_dir):
     return near.select("qname", "m", F.concat("ref", F.substring("ref_next", 1, 19)).alias("bases"))
 
 
+def _fasta_lines(spark: SparkSession, sf_dir: str):
+    """The references and the library as lines of one FASTA file, seven to a split, names of whole headers."""
+    known = refs(spark, sf_dir).select("tid", F.translate("rname", " ", "_").alias("rname"), "bases").unionByName(special_refs(spark, sf_dir).select((F.col("sp_id") + 1000).alias("tid"), F.col("name").alias("rname"), "bases"))
+    text = fasta.wrapped(known.select("tid", F.concat("rname", F.lit(" number "), "tid").alias("rname"), "bases"), keep=["tid"])
+    rows = text.select("tid", F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    ranks = sorting.ranked(rows, [F.col("tid").asc(), F.col("line").asc()])
+    split = F.floor(F.col("rank") / 7)
+    return ranks.select(F.lit("made.fa").alias("path"), split.alias("split"), "rank", "value").repartition("path", "split").sortWithinPartitions("path", "split", "rank")
+
+
+@query
+def fasta_index(spark, sf_dir):
+    return fasta.index(fasta.placed(fasta.pieces(_fasta_lines(spark, sf_dir)))).select("rname", "length", "offset", "line_blen", "line_len")
+
+
+@query
+def fasta_fetch(spark, sf_dir):
+    """What every seventh mapped read spans and ten bases on either side, by name and place."""
+    reads = aln(spark, sf_dir).where("tid >= 0 AND cigar <> '*' AND rec_no % 7 = 0").join(refs(spark, sf_dir).select("tid", F.translate("rname", " ", "_").alias("rname")), "tid")
+    slices = reads.select("rec_no", "rname", (F.col("pos") - 10).alias("begin"), (C.end_of("pos", "cigar") + 10).alias("end"))
+    return fasta.fetched(_fasta_lines(spark, sf_dir), slices).select("rec_no", F.md5("bases").alias("bases_md5"))
+
+
 @query
 def kmer_index(spark, sf_dir):
     return seeds.index_counts(aln(spark, sf_dir).where("flag & 4 = 4"), "rec_no", "seq")

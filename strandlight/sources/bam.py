@@ -1,7 +1,13 @@
-"""Binary alignments as a Spark data source: ``spark.read.format("strand_bam").load(path)`` and its writer.
+"""Binary alignments: ``read(spark, path)``, and a data source ``strand_bam`` with a writer.
 
-Files are sequences of independently compressed blocks of at most 64 kB. A file is one partition, decoded block by
-block as a stream; the header's sequence names travel with each row.
+Files are sequences of independently compressed blocks of at most 64 kB, and records may lie across blocks. ``read`` splits
+files by byte ranges in any file system that Spark reads: every block begins with the same sixteen bytes, at which
+Spark's reader of lines cuts, each in the split where it begins. A task inflates its split's blocks, finds the first
+record that begins in them and decodes from there. The bytes before it, and those of the last record that lies
+across the split's end, are fragments; joined along the file they must be whole records, so a record's start that
+was found wrongly can't pass. Each file is passed twice, once for its fragments, which are small.
+
+The data source decodes a file as one stream and reads local or mounted folders only.
 """
 
 from __future__ import annotations
@@ -15,7 +21,9 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "qname string, flag int, tid int, rname string, pos int, mapq int, cigar string, mtid int, mpos int, isize int, seq string, qual string, tags map<string,string>"
@@ -24,6 +32,12 @@ BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f", "d": "d"}
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BLOCK = 0xFF00
+#: Fixed value: what a block begins with, up to its size.
+BLOCK_HEAD = bytes.fromhex("1f8b08040000000000ff060042430200")
+#: Bytes of a record's fixed part; records in a row that must fit where one is taken to begin, and bytes it may be long.
+CORE, CHAIN, LONGEST = 32, 8, 1 << 26
+_LETTERS = str.maketrans("0123456789abcdef", BASES)
+_QUALITY = bytes(min(q + 33, 255) for q in range(256))
 
 
 def blocks(file) -> Iterator[bytes]:
@@ -39,18 +53,22 @@ class Stream:
     """Bytes of consecutive blocks."""
 
     def __init__(self, file):
-        self.blocks, self.held = blocks(file), b""
+        self.blocks, self.held, self.at = blocks(file) if hasattr(file, "read") else file, b"", 0
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n:
-            more = next(self.blocks, None)
-            if more is None:
-                if self.held:
-                    raise ValueError("the file is truncated")
-                return b""
-            self.held += more
-        out, self.held = self.held[:n], self.held[n:]
-        return out
+        if len(self.held) - self.at < n:
+            parts, size = [self.held[self.at :]], len(self.held) - self.at
+            while size < n:
+                more = next(self.blocks, None)
+                if more is None:
+                    if size:
+                        raise ValueError("the file is truncated")
+                    return b""
+                parts.append(more)
+                size += len(more)
+            self.held, self.at = b"".join(parts), 0
+        self.at += n
+        return self.held[self.at - n : self.at]
 
     def number(self) -> int:
         return struct.unpack("<i", self.take(4))[0]
@@ -64,17 +82,17 @@ def header(stream: Stream) -> tuple[str, list[tuple[str, int]]]:
     return text, [(stream.take(stream.number())[:-1].decode(), stream.number()) for _ in range(stream.number())]
 
 
-def decoded(data: bytes, refs: list[tuple[str, int]]) -> tuple:
+def decoded(data: bytes, refs: list[tuple[str, int]] | None) -> tuple:
     tid, pos, packed, flags, size, mtid, mpos, isize = struct.unpack_from("<iiIIiiii", data)
     at, names, ops = 32, packed & 0xFF, flags & 0xFFFF
     qname = data[at : at + names - 1].decode()
     at += names
     cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{ops}I", data, at)) or "*"
     at += 4 * ops
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in data[at : at + (size + 1) // 2])[:size]
+    seq = data[at : at + (size + 1) // 2].hex().translate(_LETTERS)[:size]
     at += (size + 1) // 2
     quality = data[at : at + size]
-    qual = None if not size or quality[0] == 0xFF else "".join(chr(q + 33) for q in quality)
+    qual = None if not size or quality[0] == 0xFF else quality.translate(_QUALITY).decode("latin-1")
     at, tags = at + size, {}
     while at < len(data):
         tag, kind, at = data[at : at + 2].decode(), chr(data[at + 2]), at + 3
@@ -86,7 +104,168 @@ def decoded(data: bytes, refs: list[tuple[str, int]]) -> tuple:
         else:
             value, at = str(struct.unpack_from("<" + NUMBERS[kind], data, at)[0]), at + struct.calcsize(NUMBERS[kind])
         tags[tag] = f"{'i' if kind in 'cCsSiI' else kind}:{value}"
-    return qname, flags >> 16, tid, refs[tid][0] if tid >= 0 else None, pos, packed >> 8 & 0xFF, cigar, mtid, mpos, isize, seq or None, qual, tags
+    return qname, flags >> 16, tid, refs[tid][0] if refs and tid >= 0 else None, pos, packed >> 8 & 0xFF, cigar, mtid, mpos, isize, seq or None, qual, tags
+
+
+def inflated(body: bytes) -> bytes:
+    """A block's content from its bytes behind BLOCK_HEAD."""
+    if len(body) < 10 or struct.unpack_from("<H", body)[0] + 1 != len(body) + len(BLOCK_HEAD):
+        raise ValueError("not a block-compressed file, or one that is truncated")
+    return zlib.decompress(body[2:-8], -15)
+
+
+def fits(data: bytes, at: int, n_refs: int) -> int:
+    """The end of the record at ``at``, whose fixed part is in ``data``, if it can be one, else -1; it may lie beyond ``data``."""
+    size, tid, pos, packed, flags, n, mtid, mpos, _ = struct.unpack_from("<iiiIIiiii", data, at)
+    name, ops = packed & 0xFF, flags & 0xFFFF
+    least = CORE + name + 4 * ops + (n + 1) // 2 + n
+    if not (least <= size <= LONGEST and -1 <= tid < n_refs and -1 <= mtid < n_refs and pos >= -1 and mpos >= -1 and name and n >= 0):
+        return -1
+    begin = at + 4 + CORE
+    if begin + name <= len(data):
+        text = data[begin : begin + name]
+        if text[-1] or not all(33 <= c <= 126 for c in text[:-1]):
+            return -1
+    if begin + name + 4 * ops <= len(data) and any(x & 15 > 8 for x in struct.unpack_from(f"<{ops}I", data, begin + name)):
+        return -1
+    return at + 4 + size
+
+
+def first_record(data: bytes, n_refs: int, whole: bool) -> int | None:
+    """Where the first record of ``data`` begins: the first place from which records fit, CHAIN in a row or as many as ``data`` has.
+
+    None where more data may tell otherwise, unless it is ``whole``. Where no record's fixed part fits, none begins, and that is
+    the end of ``data``; records that begin in its last bytes are left to the fragments.
+    """
+    for at in range(len(data) - CORE - 3):
+        end, found = at, 0
+        while end <= len(data) - CORE - 4 and found < CHAIN and (end := fits(data, end, n_refs)) >= 0:
+            found += 1
+        if end >= 0:
+            return at if found == CHAIN or whole else None
+    return len(data) if whole else None
+
+
+def raw_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, split, body): the blocks of files, in order within each split; the one before a file's first block is empty."""
+    found = spark.read.option("lineSep", BLOCK_HEAD.decode("latin-1")).option("encoding", "ISO-8859-1").option("pathGlobFilter", "*.bam").text(path)
+    return found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("body"))
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[bytes]]]:
+    """Each split with the contents of its blocks."""
+    from itertools import groupby
+
+    rows = ((p.as_py(), s.as_py(), b.as_py()) for batch in batches for p, s, b in zip(*batch.columns, strict=True))
+    for key, own in groupby(rows, lambda r: r[:2]):
+        bodies = (r[2] for r in own)
+        if key[1] == 0 and next(bodies):
+            raise ValueError(f"{key[0]} doesn't begin with a compressed block")
+        yield key, map(inflated, bodies)
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text, refs): each file's header and its references, array<struct<name,len>>."""
+
+    def run(batches):
+        schema = pa.schema([("path", pa.string()), ("text", pa.string()), ("refs", pa.list_(pa.struct([("name", pa.string()), ("len", pa.int64())])))])
+        for (name, _), contents in _by_split(batches):
+            text, refs = header(Stream(contents))
+            yield pa.RecordBatch.from_pylist([{"path": name, "text": text, "refs": [{"name": n, "len": size} for n, size in refs]}], schema)
+            for _ in contents:
+                pass
+
+    # a header may be longer than a split, so all of its file's blocks pass through one task, which stops at its end
+    files = raw_blocks(spark, path).where("split = 0")
+    return files.mapInArrow(run, "path string, text string, refs array<struct<name:string,len:bigint>>")
+
+
+def _cut(contents: Iterator[bytes], begins_file: bool, n_refs: int, record) -> tuple[bytes, bytes, bool]:
+    """Passes the whole records of a split to ``record``; (bytes before the first, bytes of the last beyond it, whether any began)."""
+    stream, before = Stream(contents), b""
+    if begins_file:
+        header(stream)
+        data = stream.held[stream.at :]
+    else:
+        data, at = b"", None
+        for more in stream.blocks:
+            data += more
+            if len(data) >= BLOCK and (at := first_record(data, n_refs, False)) is not None:
+                break
+        if at is None:
+            at = first_record(data, n_refs, True)
+        before, data = data[:at], data[at:]
+        if not data:
+            return before, b"", False
+    held = [data]
+    while True:
+        data, at = b"".join(held), 0
+        while len(data) - at >= 4 and len(data) - at >= 4 + (size := struct.unpack_from("<i", data, at)[0]):
+            record(data[at + 4 : at + 4 + size])
+            at += 4 + size
+        held, missing = [data[at:]], 4 if len(data) - at < 4 else 4 + size - (len(data) - at)
+        while missing > 0 and (more := next(stream.blocks, None)) is not None:
+            held.append(more)
+            missing -= len(more)
+        if missing > 0:
+            return before, b"".join(held), True
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the files at ``path`` in the columns of SCHEMA; a file is spread over as many tasks as it has splits."""
+    sizes = {r[0]: r[1] for r in headers(spark, path).select("path", F.size("refs")).collect()}
+    names = headers(spark, path).select("path", F.col("refs.name").alias("names"))
+    rows = "path string, " + SCHEMA
+
+    def records(batches):
+        out = []
+
+        def keep(data):
+            out.append((name, *decoded(data, None)))
+
+        for (name, split), contents in _by_split(batches):
+            _cut(contents, split == 0, sizes[name], keep)
+            while out:
+                yield _batch(out[:4096])
+                del out[:4096]
+
+    def fragments(batches):
+        for (name, split), contents in _by_split(batches):
+            before, after, began = _cut(contents, split == 0, sizes[name], lambda data: None)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([split]), pa.array([before], pa.binary()), pa.array([after], pa.binary()), pa.array([began])], names=["path", "split", "before", "after", "began"])
+
+    def joined(batches):
+        for batch in batches:
+            out = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = 0
+                while at < len(data):
+                    size = struct.unpack_from("<i", data, at)[0] if len(data) - at >= 4 else len(data)
+                    if not CORE <= size <= len(data) - at - 4:
+                        raise ValueError(f"{name} is truncated, or no record begins where one was found")
+                    out.append((name, *decoded(data[at + 4 : at + 4 + size], None)))
+                    at += 4 + size
+            yield _batch(out)
+
+    blocks_ = raw_blocks(spark, path)
+    parts = blocks_.mapInArrow(fragments, "path string, split bigint, before binary, after binary, began boolean")
+    # a record's bytes go on through splits in which none begins; the window passes over one row for each split
+    order = Window.partitionBy("path").orderBy("split")
+    parts = parts.withColumn("group", F.sum(F.col("began").cast("int")).over(order))
+    pieces = parts.select("path", "split", F.explode(F.array(F.struct((F.col("group") - F.col("began").cast("int")).alias("group"), F.lit(0).alias("k"), F.col("before").alias("data")), F.struct("group", F.lit(1).alias("k"), F.col("after").alias("data")))).alias("x"))
+    whole = pieces.groupBy("path", "x.group").agg(F.transform(F.array_sort(F.collect_list(F.struct("split", "x.k", "x.data"))), lambda p: p["data"]).alias("data"))
+    whole = whole.select("path", F.aggregate("data", F.lit(b""), lambda acc, d: F.concat(acc, d)).alias("data"))
+    found = blocks_.mapInArrow(records, rows).unionByName(whole.mapInArrow(joined, rows))
+    named = found.join(F.broadcast(names) if sum(sizes.values()) < 1_000_000 else names, "path")
+    return named.withColumn("rname", F.when(F.col("tid") >= 0, F.get("names", F.col("tid")))).select(*[c.split(" ")[0] for c in SCHEMA.split(", ")])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array([list(m.items()) for m in c] if f.name == "tags" else c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+
+_ARROW = pa.schema([("path", pa.string())] + [(c.split(" ")[0], pa.int32() if c.endswith(" int") else pa.string()) for c in SCHEMA.split(", ")[:-1]] + [("tags", pa.map_(pa.string(), pa.string()))])
 
 
 def encoded(row) -> bytes:
