@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +60,63 @@ def evidence(aln: DataFrame) -> DataFrame:
     return counted.groupBy("tid", "pos").agg(bases("ranked").alias("e"), bases("weights").alias("f"), bases("n").alias("c"), root.alias("rms_q"), F.sum("n").alias("depth"))
 
 
-def consensus(aln: DataFrame) -> DataFrame:
-    """(tid, pos, cons, cons_q, second, next_q, rms_q, depth): best genotype, its lead over the next, that and its lead, root mean square mapping quality."""
-    return called(with_likelihoods(evidence(aln)))
+def consensus(aln: DataFrame, dependent: bool = False) -> DataFrame:
+    """(tid, pos, cons, cons_q, second, next_q, rms_q, depth): best genotype, its lead over the next, that and its lead, root mean square mapping quality.
+
+    With ``dependent`` by the model in which errors depend on each other.
+    """
+    sites = evidence(aln)
+    return called(with_dependent_likelihoods(sites) if dependent else with_likelihoods(sites))
+
+
+def consensus_rows(aln: DataFrame, refs: DataFrame, dependent: bool = False) -> DataFrame:
+    """(tid, pos, ref, cons, cons_q, snp_q, rms_q, depth): the consensus at each site beside the reference.
+
+    ``snp_q`` is its lead over the reference's base, 0 where that is the consensus or unknown: the lead over the next
+    genotype, and where that isn't the reference's, also that one's over the third.
+    """
+    sites = pileup.with_reference(consensus(aln, dependent), refs)
+    lead = F.when(F.col("second") == F.col("ref"), F.col("cons_q")).otherwise(F.least(F.col("cons_q") + F.col("next_q"), F.lit(255)))
+    differs = F.col("ref").isin(*"ACGT") & (F.col("cons") != "N") & (F.col("cons") != F.col("ref"))
+    return sites.select("tid", "pos", "ref", "cons", "cons_q", F.when(differs, lead).otherwise(0).cast("bigint").alias("snp_q"), "rms_q", "depth")
+
+
+def pileup_lines(aln: DataFrame, refs: DataFrame, variants_only: bool = False) -> DataFrame:
+    """(tid, pos, kind, ref, cons, cons_q, snp_q, rms_q, depth, bases, quals, gap): a pileup with consensus, and a second row for each site of gaps.
+
+    Rows of kind 0 are sites, those of kind 1 their gaps, with ``*`` as reference, the genotype as consensus and
+    ``gap``, struct<allele1,allele2,n1,n2,n_other,n_ref,n_unclear>, in place of bases; in order of place and kind one after the
+    other is the text. With ``variants_only`` sites stay whose consensus isn't the reference's or whose gaps are some.
+    """
+    gap = "struct<allele1:string,allele2:string,n1:bigint,n2:bigint,n_other:bigint,n_ref:bigint,n_unclear:bigint>"
+    base = consensus_rows(aln, refs).drop("ref").join(pileup.rows(aln, refs).select("tid", "pos", "ref", F.col("depth").alias("reads"), "bases", "quals"), ["tid", "pos"], "right")
+    # a site of deletions only has no consensus
+    base = base.withColumns({"depth": F.col("reads"), "cons": F.coalesce("cons", F.lit("N")), "cons_q": F.coalesce("cons_q", F.lit(0)), "snp_q": F.coalesce("snp_q", F.lit(0)), "rms_q": F.coalesce("rms_q", F.lit(0))})
+    gaps = realign.indel_genotypes(aln, refs)
+    if variants_only:
+        some = gaps.select("tid", "pos", (F.col("cons") != "*/*").alias("some"))
+        base = base.join(some, ["tid", "pos"], "left").where((F.col("snp_q") > 0) | F.coalesce("some", F.lit(False))).drop("some")
+        gaps = gaps.join(base.select("tid", "pos"), ["tid", "pos"], "left_semi")
+    columns = ["tid", "pos", "kind", "ref", "cons", "cons_q", "snp_q", "rms_q", "depth", "bases", "quals", "gap"]
+    base = base.withColumns({"kind": F.lit(0), "gap": F.lit(None).cast(gap)})
+    gaps = gaps.withColumns({"kind": F.lit(1), "ref": F.lit("*"), "cons_q": F.col("gap_q"), "bases": F.lit(""), "quals": F.lit(""), "gap": F.struct("allele1", "allele2", "n1", "n2", "n_other", "n_ref", "n_unclear")})
+    return base.select(*columns).unionByName(gaps.select(*columns))
+
+
+def gap_likelihood_records(aln: DataFrame, refs: DataFrame) -> DataFrame:
+    """(tid, pos, kind, offset, depth, rms_q, min_lk, lk, indel1, indel2): ``likelihood_records`` and, as kind 1 and offset 0, one for each site of gaps.
+
+    Of a gap ``lk`` has the likelihoods of the two haplotypes and of both, scaled to the least; ``indel1`` and ``indel2`` their lengths.
+    """
+    sites = likelihood_records(aln).withColumns({"kind": F.lit(0), "indel1": F.lit(None).cast("bigint"), "indel2": F.lit(None).cast("bigint")})
+    gaps = realign.indel_genotypes(aln, refs)
+    least = F.array_min("likelihood")
+    byte = lambda x: F.least(F.lit(255), x).cast("bigint")
+    length = lambda a: F.when(F.substring(a, 1, 1) == "+", F.length(a) - 1).when(F.substring(a, 1, 1) == "-", 1 - F.length(a)).otherwise(0).cast("bigint")
+    gaps = gaps.withColumn("least", least).select("tid", "pos", F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("offset"), "depth", "rms_q", byte(F.col("least")).alias("min_lk"), F.transform("likelihood", lambda x: byte(x - F.col("least"))).alias("lk"), length("allele1").alias("indel1"), length("allele2").alias("indel2"))
+    return sites.unionByName(gaps)
+
+
 
 
 def likelihood_records(aln: DataFrame) -> DataFrame:
@@ -89,6 +144,83 @@ def with_likelihoods(sites: DataFrame) -> DataFrame:
     return sites.withColumn("all", all_).withColumn("lk", F.transform(pairs, lambda g: F.col("all") - own(g))).drop("all")
 
 
+#: Least and greatest mean quality, and most reads, of the table of dependency.
+LEAST_MEAN, MOST_MEAN, MOST_READS = 4, 63, 255
+
+
+def dependency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For numbers ``n`` of reads the coefficients of k = 0 to n errors, in millionths, one stretch of n + 1 for each mean quality.
+
+    The k-th error of n weighs by the chance of more than k among n, given k; the more there are, the more the next depends
+    on those before, by the weight of half its rank, as reads come from either strand alike.
+    """
+    factorial = np.array([math.lgamma(i + 1) for i in range(2 * MOST_READS + 1)])
+    weight = THETA ** np.arange(1 + MOST_READS // 2) * (1 - ETA) + ETA
+    weight[0] = 1.0
+    for batch in batches:
+        out = []
+        for n in batch.column(0).to_pylist():
+            k = np.arange(n + 1)
+            by_quality = []
+            for q in range(LEAST_MEAN, MOST_MEAN + 1):
+                e = 10 ** (-q / 10)
+                chance = factorial[n] - factorial[k] - factorial[n - k] + k * math.log(e) + (n - k) * math.log(1 - e)
+                # by logarithms, as many errors of high quality are less likely than any number of 64 bits
+                onward = np.logaddexp.accumulate(chance[::-1])[::-1]
+                more = np.minimum(np.append(np.exp(onward[1:] - onward[:-1]), 0.0), 0.99)
+                f = weight[k >> 1]
+                with np.errstate(divide="ignore"):
+                    earlier = -PHRED * f * np.log(more / e)
+                    last = -PHRED * np.log(1 - np.exp(f * np.log(more)))
+                by_quality.append(np.append(0.0, np.cumsum(earlier[:-1])) + last)
+            out.append(np.round(np.concatenate(by_quality) * UNIT).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["n", "dependency"])
+
+
+def with_dependent_likelihoods(sites: DataFrame) -> DataFrame:
+    """``sites`` with ``lk`` by the model in which errors depend on each other, in millionths.
+
+    A genotype's likelihood has the weighted qualities of the bases it doesn't explain, a coefficient by their number, their mean
+    quality and the depth, and for two bases the chance of their split. The coefficients are one row for each depth up to
+    MOST_READS, a table of fixed size that is broadcast; counts of deeper sites are scaled to it. Last, the base of most
+    weight is made the best of the four genotypes of one base, where it is not so by a clear lead.
+    """
+    spark = sites.sparkSession
+    table = spark.range(1, MOST_READS + 1, 1, 8).toDF("n").mapInArrow(dependency_rows, "n bigint, dependency array<bigint>")
+    total = lambda column: F.aggregate(column, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    scaled = F.transform("c", lambda x: F.when(F.col("all") > MOST_READS, F.floor(254.0 * x / F.col("all") + 0.5)).otherwise(x).cast("bigint"))
+    sites = sites.withColumn("all", total("c")).withColumn("c", scaled).withColumn("n", total("c"))
+    sites = sites.join(F.broadcast(table), "n", "left")
+    factorial = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(2 * MOST_READS + 1)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in GENOTYPES])
+    sums = [total(c).alias(c) for c in ("e", "f", "c")]
+    sites = sites.withColumn("sums", F.struct(*sums))
+
+    def rest(column: str, g: Column) -> Column:
+        one = F.get(column, g["i"])
+        return F.col(f"sums.{column}") - F.when(g["i"] == g["j"], one).otherwise(one + F.get(column, g["j"]))
+
+    def split(g: Column) -> Column:
+        a, b = F.get("c", g["i"]).cast("int"), F.get("c", g["j"]).cast("int")
+        chance = F.get(factorial, a + b) - F.get(factorial, a) - F.get(factorial, b) + (a + b) * math.log(0.5)
+        return F.when(g["i"] == g["j"], F.lit(0)).otherwise(F.round(-PHRED * chance * UNIT)).cast("bigint")
+
+    other = sites.withColumn("other", F.transform(pairs, lambda g: F.struct(rest("e", g).alias("e"), rest("f", g).alias("f"), rest("c", g).alias("c"), split(g).alias("split"))))
+    mean = lambda x: F.least(F.greatest(F.floor(x["e"] / x["f"] + 0.5), F.lit(LEAST_MEAN)), F.lit(MOST_MEAN))
+    coefficient = lambda x: F.get("dependency", ((mean(x) - LEAST_MEAN) * (F.col("n") + 1) + x["c"]).cast("int"))
+    lk = F.transform("other", lambda x: F.greatest(F.when(x["c"] > 0, x["e"] + coefficient(x)).otherwise(0) + x["split"], F.lit(0)).cast("bigint"))
+    found = other.withColumn("raw", lk).drop("dependency", "other", "sums", "all", "n")
+    single = F.array(*[F.get("raw", F.lit(GENOTYPES.index((b, b)))) for b in range(4)])
+    found = found.withColumn("single", single).withColumn("order", F.array_sort(F.zip_with("e", F.sequence(F.lit(0), F.lit(3)), lambda e, b: F.struct((-e).alias("e"), b.alias("b")))))
+    least = F.array_sort(F.zip_with("single", F.sequence(F.lit(0), F.lit(3)), lambda v, b: F.struct(v.alias("v"), b.alias("b"))))
+    found = found.withColumn("least", least)
+    first, second = F.col("least")[0], F.col("least")[1]
+    led = (F.col("order")[0]["e"] < F.col("order")[1]["e"]) & ((first["b"] != F.col("order")[0]["b"]) | (first["v"] + UNIT > second["v"]))
+    better = F.greatest(first["v"] - UNIT, F.lit(0))
+    number = F.get(F.array(*[F.lit(GENOTYPES.index((b, b))) for b in range(4)]), F.col("order")[0]["b"])
+    return found.withColumn("lk", F.when(led, F.transform("raw", lambda x, k: F.when(k == number, better).otherwise(x))).otherwise(F.col("raw"))).drop("raw", "single", "order", "least")
+
+
 def called(sites: DataFrame) -> DataFrame:
     """(tid, pos, cons, cons_q, second, next_q, rms_q, depth) of sites with likelihoods ``lk`` in millionths."""
     prior = int(-PHRED * math.log(2 * HET_RATE / (1 - HET_RATE)) + 0.5)
@@ -171,14 +303,9 @@ def masked_matches(aln: DataFrame, refs: DataFrame, equal: bool = False, max_nm:
 
 
 def variant_sites(aln: DataFrame, refs: DataFrame) -> DataFrame:
-    """Sites whose consensus differs from the reference, and all sites of gaps, in the columns of ``variants.filtered_variants``.
-
-    A site's ``snp_q`` is its consensus' lead over the reference's base: over the next genotype, and where that isn't
-    the reference's, also that one's lead over the third.
-    """
-    sites = pileup.with_reference(consensus(aln), refs)
-    lead = F.when(F.col("second") == F.col("ref"), F.col("cons_q")).otherwise(F.least(F.col("cons_q") + F.col("next_q"), F.lit(255)))
+    """Sites whose consensus differs from the reference, and all sites of gaps, in the columns of ``variants.filtered_variants``."""
     empty = [F.lit("").alias("allele1"), F.lit("").alias("allele2"), F.lit(0).cast("bigint").alias("n1"), F.lit(0).cast("bigint").alias("n2")]
-    snps = sites.where((F.col("cons") != F.col("ref")) & (F.col("cons") != "N")).select("tid", "pos", "ref", "cons", lead.alias("snp_q"), "rms_q", "depth", *empty)
+    sites = consensus_rows(aln, refs).where((F.col("cons") != F.col("ref")) & (F.col("cons") != "N"))
+    snps = sites.select("tid", "pos", "ref", "cons", "snp_q", "rms_q", "depth", *empty)
     gaps = realign.indel_genotypes(aln, refs).select("tid", "pos", F.lit("*").alias("ref"), "cons", "snp_q", "rms_q", "depth", "allele1", "allele2", "n1", "n2")
     return snps.unionByName(gaps)

@@ -11,18 +11,18 @@ from strandlight.functions import cigar as C
 def paired_duplicates(aln: DataFrame) -> DataFrame:
     """``aln`` with ``dropped`` and ``checked``: of pairs of one library, place and size the best by summed quality stays.
 
-    Heads (positive size) decide; the tail mates of a dropped head's name go with it.
+    Heads (positive size) decide; the tail mates of a dropped head's name go with it. Two windows mark the rows themselves, so
+    rows that share a number or a name, as those of merged inputs do, stay as many as they are.
     """
     eligible = (F.col("tid") >= 0) & C.has("flag", C.PAIRED) & ~C.has("flag", C.UNMAPPED | C.MATE_UNMAPPED) & (F.col("tid") == F.col("mtid"))
-    head = eligible & (F.col("isize") > 0)
-    order = Window.partitionBy("lib", "tid", "pos", "isize", "head").orderBy(F.desc("sumq"), "rec_no")
-    marked = aln.withColumns({"head": head, "eligible": eligible})
-    heads = marked.where("head").withColumn("loser", F.row_number().over(order) > 1)
-    lost = heads.where("loser").select("qname").distinct().withColumn("gone", F.lit(True))
-    first = heads.select("rec_no", "loser")
-    found = marked.join(first, "rec_no", "left").join(lost, "qname", "left")
-    dropped = F.when(F.col("head"), F.col("loser")).otherwise(F.col("eligible") & F.coalesce("gone", F.lit(False)))
-    return found.withColumns({"dropped": dropped, "checked": F.col("head")}).drop("head", "eligible", "loser", "gone")
+    marked = aln.withColumns({"eligible": F.coalesce(eligible, F.lit(False)), "checked": F.coalesce(eligible & (F.col("isize") > 0), F.lit(False))})
+    # rows that are no heads have a group each, so that none is large
+    place = ["checked", "lib", "tid", "pos", "isize", F.when(~F.col("checked"), F.xxhash64("qname", "rec_no"))]
+    order = Window.partitionBy(*place).orderBy(F.desc("sumq"), "rec_no", "qname")
+    lost = marked.withColumn("loser", F.col("checked") & (F.row_number().over(order) > 1))
+    gone = F.max("loser").over(Window.partitionBy("qname"))
+    dropped = F.when(F.col("checked"), F.col("loser")).otherwise(F.col("eligible") & F.col("qname").isNotNull() & F.coalesce(gone, F.lit(False)))
+    return lost.withColumn("dropped", dropped).drop("eligible", "loser")
 
 
 def single_duplicates(aln: DataFrame, paired_too: bool = True) -> DataFrame:

@@ -246,12 +246,13 @@ def best_two(reads: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def indel_genotypes(aln: DataFrame, refs: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
-    """(tid, pos, cons, gap_q, snp_q, rms_q, depth, allele1, allele2, n1, n2, n_other, n_ref, n_unclear): the genotype of each site of gaps.
+    """(tid, pos, cons, gap_q, snp_q, rms_q, depth, allele1, allele2, n1, n2, n_other, n_ref, n_unclear,
+    likelihood): the genotype of each site of gaps.
 
     ``allele1`` and ``allele2`` are the two haplotypes that the reads fit best (none is ``*``), ``n1`` and ``n2`` the reads
     whose own alignment shows them, ``n_other`` the rest. Where neither is the haplotype without a gap, ``n_ref`` reads
     fit that better than both, ``n_unclear`` as well as one of them. ``gap_q`` is the genotype's lead over the next, ``snp_q``
-    over that without a gap.
+    over that without a gap; ``likelihood`` has what speaks against either haplotype and against both.
     """
     sites = checkpointed(gap_sites(aln, refs, proposed))
     reads = checkpointed(aligned_anew(aln, sites))
@@ -277,4 +278,5 @@ def indel_genotypes(aln: DataFrame, refs: DataFrame, proposed: DataFrame | None
     return found.select(
         "tid", "pos", cons.alias("cons"), (F.col("ranked")[1]["q"] - F.col("ranked")[0]["q"]).alias("gap_q"), F.greatest(led, F.lit(0)).cast("bigint").alias("snp_q"), "rms_q", "depth",
         one.alias("allele1"), two.alias("allele2"), "n1", "n2", (F.col("depth") - F.col("n1") - F.col("n2")).alias("n_other"), "n_ref", "n_unclear",
+        F.array("q0", "q1", F.col("depth") * 3).alias("likelihood"),
     )

@@ -294,3 +294,6 @@ _add("fasta_index", """SELECT rname, CAST(size AS BIGINT) AS length, CAST(sum(by
   FROM (SELECT *, head + size + (size + 59) // 60 AS bytes FROM (SELECT n, rname, length(bases) AS size, length('>' || rname || ' number ' || n) + 1 AS head FROM named))""", "named")
 _add("fasta_fetch", f"""SELECT a.rec_no, md5(substring(r.bases, greatest(a.pos - 10, 0) + 1, CAST(least({_end("a.pos", "a.cigar")} + 10, r.len) - greatest(a.pos - 10, 0) AS BIGINT))) AS bases_md5
   FROM aln a JOIN refs r ON r.tid = a.tid WHERE a.cigar <> '*' AND a.rec_no % 7 = 0""")
+_add("consensus_rows", f"""SELECT k.tid, k.pos, k.ref, k.cons, k.cons_q, CASE WHEN k.cons IN ('N', k.ref) THEN 0 WHEN k.second = k.ref THEN k.cons_q ELSE least(255, k.cons_q + k.next_q) END AS snp_q, k.rms_q, k.depth
+FROM (SELECT c.tid, c.pos, substring(r.bases, c.pos + 1, 1) AS ref, substring('NACMGRSVTWYHKDBN', b[1].bits + 1, 1) AS cons, least(b[2].v - b[1].v, 255) AS cons_q, substring('NACMGRSVTWYHKDBN', b[2].bits + 1, 1) AS second, least(b[3].v - b[2].v, 255) AS next_q, rms_q, depth
+  FROM (SELECT tid, pos, rms_q, depth, list_sort([{_CALL}]) AS b FROM (SELECT *, least({", ".join(_LK)}) AS low FROM ({_EVIDENCE}))) c JOIN refs r ON r.tid = c.tid) k""", "elem")

@@ -250,6 +250,28 @@ def consensus_call(spark, sf_dir):
     return calls.consensus(masked(spark, sf_dir)).drop("next_q")
 
 
+@query
+def consensus_rows(spark, sf_dir):
+    return calls.consensus_rows(masked(spark, sf_dir), refs(spark, sf_dir))
+
+
+@query
+def dependent_consensus(spark, sf_dir):
+    return calls.consensus_rows(masked(spark, sf_dir), refs(spark, sf_dir), dependent=True)
+
+
+@query
+def pileup_with_gaps(spark, sf_dir):
+    found = calls.pileup_lines(masked(spark, sf_dir), refs(spark, sf_dir))
+    return found.select("tid", "pos", "kind", "ref", "cons", "cons_q", "snp_q", "rms_q", "depth", F.md5("bases").alias("bases_md5"), F.to_json("gap").alias("gap"))
+
+
+@query
+def likelihoods_with_gaps(spark, sf_dir):
+    found = calls.gap_likelihood_records(masked(spark, sf_dir), refs(spark, sf_dir))
+    return found.withColumn("lk", F.array_join("lk", ","))
+
+
 @query
 def likelihood_records(spark, sf_dir):
     found = calls.likelihood_records(masked(spark, sf_dir))
@@ -276,7 +298,7 @@ def variant_filter(spark, sf_dir):
 
 @query
 def indel_genotypes(spark, sf_dir):
-    return realign.indel_genotypes(masked(spark, sf_dir), refs(spark, sf_dir))
+    return realign.indel_genotypes(masked(spark, sf_dir), refs(spark, sf_dir)).withColumn("likelihood", F.array_join("likelihood", ","))
 
 
 @query

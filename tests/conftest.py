@@ -19,3 +19,15 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def stored(spark, tmp_path_factory):
+    """(reads that a pileup takes, references) of the smallest tables, derived once and read from files."""
+    from strandlight.operators import filters
+    from strandlight.plans.fixtures import aln, refs
+
+    folder = tmp_path_factory.mktemp("stored")
+    for name, df in (("reads", filters.pileup_mask(aln(spark, "/root/testdata/sf0.001"))), ("refs", refs(spark, "/root/testdata/sf0.001"))):
+        df.coalesce(4).write.parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/reads"), spark.read.parquet(f"{folder}/refs")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from strandlight.functions import cigar as C
-from strandlight.operators import calls, filters, pairing, pileup, rescue, sorting, stats, variants
+from strandlight.operators import calls, dedup, filters, pairing, pileup, rescue, sorting, stats, variants
 from strandlight.plans.fixtures import aln, refs, special_refs
 from strandlight.sources import bam, fasta, sam
 
@@ -296,3 +296,25 @@ def test_vcf_of_sites(spark):
     got = {r["pos"]: tuple(r)[2:] for r in variants.as_vcf(sites, refs).collect()}
     assert got == {2: ("C", "A,G", 50, "DP=7", "1/2"), 3: ("G", "T", 40, "DP=5", "1/1"), 5: ("A", "IAC", 30, "DP=9", "1/1"), 6: ("C", "D2", 30, "DP=9", "0/1"), 7: ("G", "IT", 30, "DP=9", "0/1"), 8: ("T", "IA,D3", 30, "DP=9", "1/2")}
     assert {r["pos"] for r in variants.as_vcf(sites, refs, indels=False).collect()} == {2, 3} and {r["pos"] for r in variants.as_vcf(sites, refs, snps=False).collect()} == {5, 6, 7, 8}
+
+
+def test_pairs_of_merged_inputs_stay_as_many(spark):
+    """Record numbers and names that two inputs share multiply no row; the worse of two pairs of one place goes with its tail."""
+    rows = [(q, n, 99 if s > 0 else 147, 0, p, 0, s, "l", u) for q, n, p, s, u in (("a", 1, 10, 90, 50), ("a", 2, 70, -90, 50), ("b", 3, 10, 90, 60), ("b", 4, 70, -90, 60), ("c", 5, 11, 90, 60), (None, 6, 10, 90, 5), (None, 7, 70, -90, 5))]
+    both = spark.createDataFrame(rows + rows, "qname string, rec_no long, flag long, tid long, pos long, mtid long, isize long, lib string, sumq long")
+    got = dedup.paired_duplicates(both).collect()
+    assert len(got) == 14 and sorted((str(r["qname"]), r["rec_no"]) for r in got if r["checked"] and not r["dropped"]) == [("b", 3), ("c", 5)]
+    assert {r["rec_no"] for r in got if r["dropped"] and not r["checked"]} == {2, 4} and all(not r["dropped"] for r in got if r["rec_no"] == 7)
+
+
+def test_span_limits_are_a_reads_own():
+    """A short read keeps what it keeps alone, whatever long reads stand beside it."""
+    from strandlight.functions.smith_waterman import LOCAL, align_batch
+
+    rng = random.Random(2)
+    window = "".join(rng.choice("ACGT") for _ in range(300))
+    short, long_ = window[40:55] + window[80:95], window[10:200]
+    own = lambda q: [2 * len(x) for x in q]
+    alone = align_batch([short], [window], LOCAL, own([short]))
+    beside = align_batch([long_, short], [window] * 2, LOCAL, own([long_, short]))
+    assert beside[1] == alone[0] and beside[0]["ops"] and align_batch([short], [window], LOCAL, [5])[0]["ops"] is None

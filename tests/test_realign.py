@@ -6,10 +6,8 @@ import re
 import numpy as np
 from plain import gap_sites, global_align
 from strandlight.functions import global_alignment as G
-from strandlight.operators import calls, filters, realign, variants
-from strandlight.plans.fixtures import aln, refs
+from strandlight.operators import calls, realign, variants
 
-SF = "/root/testdata/sf0.001"
 COLUMNS = ("cons", "gap_q", "snp_q", "rms_q", "depth", "allele1", "allele2", "n1", "n2")
 
 
@@ -64,13 +62,13 @@ def test_pairs_of_one_length_align_as_they_stand():
         assert sorted(wrong[k].tolist()) == bad
 
 
-def test_genotypes_of_the_given_alignments(spark):
+def test_genotypes_of_the_given_alignments(stored):
     """All sites of gaps of one reference."""
-    reads = filters.pileup_mask(aln(spark, SF)).where("tid = 2")
-    ref = refs(spark, SF).where("tid = 2").first()["bases"]
+    reads, refs = stored[0].where("tid = 2"), stored[1]
+    ref = refs.where("tid = 2").first()["bases"]
     plain = [(r["pos"], r["cigar"], r["seq"], [20 + (r["rec_no"] + i) % 20 for i in range(len(r["seq"]))], r["mapq"]) for r in reads.where("flag & 4 = 0").collect()]
     want = gap_sites(plain, ref, realign.SCORES)
-    got = {r["pos"]: tuple(r[c] for c in COLUMNS) for r in realign.indel_genotypes(reads, refs(spark, SF)).collect()}
+    got = {r["pos"]: tuple(r[c] for c in COLUMNS) for r in realign.indel_genotypes(reads, refs).collect()}
     assert len(want) > 90 and got == want
 
 
