@@ -104,16 +104,18 @@ def pileup_lines(aln: DataFrame, refs: DataFrame, variants_only: bool = False) -
 
 
 def gap_likelihood_records(aln: DataFrame, refs: DataFrame) -> DataFrame:
-    """(tid, pos, kind, offset, depth, rms_q, min_lk, lk, indel1, indel2): ``likelihood_records`` and, as kind 1 and offset 0, one for each site of gaps.
+    """(tid, pos, kind, offset, depth, rms_q, min_lk, lk, indel1, indel2, bases1, bases2): ``likelihood_records`` and, as kind 1 and offset 0, one for each site of gaps.
 
-    Of a gap ``lk`` has the likelihoods of the two haplotypes and of both, scaled to the least; ``indel1`` and ``indel2`` their lengths.
+    Of a gap ``lk`` has the likelihoods of the two haplotypes and of both, scaled to the least; ``indel1`` and ``indel2`` are
+    their lengths, ``bases1`` and ``bases2`` what they insert or delete.
     """
-    sites = likelihood_records(aln).withColumns({"kind": F.lit(0), "indel1": F.lit(None).cast("bigint"), "indel2": F.lit(None).cast("bigint")})
+    none = {c: F.lit(None).cast(kind) for c, kind in (("indel1", "bigint"), ("indel2", "bigint"), ("bases1", "string"), ("bases2", "string"))}
+    sites = likelihood_records(aln).withColumns({"kind": F.lit(0)} | none)
     gaps = realign.indel_genotypes(aln, refs)
     least = F.array_min("likelihood")
     byte = lambda x: F.least(F.lit(255), x).cast("bigint")
     length = lambda a: F.when(F.substring(a, 1, 1) == "+", F.length(a) - 1).when(F.substring(a, 1, 1) == "-", 1 - F.length(a)).otherwise(0).cast("bigint")
-    gaps = gaps.withColumn("least", least).select("tid", "pos", F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("offset"), "depth", "rms_q", byte(F.col("least")).alias("min_lk"), F.transform("likelihood", lambda x: byte(x - F.col("least"))).alias("lk"), length("allele1").alias("indel1"), length("allele2").alias("indel2"))
+    gaps = gaps.withColumn("least", least).select("tid", "pos", F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("offset"), "depth", "rms_q", byte(F.col("least")).alias("min_lk"), F.transform("likelihood", lambda x: byte(x - F.col("least"))).alias("lk"), length("allele1").alias("indel1"), length("allele2").alias("indel2"), F.substring("allele1", 2, 1 << 20).alias("bases1"), F.substring("allele2", 2, 1 << 20).alias("bases2"))
     return sites.unionByName(gaps)
 
 

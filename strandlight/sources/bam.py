@@ -333,13 +333,14 @@ class Writer(DataSourceWriter):
     So a task that is repeated leaves nothing twice, and a job that fails leaves nothing.
     """
 
+    suffix = ".bam"
+
     def __init__(self, path: str, options: dict, overwrite: bool):
         self.path, self.text, self.overwrite = path, options.get("header", ""), overwrite
         self.staging = os.path.join(path, f"_temporary-{uuid.uuid4().hex}")
 
     def write(self, rows) -> WriterCommitMessage:
-        os.makedirs(self.staging, exist_ok=True)
-        name = f"part-{uuid.uuid4().hex}.bam"
+        name = self.staged()
         refs = [dict(t.split(":", 1) for t in line.split("\t")[1:]) for line in self.text.splitlines() if line.startswith("@SQ")]
         data = b"BAM\x01" + struct.pack("<i", len(self.text)) + self.text.encode() + struct.pack("<i", len(refs))
         data += b"".join(struct.pack("<i", len(r["SN"]) + 1) + r["SN"].encode() + b"\x00" + struct.pack("<i", int(r["LN"])) for r in refs)
@@ -354,9 +355,13 @@ class Writer(DataSourceWriter):
             file.write(END_BLOCK)
         return Written(name)
 
+    def staged(self) -> str:
+        os.makedirs(self.staging, exist_ok=True)
+        return f"part-{uuid.uuid4().hex}{self.suffix}"
+
     def commit(self, messages: list) -> None:
         if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, "*.bam")):
+            for old in glob.glob(os.path.join(self.path, f"*{self.suffix}")):
                 os.remove(old)
         for message in messages:
             if message is not None:
