@@ -158,5 +158,57 @@ reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id,
 SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) m ON m.doc_id = d.doc_id
+""",
+    "op12_fill_in_middle": r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
+),
+drawn AS (
+  SELECT *, CAST(len(lines) AS BIGINT) AS n, [CAST('0x' || digest[8 * k + 1 : 8 * k + 8] AS BIGINT) FOR k IN [0, 1, 2, 3]] AS h FROM cut
+),
+placed AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+),
+parts AS (
+  SELECT *, array_to_string(lines[1 : a], '') AS prefix, array_to_string(lines[a + 1 : b], '') AS middle, array_to_string(lines[b + 1 :], '') AS suffix FROM placed
+),
+written AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM parts
+),
+marked AS (SELECT doc_id, n, form, prefix, middle, output, strpos(output, '<P>') AS p, strpos(output, '<S>') AS s, strpos(output, '<M>') AS m FROM written)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN output[p + 3 : s - 1] || output[m + 3 :] || output[s + 3 : m - 1] ELSE output[p + 3 : m - 1] || output[m + 3 :] || output[s + 3 : p - 1] END) AS restored_sha256
+FROM marked
+""",
+    # a run of six words and four periods has five words that recur one period on: stretches of such starts are the runs
+    "op13_periodic_runs": r"""
+WITH known AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce([4294967295] || [CAST(unicode(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+           lambda crc, byte: list_reduce([xor(crc, byte)] || range(8), lambda c, step: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295) AS h FROM documents
+),
+chosen AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS times FROM known),
+periods AS (SELECT *, 1 + (n - a) // times AS p FROM chosen),
+words AS (
+  SELECT doc_id, i, CASE WHEN i < a OR a IS NULL THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS word
+  FROM (SELECT doc_id, w, n, a, p, unnest(range(n)) AS i FROM periods)
+),
+grams AS (
+  SELECT doc_id, i, [word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d, lead(word, 4) OVER d] AS g, count(*) OVER (PARTITION BY doc_id) - i >= 5 AS full_
+  FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+),
+pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i WHERE x.full_ AND y.full_),
+stretches AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + 5 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM pairs) GROUP BY doc_id, q, part
+),
+runs AS (SELECT doc_id, s, e - s AS length, min(q) AS q FROM stretches WHERE e - s >= greatest(6, 4 * q) GROUP BY doc_id, s, e),
+best AS (
+  SELECT doc_id, count(*) AS n_runs, first(struct_pack(s := s, length := length, q := q) ORDER BY length DESC, s, q) AS b, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY doc_id
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM runs),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(b.n_runs, 0) AS n_runs, b.b.s AS start, b.b.length AS length, b.b.q AS period, 1000 * b.b.length // b.b.q AS exponent_milli, sha256(coalesce(b.listed, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """,
 }
