@@ -33,7 +33,7 @@ PHRED = 4.343
 #: Penalty of a read that has no base of a haplotype.
 WORST = 1 << 20
 #: Pairs that are aligned side by side.
-SIDE = 4096
+SIDE = 2048
 SCORES = G.Scores(gap_end=0)
 _CODES = np.full(256, G.UNKNOWN, np.uint8)
 _CODES[list(b"ACGTacgt")] = [0, 1, 2, 3, 0, 1, 2, 3]
@@ -226,7 +226,9 @@ def aligned_anew(aln: DataFrame, sites: DataFrame) -> DataFrame:
             lists = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in range(2)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + lists, names=["tid", "pos", "indel", "mapq", "lost", "score"])
 
-    return met.mapInArrow(run, "tid bigint, pos bigint, indel bigint, mapq bigint, lost array<int>, score array<int>")
+    # the program is the costly part: few rows a task, whatever the size of the join before it, and equal reads side by side
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(parts, "tid", "pos", "at").mapInArrow(run, "tid bigint, pos bigint, indel bigint, mapq bigint, lost array<int>, score array<int>")
 
 
 def best_two(reads: DataFrame, sites: DataFrame) -> DataFrame:
