@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandlight.operators.pileup import TILE
 
-PIECE = "path string, split bigint, piece bigint, head string, size bigint, at bigint, first bigint, bases bigint, longest bigint, last bigint, ragged boolean, blank boolean, ends bigint"
+PIECE = "path string, split bigint, piece bigint, head string, size bigint, at bigint, first bigint, bases bigint, longest bigint, last bigint, ragged boolean, lead boolean, blank boolean"
 CHUNK = "path string, split bigint, piece bigint, begin bigint, bases string"
 _GRAPHIC = np.zeros(256, np.int64)
 _GRAPHIC[33:127] = 1
@@ -58,15 +58,15 @@ def pieces(of: DataFrame) -> DataFrame:
 
     ``head`` is the name, ``size`` the bytes, ``at`` where the sequence begins, from the piece's begin (null without
     bases); ``first`` and ``last`` bases of the first and last line that has some, ``longest`` bytes of the first one,
-    ``ragged`` whether lines differ before the last one, ``blank`` whether an empty line ends it, ``ends`` whether a
-    line with bases does (1). Lines that begin with ``;`` are comments.
+    ``ragged`` whether lines differ before the last one, ``lead`` and ``blank`` whether an empty line stands before its first
+    and after its last line with bases. Lines that begin with ``;`` are comments.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, open_ = [], None
 
         def piece(path, split, number, head):
-            return {"path": path, "split": split, "piece": number, "head": head, "size": 0, "at": None, "first": None, "bases": 0, "longest": None, "last": None, "ragged": False, "blank": False, "ends": 0}
+            return {"path": path, "split": split, "piece": number, "head": head, "size": 0, "at": None, "first": None, "bases": 0, "longest": None, "last": None, "ragged": False, "lead": False, "blank": False}
 
         for path, split, begins, text in _split_parts(batches):
             if begins:
@@ -87,17 +87,17 @@ def pieces(of: DataFrame) -> DataFrame:
                 open_["size"] += int(size[a:b].sum())
                 some = np.flatnonzero(n)
                 if not len(some):
-                    open_["blank"] |= bool(len(n)) and open_["at"] is not None
+                    open_["blank"] |= bool(len(n))
                     continue
                 if open_["at"] is None:
-                    open_ |= {"at": int(begin[some[0]]), "first": int(n[some[0]]), "longest": int(wide[some[0]]), "last": int(n[some[0]])}
+                    open_ |= {"at": int(begin[some[0]]), "first": int(n[some[0]]), "longest": int(wide[some[0]]), "last": int(n[some[0]]), "lead": open_["blank"] or bool(some[0])}
                     rest = n[some[0] + 1 : some[-1] + 1]
                 else:
                     # what was the last line is an inner one now
                     open_["ragged"] |= open_["blank"] or open_["last"] != open_["first"]
                     rest = n[: some[-1] + 1]
                 open_["ragged"] |= bool((rest[:-1] != open_["first"]).any()) or bool(len(rest) and rest[-1] > open_["first"])
-                open_ |= {"last": int(n[some[-1]]), "blank": some[-1] + 1 < len(n), "bases": open_["bases"] + int(n.sum()), "ends": 1}
+                open_ |= {"last": int(n[some[-1]]), "blank": some[-1] + 1 < len(n), "bases": open_["bases"] + int(n.sum())}
             if len(done) >= 1024:
                 yield pa.RecordBatch.from_pylist(done, schema)
                 done = []
@@ -126,8 +126,11 @@ def index(found: DataFrame) -> DataFrame:
     A record whose lines differ in length before its last one, or with an empty line between others, raises an error.
     """
     own = Window.partitionBy("path", "record").orderBy("split", "piece")
-    full = found.where("at IS NOT NULL").withColumns({"before_last": F.lag("last").over(own), "before_blank": F.lag("blank").over(own), "line": F.first("first").over(own)})
-    bad = F.col("ragged") | (F.col("first") > F.col("line")) | F.coalesce(F.col("before_blank") | (F.col("before_last") != F.col("line")), F.lit(False))
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    begun = found.withColumns({"gap": F.col("blank") & (F.count("at").over(own) > 0), "inner": F.count("at").over(earlier) > 0})
+    full = begun.withColumn("after_gap", F.coalesce(F.max("gap").over(earlier), F.lit(False))).where("at IS NOT NULL")
+    full = full.withColumns({"before_last": F.lag("last").over(own), "line": F.first("first").over(own)})
+    bad = F.col("ragged") | (F.col("first") > F.col("line")) | (F.col("inner") & (F.col("lead") | F.col("after_gap"))) | F.coalesce(F.col("before_last") != F.col("line"), F.lit(False))
     # within a piece lines were held to its own first one, which is short where it is also the last
     bad = bad | ((F.col("first") != F.col("line")) & (F.col("bases") > F.col("first")))
     of = full.groupBy("path", "record").agg(F.max(bad).alias("bad"), F.sum("bases").alias("length"), F.min_by(F.struct((F.col("offset") + F.col("at")).alias("at"), "first", "longest"), F.struct("split", "piece")).alias("x"))
