@@ -297,3 +297,25 @@ _add("fasta_fetch", f"""SELECT a.rec_no, md5(substring(r.bases, greatest(a.pos -
 _add("consensus_rows", f"""SELECT k.tid, k.pos, k.ref, k.cons, k.cons_q, CASE WHEN k.cons IN ('N', k.ref) THEN 0 WHEN k.second = k.ref THEN k.cons_q ELSE least(255, k.cons_q + k.next_q) END AS snp_q, k.rms_q, k.depth
 FROM (SELECT c.tid, c.pos, substring(r.bases, c.pos + 1, 1) AS ref, substring('NACMGRSVTWYHKDBN', b[1].bits + 1, 1) AS cons, least(b[2].v - b[1].v, 255) AS cons_q, substring('NACMGRSVTWYHKDBN', b[2].bits + 1, 1) AS second, least(b[3].v - b[2].v, 255) AS next_q, rms_q, depth
   FROM (SELECT tid, pos, rms_q, depth, list_sort([{_CALL}]) AS b FROM (SELECT *, least({", ".join(_LK)}) AS low FROM ({_EVIDENCE}))) c JOIN refs r ON r.tid = c.tid) k""", "elem")
+
+_TOLD = """CASE WHEN b.pair_id IS NULL THEN 0 WHEN NOT b.here THEN 8 WHEN b.back THEN 32 ELSE 0 END"""
+_MATE = """CASE WHEN NOT coalesce(b.here, false) THEN '*' WHEN b.name = a.name THEN '=' ELSE b.name END AS mrname, CASE WHEN b.here THEN b.pos ELSE -1 END AS mpos,
+  CAST(CASE WHEN b.here AND b.name = a.name THEN b.five - a.five ELSE 0 END AS BIGINT) AS isize"""
+_CTE["soap"] = "soap AS (SELECT *, rname AS name, true AS here, pos + CASE WHEN back THEN 100 ELSE 0 END AS five FROM hits)"
+_NEEDS["soap"] = ["hits"]
+_add("from_soap", f"""SELECT a.qname, CAST(3 + CASE WHEN a.m = 1 THEN 64 ELSE 128 END + CASE WHEN a.back THEN 16 ELSE 0 END + {_TOLD} AS BIGINT) AS flag, a.name AS rname, a.pos, CAST(CASE WHEN a.n = 0 THEN 30 ELSE 0 END AS BIGINT) AS mapq, a.cigar, {_MATE},
+  md5(a.seq) AS seq_md5, md5(repeat('I', 100)) AS qual_md5, CASE WHEN a.n = 0 THEN '0' ELSE '2' END AS nm, CASE WHEN a.n = 0 THEN '100' ELSE '7A23G68' END AS md
+  FROM soap a LEFT JOIN soap b ON b.pair_id = a.pair_id AND b.m <> a.m""", "soap")
+_CTE["export"] = """export AS (SELECT a.*, (a.flag & 4) = 0 AS here, (a.flag & 16) <> 0 AS back, CAST(a.rec_no % 4 AS INT) AS n, CASE WHEN (a.flag & 4) = 0 THEN replace(r.rname, ' ', '_') || CASE WHEN a.pair_id % 3 = 0 THEN '/c1' ELSE '' END ELSE '*' END AS name,
+  a.pos + CASE WHEN (a.flag & 20) = 16 THEN 100 ELSE 0 END AS five FROM aln a LEFT JOIN refs r ON r.tid = a.tid WHERE a.rec_no % 13 <> 0)"""
+_add("from_gerald", f"""SELECT a.qname || ':1:20:3:4' AS qname, CAST(1 + CASE WHEN a.m = 1 THEN 64 ELSE 128 END + CASE WHEN NOT a.here THEN 4 ELSE CASE WHEN a.back THEN 16 ELSE 0 END + CASE WHEN a.n <> 0 THEN 2 ELSE 0 END END + {_TOLD} AS BIGINT) AS flag,
+  a.name AS rname, CASE WHEN a.here THEN a.pos ELSE -1 END AS pos, CASE WHEN NOT a.here THEN 0 WHEN a.n = 0 THEN a.mapq ELSE a.mapq + 5 END AS mapq,
+  CASE WHEN NOT a.here THEN '*' WHEN a.back THEN ['100M', '100M', '60M2D40M', '67M3I30M'][a.n + 1] ELSE ['100M', '100M', '40M2D60M', '30M3I67M'][a.n + 1] END AS cigar, {_MATE},
+  md5(CASE WHEN a.back THEN {_revcomp("a.seq")} ELSE a.seq END) AS seq_md5, md5(CASE WHEN a.back THEN repeat('#', 40) || repeat('I', 60) ELSE repeat('I', 60) || repeat('#', 40) END) AS qual_md5,
+  CASE WHEN a.h % 3 = 0 THEN 'ACGT' END AS bc, CASE WHEN NOT a.here THEN NULL WHEN a.back THEN ['100', '92T7', '60^GT$40', '46A20^3$30'][a.n + 1] ELSE ['100', '7A92', '40^AC$60', '30^3$20T46'][a.n + 1] END AS xd,
+  CASE WHEN a.here THEN CAST(a.mapq AS VARCHAR) END AS sm, CASE WHEN a.here AND a.n <> 0 THEN CAST(a.mapq + 5 AS VARCHAR) END AS "as", CASE WHEN NOT a.here AND a.pair_id % 2 = 0 THEN '3' END AS h0, CASE WHEN NOT a.here AND a.pair_id % 2 = 0 THEN '1' END AS h2
+  FROM export a LEFT JOIN export b ON b.pair_id = a.pair_id AND b.m <> a.m""", "export")
+_add("from_blast", f"""SELECT qname || '/' || m AS qname, CAST(CASE WHEN back THEN 16 ELSE 0 END AS BIGINT) AS flag, rname, pos, CAST(255 AS BIGINT) AS mapq,
+  CASE WHEN back THEN ['5H90M5H', '5H60M2D30M5H', '5H17M3I70M5H'][CAST(n AS INT) + 1] ELSE ['5H90M5H', '5H30M2D60M5H', '5H70M3I17M5H'][CAST(n AS INT) + 1] END AS cigar,
+  md5(CASE WHEN back THEN {_revcomp("substring(seq, 6, 90)")} ELSE substring(seq, 6, 90) END) AS seq_md5, CAST(mapq + 1 AS VARCHAR) AS score, CASE WHEN n = 0 THEN '1e-10' ELSE '2e-05' END AS expect FROM hits
+  UNION ALL SELECT qname || '/' || m, 0, rname, 6, 255, '4M96H', md5('AAAA'), '20', '0.5' FROM hits WHERE pair_id % 5 = 0""", "hits")

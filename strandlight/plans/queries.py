@@ -587,3 +587,52 @@ def from_novoalign(spark, sf_dir):
 @query
 def first_base_calls(spark, sf_dir):
     return pileup.first_bases(masked(spark, sf_dir), refs(spark, sf_dir))
+
+
+def _with_mates(found: DataFrame, *tags: str) -> DataFrame:
+    return found.select("qname", "flag", "rname", "pos", "mapq", "cigar", "mrname", "mpos", "isize", F.md5("seq").alias("seq_md5"), F.md5("qual").alias("qual_md5"), *[F.col("tags")[k].alias(k.lower()) for k in tags])
+
+
+@query
+def from_soap(spark, sf_dir):
+    """Reads aligned without gaps, with what their mates tell where those are so too."""
+    side = F.when(F.col("m") == 1, "a").otherwise("b")
+    marks = F.when(F.col("n") > 0, "2\tA->7I20\tG->31I20").otherwise("0")
+    line = F.concat_ws("\t", F.concat("qname", F.lit("/"), "m"), "seq", "quality", F.when(F.col("n") == 0, "1").otherwise("3"), side, F.lit("100"), "strand", "rname", (F.col("pos") + 1).cast("string"), marks)
+    return _with_mates(convert.mated(convert.soap(_hits(spark, sf_dir).select(line.alias("value")), True)), "NM", "MD")
+
+
+@query
+def from_gerald(spark, sf_dir):
+    """Every read as a line of its side's export file; one in thirteen failed the filter."""
+    reads = aln(spark, sf_dir).join(F.broadcast(refs(spark, sf_dir)).select("tid", F.translate("rname", " ", "_").alias("rname")), "tid", "left").withColumn("n", F.col("rec_no") % 4)
+    unmapped, empty = C.has("flag", C.UNMAPPED), F.lit("")
+    chrom = F.when(~unmapped, F.col("rname")).when(F.col("pair_id") % 2 == 0, "3:2:1").otherwise("NM")
+    text = {
+        "index": F.when(F.col("h") % 3 == 0, "ACGT").otherwise("0"), "qual": F.lit("h" * 60 + "B" * 40), "contig": F.when(F.col("pair_id") % 3 == 0, "c1").otherwise(""), "md": F.element_at(F.array(*map(F.lit, ("100", "7A92", "40^AC$60", "30^3$20T46"))), (F.col("n") + 1).cast("int")),
+        "both": F.when(F.col("n") == 0, "").otherwise((F.col("mapq") + 5).cast("string")), "passed": F.when(F.col("rec_no") % 13 == 0, "N").otherwise("Y"), "strand": F.when(C.has("flag", C.REVERSE), "R").otherwise("F"),
+    }
+    cells = ["qname", empty, F.lit("1"), F.lit("20"), F.lit("3"), F.lit("4"), text["index"], F.col("m").cast("string"), "seq", text["qual"], chrom, text["contig"], (F.col("pos") + 1).cast("string"), text["strand"], text["md"], F.col("mapq").cast("string"), text["both"], empty, empty, empty, empty, text["passed"]]
+    lines = reads.select("m", F.concat_ws("\t", *cells).alias("value"))
+    return _with_mates(convert.gerald(lines.where("m = 1"), lines.where("m = 2")), "BC", "XD", "SM", "AS", "H0", "H2")
+
+
+@query
+def from_blast(spark, sf_dir):
+    """A report's section for each read: those aligned without gaps have one block or two, the others none."""
+    reads = aln(spark, sf_dir).join(F.broadcast(refs(spark, sf_dir)).select("tid", F.translate("rname", " ", "_").alias("rname")), "tid", "left").withColumn("n", F.col("rec_no") % 3)
+    part = lambda at, n: F.substring("seq", at, n)
+    back, at = C.has("flag", C.REVERSE), lambda n: (F.col("pos") + n).cast("string")
+    first = [F.when(F.col("n") == 1, F.concat(part(6, 30), F.lit(between), part(36, 30))).otherwise(part(6, 60)) for between in ("--", "AC")]
+    second = [part(66, 30), F.when(F.col("n") == 2, F.concat(part(66, 10), F.lit("---"), part(79, 17))).otherwise(part(66, 30))]
+    begins, ends = ((F.when(back, at(a)).otherwise(at(b))) for a, b in ((60, 1), (1, 60)))
+    block = [
+        "\n\n>", "rname", " made up\n          Length = 3200\n\n Score = ", (F.col("mapq") + 0.7).cast("string"), " bits (9), Expect = ", F.when(F.col("n") == 0, "e-10").otherwise("2e-05"), "\n Identities = 1/1\n Strand = Plus / ", F.when(back, "Minus").otherwise("Plus"),
+        "\n\n\nQuery: 6   ", first[0], " 65\n           ||||\nSbjct: ", begins, " ", first[1], " ", begins, "\n\nQuery: 66  ", second[0], " 95\n           ||||\nSbjct: ", ends, " ", second[1], " ", ends, "\n",
+        F.when(F.col("pair_id") % 5 == 0, "\n\n Score = 20.2 bits (10), Expect(2) = 0.5\n Strand = Plus / Plus\n\nQuery: 1 AAAA 4\n         ||||\nSbjct: 7 AAAA 10\n").otherwise(""),
+    ]
+    columns = {"rname"}
+    joined = F.concat(*[F.lit(x) if isinstance(x, str) and x not in columns else F.col(x) if isinstance(x, str) else x for x in block])
+    text = F.concat("qname", F.lit("/"), "m", F.lit("\n         (100 letters)\n\nDatabase: made.fa\n"), F.when(F.col("cigar") == "100M", joined).otherwise("\n ***** No hits found ******\n"))
+    found = convert.blast(reads.select(text.alias("value")), True)
+    return found.select("qname", "flag", "rname", "pos", "mapq", "cigar", F.md5("seq").alias("seq_md5"), F.col("tags")["AS"].alias("score"), F.col("tags")["EV"].alias("expect"))

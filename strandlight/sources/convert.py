@@ -1,11 +1,13 @@
 """Output of other aligners as alignment rows: projections of their text lines (column ``value``).
 
-Each gives qname, flag, rname, pos (0-based), mapq, cigar, seq, qual and tags; mates are joined by strandlight.operators.
+Each gives qname, flag, rname, pos (0-based), mapq, cigar, seq, qual and tags; ``mated`` adds what mates tell each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlight.functions import cigar as C
@@ -168,3 +170,141 @@ def read_groups(samples: DataFrame, experiments: DataFrame, runs: DataFrame) ->
     libraries = parts(experiments, "EXPERIMENT").select(named("EXPERIMENT").alias("experiment"), library.alias("lb"))
     found = parts(runs, "RUN").select(named("RUN").alias("id"), named("EXPERIMENT_REF").alias("experiment"))
     return found.join(libraries, "experiment", "left").withColumn("one", F.lit(1)).join(samples.agg(sample.alias("sm")).withColumn("one", F.lit(1)), "one").select("id", "sm", F.nullif("lb", F.lit("")).alias("lb"))
+
+
+def mated(rows: DataFrame) -> DataFrame:
+    """``rows`` with mrname ("=" on the same reference, "*" without one), mpos (-1 without one), isize and the mate's flags.
+
+    Reads of one name and different sides (first and second read) are mates. Where a name comes more than once on a side, its
+    reads pair in order of reference, place and CIGAR; what is left over, and rows of no name, stay single. A mate with no
+    place gives its flag only. The size runs from the read's 5' end to its mate's; reads that come without
+    bases have the length of their CIGAR. One exchange by name serves both windows.
+    """
+    second = C.has("flag", C.READ2)
+    turn = F.row_number().over(Window.partitionBy("qname", "second").orderBy("rname", "pos", "cigar", "seq"))
+    numbered = rows.where("qname IS NOT NULL").withColumn("second", second).withColumn("turn", turn)
+    length = F.coalesce(F.length("seq"), C.query_length("cigar"))
+    five = F.col("pos") + F.when(C.has("flag", C.REVERSE), length).otherwise(0)
+    own = F.struct("rname", "pos", five.alias("five"), C.has("flag", C.REVERSE).alias("reverse"))
+    order = Window.partitionBy("qname", "turn").orderBy("second")
+    seen = numbered.withColumn("own", own).withColumn("mate", F.coalesce(F.lead("own").over(order), F.lag("own").over(order)))
+    placed, same = F.col("mate.rname") != "*", F.col("mate.rname") == F.col("rname")
+    size = F.when(placed & same, F.col("mate.five") - F.col("own.five")).otherwise(0)
+    told = F.when(F.col("mate").isNull(), 0).when(~placed, C.MATE_UNMAPPED).when(F.col("mate.reverse"), C.MATE_REVERSE).otherwise(0)
+    both = seen.select(
+        *[F.col(c) for c in COLUMNS if c != "flag"], F.col("flag").bitwiseOR(told).cast("bigint").alias("flag"), F.when(placed & same, "=").when(placed, F.col("mate.rname")).otherwise("*").alias("mrname"),
+        F.when(placed, F.col("mate.pos")).otherwise(-1).cast("bigint").alias("mpos"), size.cast("bigint").alias("isize"),
+    )
+    alone = rows.where("qname IS NULL").select(*COLUMNS, F.lit("*").alias("mrname"), F.lit(-1).cast("bigint").alias("mpos"), F.lit(0).cast("bigint").alias("isize"))
+    return both.unionByName(alone)
+
+
+def turned_descriptor(text: Column) -> Column:
+    """A match descriptor of the other strand: its parts in reverse, numbers kept whole, bases complemented, gaps' marks swapped."""
+    return F.translate(F.array_join(F.reverse(F.regexp_extract_all(text, F.lit(r"(\d+|\D)"), F.lit(1))), ""), "ACGT^$", "TGCA$^")
+
+
+def descriptor_cigar(text: Column) -> Column:
+    """CIGAR of a match descriptor: ``^bases$`` are deleted, ``^number$`` inserted, all else are matches and single bases."""
+    def piece(x: Column) -> Column:
+        matches = F.aggregate(F.regexp_extract_all(x, F.lit(r"(\d+|[ACGTN])"), F.lit(1)), F.lit(0), lambda n, y: n + F.coalesce(y.try_cast("int"), F.lit(1)))
+        return (
+            F.when(x.rlike(r"^\^[ACGTN]+\$$"), F.concat((F.length(x) - 2).cast("string"), F.lit("D")))
+            .when(x.rlike(r"^\^\d+\$$"), F.concat(F.substring(x, F.lit(2), F.length(x) - 2), F.lit("I")))
+            .when(matches > 0, F.concat(matches.cast("string"), F.lit("M"))).otherwise("")
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\^[^$]*\$|[^\^]+)"), F.lit(1)), piece), "")
+
+
+def _phred(quality: Column, logodds: bool) -> Column:
+    """Qualities of base 64 as phred + 33; log odds become probabilities by their law first."""
+    codes = range(1 if logodds else 64, 127)
+    level = lambda c: int(33 + 10 * math.log10(1 + 10 ** ((c - 64) / 10)) + 0.499) if logodds else c - 31
+    known = "".join(map(chr, codes))
+    outside = quality.rlike(rf"[^\x{codes[0]:02x}-\x7e]")
+    return F.when(outside, F.raise_error(F.concat(F.lit("a quality outside the scale: "), quality))).otherwise(F.translate(quality, known, "".join(chr(level(c)) for c in codes)))
+
+
+def gerald(lines: DataFrame, second: DataFrame | None = None, keep_failed: bool = False, logodds: bool = False) -> DataFrame:
+    """Export files of one read, or of two with mates: rows as by ``mated``.
+
+    Reads that failed the purity filter are left out, or kept with their flag. With two files each name must stand once in
+    both, under its read's number, else the query raises an error; a mate that is left out tells nothing. Tags: BC, XD (the
+    descriptor as the reference's strand has it), SM, AS, and H0 to H2 of reads with many places. Names come of the
+    machine, run, lane, tile and place in it.
+    """
+    paired = second is not None
+
+    def parsed(text: DataFrame, number: int) -> DataFrame:
+        cells = text.select(F.split("value", "\t", -1).alias("t"))
+        t = lambda i: F.coalesce(F.get("t", F.lit(i)), F.lit(""))
+        given = lambda c: (c != "") & (c != "0")
+        cluster = F.concat_ws(":", t(2), t(3), t(4), t(5))
+        name = F.concat(t(0), F.when(given(t(1)), F.concat(F.lit("_"), t(1))).otherwise(""), F.lit(":"), cluster)
+        back, many = t(13) == "R", t(10).rlike(r"\d+:\d+:\d+")
+        placed = ~t(10).isin("NM", "QC") & ~many & (F.coalesce(t(12).try_cast("bigint"), F.lit(0)) >= 1)
+        seq, qual = F.when(back, F.translate(F.reverse(t(8)), "ACGTacgt", "TGCAtgca")).otherwise(t(8)), F.when(back, F.reverse(t(9))).otherwise(t(9))
+        md = F.when(back, turned_descriptor(t(14))).otherwise(t(14))
+        single, both = (F.coalesce(t(i).try_cast("bigint"), F.lit(0)) for i in (15, 16))
+        best = F.least(F.lit(254), F.greatest(single, both)) if paired else F.least(F.lit(254), single)
+        flag = F.lit((C.PAIRED | (C.READ1 if number == 1 else C.READ2)) if paired else 0) + F.when(t(21) == "Y", 0).otherwise(C.QC_FAIL)
+        flag = flag + F.when(~placed, C.UNMAPPED).otherwise(F.when(back, C.REVERSE).otherwise(0) + (F.when(both > 0, C.PROPER).otherwise(0) if paired else 0))
+        hits = {f"H{k}": F.when(many & ~t(10).isin("NM", "QC"), F.regexp_extract(t(10), r"(\d+):(\d+):(\d+)", k + 1)) for k in range(3)}
+        filled = lambda i: F.when(placed & (t(i) != ""), t(i))
+        tags = _tags(**hits, BC=F.when(given(t(6)), t(6)), XD=F.when(placed, md), SM=filled(15), **({"AS": filled(16)} if paired else {}))
+        return cells.select(
+            name.alias("qname"), flag.cast("bigint").alias("flag"), F.when(placed, F.concat(t(10), F.when(t(11) != "", F.concat(F.lit("/"), t(11))).otherwise(""))).otherwise("*").alias("rname"),
+            F.when(placed, t(12).try_cast("bigint") - 1).otherwise(-1).alias("pos"), F.when(placed, best).otherwise(0).cast("bigint").alias("mapq"),
+            F.when(~placed, "*").when(md.contains("^"), descriptor_cigar(md)).otherwise(F.concat(F.length(seq).cast("string"), F.lit("M"))).alias("cigar"), seq.alias("seq"), _phred(qual, logodds).alias("qual"), tags.alias("tags"),
+            F.lit(number).alias("side"), (t(7) == str(number)).alias("known"), (t(21) == "Y").alias("passed"),
+        )
+
+    rows = parsed(lines, 1)
+    kept = F.lit(True) if keep_failed else F.col("passed")
+    if not paired:
+        return mated(rows.where(kept).select(*COLUMNS))
+    of = Window.partitionBy("qname")
+    rows = rows.unionByName(parsed(second, 2)).withColumns({"one": F.count_if(F.col("side") == 1).over(of), "two": F.count_if(F.col("side") == 2).over(of)})
+    fault = F.when(~F.col("known"), "a read of another number: ").when((F.col("one") != 1) | (F.col("two") != 1), "a name that does not stand once in both files: ")
+    checked = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, "qname")).cast("boolean")).otherwise(kept)
+    return mated(rows.where(checked).select(*COLUMNS))
+
+
+def blast_sections(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of BLAST's text reports, one row a query: files are cut at the lines that name queries, by byte range."""
+    return spark.read.option("lineSep", "\nQuery= ").text(path)
+
+
+def blast(sections: DataFrame, with_bases: bool = False) -> DataFrame:
+    """One row for each alignment block of each query's section: hard clips at both ends, operations from the two gapped rows.
+
+    A section is its query's text from the name on, as ``blast_sections`` cuts it; what stands before a file's first query has
+    no block. Tags are AS (bits, rounded) and EV. Blocks on the other strand are turned, and lie where their last row
+    ends. Sections without a block, empty and null ones give no row. A query of no stated length is an error.
+    """
+    body = F.regexp_replace("value", r"^\s*Query= ", "")
+    heads = sections.where(F.col("value").contains(" bits")).select(F.regexp_extract(body, r"^(\S+)", 1).alias("qname"), F.regexp_replace(F.regexp_extract(body, r"\(([\d,]+)\s+letters\)", 1), ",", "").try_cast("bigint").alias("size"), body.alias("body"))
+    subjects = heads.select("qname", "size", F.explode(F.split("body", r"(?m)(?=^>\S)")).alias("part")).where(F.col("part").startswith(">"))
+    blocks = subjects.select("qname", "size", F.regexp_extract("part", r"^>(\S+)", 1).alias("rname"), F.explode(F.split("part", r"(?m)(?=^.*Score =.*bits.*Expect)")).alias("block"))
+    found = lambda pattern, k: F.regexp_extract_all("block", F.lit(pattern), F.lit(k))
+    score = r"Score =\s+(\S+) bits.+Expect(?:\(\d+\))? = ([^\s,]+)"
+    query, target = r"Query:\s(\d+)\s*(\S+)\s(\d+)", r"Sbjct:\s(\d+)\s*(\S+)\s(\d+)"
+    rows = blocks.select(
+        "qname", "size", "rname", F.regexp_extract("block", score, 1).try_cast("double").alias("bits"), F.regexp_extract("block", score, 2).alias("expect"), F.col("block").rlike(r"Strand = \S+ / Minus").alias("back"),
+        F.get(found(query, 1), F.lit(0)).cast("bigint").alias("first"), F.try_element_at(found(query, 3), F.lit(-1)).cast("bigint").alias("last"), F.array_join(found(query, 2), "").alias("q"), F.array_join(found(target, 2), "").alias("s"),
+        F.get(found(target, 1), F.lit(0)).cast("bigint").alias("begin"), F.try_element_at(found(target, 3), F.lit(-1)).cast("bigint").alias("end"),
+    ).where("bits IS NOT NULL AND first IS NOT NULL")
+    kinds = F.array_join(F.zip_with(F.split("q", ""), F.split("s", ""), lambda a, b: F.when(a == "-", "D").when(b == "-", "I").otherwise("M")), "")
+    clip = lambda n: F.when(n > 0, F.array(F.concat(n.cast("string"), F.lit("H")))).otherwise(F.array().cast("array<string>"))
+    runs = F.transform(F.regexp_extract_all(kinds, F.lit("(M+|D+|I+)"), F.lit(1)), lambda x: F.concat(F.length(x).cast("string"), F.substring(x, 1, 1)))
+    rest = F.when(F.col("size").isNull(), F.raise_error(F.concat(F.lit("a query of no stated length: "), "qname")).cast("bigint")).otherwise(F.col("size") - F.col("last"))
+    pieces = F.concat(clip(F.col("first") - 1), runs, clip(rest))
+    solid = F.translate("q", "-", "")
+    turned = F.translate(F.reverse(solid), "ACGTRYMKacgtrymk", "TGCAYRKMtgcayrkm")
+    bases = F.when(F.col("back"), turned).otherwise(solid) if with_bases else F.lit(None).cast("string")
+    expect = F.when(F.col("expect").startswith("e"), F.concat(F.lit("1"), "expect")).otherwise(F.col("expect"))
+    return rows.select(
+        "qname", F.when(F.col("back"), C.REVERSE).otherwise(0).cast("bigint").alias("flag"), "rname", (F.when(F.col("back"), F.col("end")).otherwise(F.col("begin")) - 1).alias("pos"), F.lit(255).cast("bigint").alias("mapq"),
+        F.array_join(F.when(F.col("back"), F.reverse(pieces)).otherwise(pieces), "").alias("cigar"), bases.alias("seq"), F.lit(None).cast("string").alias("qual"), _tags(AS=F.floor(F.col("bits") + 0.499), EV=expect).alias("tags"),
+    )
