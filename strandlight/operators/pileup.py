@@ -21,15 +21,16 @@ def with_qualities(aln: DataFrame) -> DataFrame:
     return aln.withColumn("qual", F.substring(F.repeat(F.lit(turn), (F.length("seq") / 20 + 2).cast("int")), (F.col("rec_no") % 20 + 1).cast("int"), F.length("seq")))
 
 
-def elements(aln: DataFrame) -> DataFrame:
+def elements(aln: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row per read and covered position: base, quality, strand, deletion, head, tail and the indel that follows.
 
     Base qualities come from ``qual`` (phred + 33) where the input has it, else from the record number. Each operation gets
-    its own bases and qualities as arrays before these are opened, so no element carries its read's.
+    its own bases and qualities as arrays before these are opened, so no element carries its read's. The columns
+    ``carried`` come along.
     """
     known = "qual" in aln.columns
     ops = aln.withColumn("ops", C.walked(C.operations("cigar")))
-    at = ops.select("tid", "pos", "rec_no", "flag", "mapq", "seq", *(["qual"] if known else []), "ops", F.posexplode("ops").alias("i", "x"))
+    at = ops.select(*carried, "tid", "pos", "rec_no", "flag", "mapq", "seq", *(["qual"] if known else []), "ops", F.posexplode("ops").alias("i", "x"))
     before, after = F.get("ops", F.col("i") - 1), F.get("ops", F.col("i") + 1)
     follows = F.when(after["op"] == "I", after["len"]).when(after["op"] == "D", -after["len"]).otherwise(0)
     opens = before.isNull() | before["op"].isin("N", "S", "H")
@@ -41,7 +42,7 @@ def elements(aln: DataFrame) -> DataFrame:
     bases = F.when(deleted, F.array_repeat(F.lit(""), F.col("x.len"))).otherwise(letters("seq"))
     qualities = F.when(deleted, F.array_repeat(F.substring("qual", F.col("x.query") + 1, F.lit(1)), F.col("x.len"))).otherwise(letters("qual")) if known else None
     at = at.select(
-        "tid", (F.col("pos") + F.col("x.ref")).alias("begin"), F.col("x.query").alias("query"), F.col("x.len").alias("len"), "rec_no", C.has("flag", C.REVERSE).alias("reverse"), "mapq", deleted.alias("deleted"),
+        *carried, "tid", (F.col("pos") + F.col("x.ref")).alias("begin"), F.col("x.query").alias("query"), F.col("x.len").alias("len"), "rec_no", C.has("flag", C.REVERSE).alias("reverse"), "mapq", deleted.alias("deleted"),
         (~deleted & opens).alias("opens"), (~deleted & closes).alias("closes"), F.when(deleted, 0).otherwise(follows).cast("bigint").alias("follows"),
         F.when(~deleted & (follows > 0), F.substring("seq", F.col("x.query") + F.col("x.len") + 1, follows)).alias("inserted"), bases.alias("bases"), *([qualities.alias("qualities")] if known else []),
     )
@@ -53,7 +54,7 @@ def elements(aln: DataFrame) -> DataFrame:
     quality = F.col("baseq") if known else 20 + (F.col("rec_no") + qpos) % 20
     final = F.col("j") == F.col("len") - 1
     return at.select(
-        "tid", (F.col("begin") + F.col("j")).alias("pos"), "rec_no", "reverse", "mapq", "deleted", F.when(~F.col("deleted"), F.trim("base")).alias("base"), quality.cast("bigint").alias("baseq"), qpos.cast("bigint").alias("qpos"),
+        *carried, "tid", (F.col("begin") + F.col("j")).alias("pos"), "rec_no", "reverse", "mapq", "deleted", F.when(~F.col("deleted"), F.trim("base")).alias("base"), quality.cast("bigint").alias("baseq"), qpos.cast("bigint").alias("qpos"),
         (F.col("opens") & (F.col("j") == 0)).alias("head"), (final & F.col("closes")).alias("tail"), F.when(final, F.col("follows")).otherwise(0).cast("bigint").alias("indel"), F.when(final, F.col("inserted")).alias("inserted"),
     )
 

@@ -319,3 +319,6 @@ _add("from_blast", f"""SELECT qname || '/' || m AS qname, CAST(CASE WHEN back TH
   CASE WHEN back THEN ['5H90M5H', '5H60M2D30M5H', '5H17M3I70M5H'][CAST(n AS INT) + 1] ELSE ['5H90M5H', '5H30M2D60M5H', '5H70M3I17M5H'][CAST(n AS INT) + 1] END AS cigar,
   md5(CASE WHEN back THEN {_revcomp("substring(seq, 6, 90)")} ELSE substring(seq, 6, 90) END) AS seq_md5, CAST(mapq + 1 AS VARCHAR) AS score, CASE WHEN n = 0 THEN '1e-10' ELSE '2e-05' END AS expect FROM hits
   UNION ALL SELECT qname || '/' || m, 0, rname, 6, 255, '4M96H', md5('AAAA'), '20', '0.5' FROM hits WHERE pair_id % 5 = 0""", "hits")
+_add("called_sites", "SELECT tid, pos, count(*) AS depth, count(*) FILTER (deleted) AS deleted, CAST(sum(baseq) AS BIGINT) AS quality FROM elem GROUP BY tid, pos", "elem")
+_add("called_regions", f"""SELECT g.pair_id AS region, count(*) AS n, CAST(sum(a.mapq) AS BIGINT) AS mapq FROM aln g JOIN aln a ON a.tid = g.tid AND a.pos < g.pos + 120 AND greatest({_end("a.pos", "a.cigar")}, a.pos + 1) > g.pos - 20
+  WHERE g.m = 1 AND g.tid >= 0 AND g.pair_id % 16 = 0 GROUP BY g.pair_id""")

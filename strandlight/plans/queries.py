@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.functions import cigar as C
-from strandlight.operators import calls, dedup, filters, pairing, pileup, realign, rescue, seeds, sorting, stats, variants
+from strandlight.operators import callbacks, calls, dedup, filters, pairing, pileup, realign, rescue, seeds, sorting, stats, variants
 from strandlight.plans.fixtures import aln, refs, special_refs
 from strandlight.sources import convert, fasta, sam
 
@@ -636,3 +637,24 @@ def from_blast(spark, sf_dir):
     text = F.concat("qname", F.lit("/"), "m", F.lit("\n         (100 letters)\n\nDatabase: made.fa\n"), F.when(F.col("cigar") == "100M", joined).otherwise("\n ***** No hits found ******\n"))
     found = convert.blast(reads.select(text.alias("value")), True)
     return found.select("qname", "flag", "rname", "pos", "mapq", "cigar", F.md5("seq").alias("seq_md5"), F.col("tags")["AS"].alias("score"), F.col("tags")["EV"].alias("expect"))
+
+
+@query
+def called_sites(spark, sf_dir):
+    """Depth, deletions and qualities of each site by a function over its reads."""
+
+    def call(tid, pos, pieces):
+        n, deleted, quality = 0, 0, 0
+        for piece in pieces:
+            n, deleted, quality = n + len(piece), deleted + pc.sum(piece["deleted"]).as_py(), quality + pc.sum(piece["baseq"]).as_py()
+        yield n, deleted, quality
+
+    return callbacks.over_sites(masked(spark, sf_dir), call, "depth bigint, deleted bigint, quality bigint")
+
+
+@query
+def called_regions(spark, sf_dir):
+    """Reads and their mapping qualities around each sixteenth pair's first read, by a function over batches."""
+    regions = aln(spark, sf_dir).where("m = 1 AND tid >= 0 AND pair_id % 16 = 0").select(F.col("pair_id").alias("region"), "tid", (F.col("pos") - 20).alias("begin"), (F.col("pos") + 120).alias("end"))
+    parts = callbacks.over_regions(aln(spark, sf_dir), regions, lambda region, reads: [(len(reads), pc.sum(reads["mapq"]).as_py())], "n bigint, mapq bigint")
+    return parts.groupBy("region").agg(F.sum("n").alias("n"), F.sum("mapq").alias("mapq"))
