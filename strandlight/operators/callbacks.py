@@ -15,7 +15,7 @@ from strandlight.functions import cigar as C
 from strandlight.operators import filters, pileup
 
 #: Bases of a cell, the unit in which sites are dealt to tasks; rows of results in a batch.
-CELL, ROWS = 1 << 12, 10_000
+CELL, ROWS = 1 << 10, 10_000
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -75,7 +75,9 @@ def over_sites(aln: DataFrame, call: Callable[[int, int, Iterator[pa.RecordBatch
     if region is not None:
         reads = filters.overlapping(reads, *region)
     last = F.greatest(C.end_of("pos", "cigar") - 1, F.col("pos"))
-    dealt = reads.withColumn("cell", F.explode(F.sequence(F.floor(F.col("pos") / CELL), F.floor(last / CELL)))).repartition("tid", "cell")
+    # a stated number keeps tasks from being merged by the size of reads, as their elements are a hundred times that
+    tasks = int(aln.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = reads.withColumn("cell", F.explode(F.sequence(F.floor(F.col("pos") / CELL), F.floor(last / CELL)))).repartition(tasks, "tid", "cell")
     sites = pileup.elements(dealt, ("cell",)).where(F.floor(F.col("pos") / CELL) == F.col("cell")).drop("cell")
     if region is not None:
         sites = sites.where((F.col("pos") >= region[1]) & (F.col("pos") < region[2]))
