@@ -111,3 +111,28 @@ def as_fastq(aln: DataFrame) -> DataFrame:
     turned = C.has("flag", C.REVERSE)
     qual = [F.when(turned, F.reverse("qual")).otherwise(F.col("qual")).alias("qual")] if "qual" in aln.columns else []
     return aln.select(F.concat("qname", suffix).alias("name"), F.when(turned, C.reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"), *qual)
+
+
+def fastq_text(aln: DataFrame) -> DataFrame:
+    """One ``value`` a read: its name and bases, and its qualities where it has some; reads without bases are left out."""
+    rows = as_fastq(aln).where(F.col("seq").isNotNull() & ~F.col("seq").isin("", "*"))
+    body = F.concat(F.lit("@"), F.coalesce("name", F.lit("")), F.lit("\n"), F.col("seq"))
+    quality = F.when(F.col("qual").isNotNull() & (F.col("qual") != "*"), F.concat(F.lit("\n+\n"), "qual")).otherwise("") if "qual" in rows.columns else F.lit("")
+    return rows.select(F.concat(body, quality).alias("value"))
+
+
+def write_fastq(aln: DataFrame, path: str, shards: int = 20, compression: str = "gzip", mode: str = "errorifexists") -> None:
+    """Reads dealt in turn to ``shards`` files of nearly one size."""
+    fastq_text(aln).repartition(shards).write.mode(mode).option("compression", compression).text(path)
+
+
+def header_checksums(lines: DataFrame) -> DataFrame:
+    """(tid, rname, len, md5) of a header's references; where not every one has a checksum, none has.
+
+    A name that comes twice counts once, with the least of its checksums. A header is short, so one window holds it.
+    """
+    field = lambda tag: F.nullif(F.regexp_extract("value", rf"\t{tag}:([^\t]+)", 1), F.lit(""))
+    found = lines.where(F.col("value").startswith("@SQ\t")).select(field("SN").alias("rname"), field("M5").alias("md5"))
+    known = header_refs(lines).join(found.groupBy("rname").agg(F.min("md5").alias("md5")), "rname", "left")
+    whole = F.min(F.col("md5").isNotNull()).over(Window.partitionBy(F.lit(0)))
+    return known.select("tid", "rname", "len", F.when(whole, F.col("md5")).alias("md5"))
