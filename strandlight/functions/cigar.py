@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,19 @@ def has(flag: str | Column, bits: int) -> Column:
     return (F.col(flag) if isinstance(flag, str) else flag).bitwiseAND(F.lit(bits)) != 0
 
 
+#: Letters of the flag's bits, in their order.
+FLAG_LETTERS = "pPuUrR12sfd"
+
+
+def flag_number(text: Column) -> Column:
+    """A flag's number from decimal, octal (``0``) or hexadecimal (``0x``) digits, else from its letters; others count nothing."""
+    letters = reduce(lambda a, b: a + b, [F.when(text.contains(c), 1 << i).otherwise(0) for i, c in enumerate(FLAG_LETTERS)])
+    return (
+        F.when(text.rlike("^[1-9][0-9]*$"), text.try_cast("bigint")).when(text.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(text, 3, 16), 16, 10).cast("bigint"))
+        .when(text.rlike("^0[0-7]*$"), F.conv(text, 8, 10).cast("bigint")).otherwise(letters.cast("bigint"))
+    )
+
+
 def length_of(cigar: str | Column, ops: str) -> Column:
     """Sum of the lengths of the operations in ``ops``; 0 for ``*`` and null."""
     found = F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{ops}]"), F.lit(1))

@@ -25,19 +25,23 @@ def formatted(aln: DataFrame, refs: DataFrame) -> DataFrame:
     return found.select(F.concat_ws("\t", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cells], tag).alias("value"))
 
 
-def parsed(lines: DataFrame, refs: DataFrame) -> DataFrame:
+def parsed(lines: DataFrame, refs: DataFrame, strict: bool = False) -> DataFrame:
     """Alignments of text lines without headers. A mapped read without a CIGAR becomes unmapped; names unknown are -1.
 
-    ``tags`` maps names to values; ``extra`` has the tags as they stand, with their types.
+    ``tags`` maps names to values; ``extra`` has the tags as they stand, with their types. Flags may be numbers of three
+    bases or letters. ``strict`` raises an error where bases and qualities, or bases and CIGAR, differ in length.
     """
     cell = F.split("value", "\t")
     body = lines.where(~F.col("value").startswith("@"))
     tags = F.transform(F.slice(cell, 12, 1 << 20), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 1 << 20)))
     raw = body.select(
-        cell[0].alias("qname"), F.when(cell[1].startswith("0x"), F.conv(F.substring(cell[1], 3, 9), 16, 10)).otherwise(cell[1]).cast("bigint").alias("flag"), cell[2].alias("rname"), (cell[3].cast("bigint") - 1).alias("pos"),
+        cell[0].alias("qname"), C.flag_number(cell[1]).alias("flag"), cell[2].alias("rname"), (cell[3].cast("bigint") - 1).alias("pos"),
         cell[4].cast("bigint").alias("mapq"), F.regexp_replace(cell[5], "[=X]", "M").alias("cigar"), F.when(cell[6] == "=", cell[2]).otherwise(cell[6]).alias("mname"), (cell[7].cast("bigint") - 1).alias("mpos"),
         cell[8].cast("bigint").alias("isize"), F.when(cell[9] != "*", cell[9]).alias("seq"), F.when(cell[10] != "*", cell[10]).alias("qual"), F.map_from_entries(tags).alias("tags"), F.slice(cell, 12, 1 << 20).alias("extra"),
     )
+    if strict:
+        fault = F.when(F.length("seq") != F.length("qual"), "bases and qualities differ in length: ").when((F.col("cigar") != "*") & (F.length("seq") != C.query_length("cigar")), "bases and CIGAR differ in length: ")
+        raw = raw.where(F.when(fault.isNotNull(), F.raise_error(F.concat(fault, "qname")).cast("boolean")).otherwise(True))
     found = raw.join(_names(refs, "tid", "rname"), "rname", "left").join(_names(refs, "mtid", "mname"), "mname", "left")
     flag = F.when((F.col("cigar") == "*") & (F.col("rname") != "*"), F.col("flag").bitwiseOR(F.lit(C.UNMAPPED))).otherwise(F.col("flag"))
     return found.withColumns({"flag": flag, "tid": F.coalesce("tid", F.lit(-1)), "mtid": F.coalesce("mtid", F.lit(-1))})

@@ -1,6 +1,9 @@
-import gzip
 import glob
+import gzip
 
+import pytest
+
+from strandlight.functions import cigar as C
 from strandlight.sources import sam
 
 
@@ -35,3 +38,23 @@ def test_header_checksums(spark):
     assert found("@HD\tVN:1.0", one, two, "@CO\tM5:no") == [(0, "b", 9, "abc"), (1, "a", 7, "def")]
     assert found(one, "@SQ\tSN:a\tLN:7") == [(0, "b", 9, None), (1, "a", 7, None)]
     assert found("@HD\tVN:1.0") == []
+
+
+def test_flags_as_text(spark):
+    texts = {"0": 0, "83": 83, "0x53": 83, "0X53": 83, "0123": 83, "pPr1": 83, "1r": 80, "12": 12, "08": 0, "pPuUrR12sfd": 2047, "": 0, "p?": 1}
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", C.flag_number(df.t).alias("n")).collect()} == texts
+    back = spark.createDataFrame([(0,), (83,), (2047,)], "flag long")
+    assert [r[0] for r in back.select(C.letters("flag")).collect()] == ["", "pPr1", "pPuUrR12sfd"]
+
+
+def test_strict_lines(spark):
+    refs = spark.createDataFrame([(0, "x", 99)], "tid long, rname string, len long")
+    line = lambda cigar, seq, qual: spark.createDataFrame([("\t".join(["r", "pr1", "x", "5", "9", cigar, "*", "0", "0", seq, qual]),)], "value string")
+    for good in (("2M1S", "ACG", "III"), ("*", "ACG", "III"), ("2M1S", "*", "*"), ("2H3M", "ACG", "*")):
+        assert sam.parsed(line(*good), refs, True).first()["qname"] == "r"
+    assert sam.parsed(line("2M1S", "ACG", "*"), refs).first()["flag"] == 81
+    for bad, text in ((("3M", "ACG", "II"), "qualities"), (("2M", "ACG", "III"), "CIGAR")):
+        with pytest.raises(Exception, match=text):
+            sam.parsed(line(*bad), refs, True).collect()
+        assert sam.parsed(line(*bad), refs).count() == 1
