@@ -175,7 +175,7 @@ def parse_region(text: str) -> tuple[str, int, int]:
 
 def letters(flag: str) -> Column:
     """The flag as letters, in the order of its bits."""
-    return F.concat(*[F.when(has(flag, 1 << i), c).otherwise("") for i, c in enumerate("pPuUrR12sfd")])
+    return F.concat(*[F.when(has(flag, 1 << i), c).otherwise("") for i, c in enumerate(FLAG_LETTERS)])
 
 
 def solexa_to_phred(quality: Column) -> Column:
