@@ -26,6 +26,8 @@ from strandlight.llm.common import WORD, checkpointed
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Two levels of this many rank intervals each come before rows are ranked.
 INTERVALS = 1024
+#: Up to so many sources, one row each, go to the rows as a broadcast; more meet them by a shuffle.
+FEW = 10_000
 SEED = "mix-1"
 
 
@@ -106,9 +108,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     draw = F.concat_ws("|", F.lit(SEED), F.col("id").cast("string"), F.col("text_hash").cast("string"), F.col("k").cast("string"))
     bits = F.conv(F.substring(F.md5(draw.cast("binary")), 1, 13), 16, 10).cast("long")
     sized = checkpointed(each.select("id", "source", "size", "text_hash", bits.alias("bits")))
-    by = checkpointed(solved(sized, targets(sized)))
-    # the few sources come to the rows by an equi-join that AQE makes a broadcast when it sees their size
-    rows = checkpointed(ranked(sized.join(by.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")).drop("bits"))
+    # a row for each source, as in the windows before: one file, however many partitions a shuffle has
+    by = checkpointed(solved(sized, targets(sized)).repartition(1))
+    few = by.count() <= FEW
+    sent = F.broadcast if few else lambda df: df
+    rows = ranked(sized.join(sent(by.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")).drop("bits")
+    # with few sources, ranks cost less to compute again than to write; with many, they are kept from a second shuffle
+    rows = rows if few else checkpointed(rows)
     drawn = rows.where(F.col("rank").isNotNull())
 
     def crossing(counted: DataFrame, interval: str) -> DataFrame:
@@ -117,12 +123,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         summed = counted.withColumn("upto", F.sum("words").over(order)).withColumn("before", F.col("upto") - F.col("words"))
         return summed.where((F.col("before") < F.col("wanted")) & (F.col("upto") >= F.col("wanted")))
 
-    cells = checkpointed(drawn.groupBy("source", "fine").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted")))
+    # a source has one number wanted; as a key it stays in both uses, so that they share one exchange
+    cells = drawn.groupBy("source", "wanted", "fine").agg(F.sum("size").alias("words"))
     coarse = cells.groupBy("source", F.floor(F.col("fine") / INTERVALS).alias("coarse")).agg(F.sum("words").alias("words"), F.first("wanted").alias("wanted"))
     at = crossing(coarse, "coarse").select("source", "coarse", F.col("before").alias("coarse_before"))
     inside = cells.alias("c").join(at.alias("a"), F.expr("c.source <=> a.source AND floor(c.fine / %d) = a.coarse" % INTERVALS)).select("c.source", "fine", "words", F.expr("wanted - coarse_before").alias("wanted"))
     cut = crossing(inside, "fine").select(F.col("source").alias("cut_source"), F.col("fine").alias("cut_fine"), (F.col("wanted") - F.col("before")).alias("cut_left"))
-    placed = rows.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    placed = rows.join(sent(cut), F.col("source").eqNullSafe(F.col("cut_source")), "left")
     edge = placed.where(F.col("fine") == F.col("cut_fine"))
     order = Window.partitionBy("source", "fine").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("upto", F.sum("size").over(order))

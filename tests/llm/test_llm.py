@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -454,6 +455,24 @@ def test_mixing(docs, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_keeps_few_files(spark, docs, odd, monkeypatch):
+    """One table of rows is kept, and one file for all sources; many sources, which meet the rows by a shuffle, have the same mix."""
+    context, confs = spark.sparkContext, {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = lambda: {f for d, _, names in os.walk(context.getCheckpointDir().removeprefix("file:")) for f in (f"{d}/{n}" for n in names if n.startswith("part-"))}
+    mixing.checkpointed(spark.range(1))
+    before, were = kept(), {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        few = [sorted(map(str, mixing.mix(df).collect())) for df in (docs, odd)]
+        assert 0 < len(kept() - before) <= 2 * (23 + 1)
+        monkeypatch.setattr(mixing, "FEW", 0)
+        assert [sorted(map(str, mixing.mix(df).collect())) for df in (docs, odd)] == few
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+
+
 def test_mixing_draws_as_odds_say(spark):
     """Documents of a size are taken as often as their solved inclusion probability; sizes that would pass 1, always."""
     rng = random.Random(12)
