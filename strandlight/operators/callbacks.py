@@ -16,6 +16,8 @@ from strandlight.operators import filters, pileup
 
 #: Bases of a cell, the unit in which sites are dealt to tasks; rows of results in a batch.
 CELL, ROWS = 1 << 10, 10_000
+#: Bases of a cell in which reads and regions meet.
+REGION_CELL = 1 << 9
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -94,12 +96,52 @@ def over_regions(aln: DataFrame, regions: DataFrame, call: Callable[[int, pa.Rec
     """(region, *schema): what ``call(region, reads)`` gives for the reads that overlap rows of ``regions`` (region, tid, begin, end).
 
     A region's reads come in batches, one call each, in any order and task: each read once a region that it overlaps. Calls
-    that count give partial counts, to be added up by the region. No region is held by one task.
+    that count give partial counts, to be added up by the region. Reads and regions are dealt to the tasks of the cells that
+    they touch, not joined row by row: a task keeps its cell's regions, and reads pass in batches by place, from which each
+    region takes its own. They meet in the first cell common to both.
     """
     found, arrow = _schema("region bigint", schema)
-    met = filters.overlapping_regions(aln, regions).select(F.col("region").cast("bigint").alias("region"), *aln.columns)
+    last = F.greatest(C.end_of("pos", "cigar"), F.col("pos") + 1) - 1
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / REGION_CELL), F.floor(F.col(high) / REGION_CELL)))
+    reads = aln.where("tid >= 0").select(F.col("tid").cast("bigint").alias("__tid"), F.lit(1).cast("bigint").alias("__side"), F.col("pos").cast("bigint").alias("__low"), last.cast("bigint").alias("__high"), F.lit(None).cast("bigint").alias("__region"), F.struct(*aln.columns).alias("__read"))
+    spans = regions.where("end > begin AND tid >= 0").select(F.col("tid").cast("bigint").alias("__tid"), F.lit(0).cast("bigint").alias("__side"), F.col("begin").cast("bigint").alias("__low"), (F.col("end") - 1).cast("bigint").alias("__high"), F.col("region").cast("bigint").alias("__region"), F.lit(None).cast(reads.schema["__read"].dataType).alias("__read"))
+    both = spans.unionByName(reads).withColumn("__cell", cells("__low", "__high"))
+    tasks = int(aln.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["__tid", "__cell", "__side"]
+    dealt = both.repartition(tasks, "__tid", "__cell").sortWithinPartitions(*key, "__low", "__high").select(*key, "__low", "__high", "__region", *[F.col("__read")[c].alias(c) for c in aln.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(((*key, *row) for key, reads in _stretches(batches, 1) for row in call(*key, reads)), arrow)
-
-    return met.mapInArrow(run, found)
+        return _batches(_met(_stretches(batches, 3), call), arrow)
+
+    return dealt.mapInArrow(run, found)
+
+
+def _met(stretches: Iterator[tuple[tuple, pa.RecordBatch]], call: Callable[[int, pa.RecordBatch], Iterable[tuple]]) -> Iterator[tuple]:
+    """Rows of ``call`` for stretches ((tid, cell, side), rows (low, high, region, read's columns)): a cell's regions, then its reads."""
+    for (_, cell), group in groupby(stretches, lambda x: x[0][:2]):
+        held, spans = [], None
+        for (_, _, side), rows in group:
+            if side == 0:
+                held.append(np.column_stack([rows.column(k).to_numpy() for k in range(3)]))
+                continue
+            if not held:
+                continue
+            if spans is None:
+                # regions of one place take their reads from a batch once
+                places, number = np.unique(np.concatenate(held)[:, :2], axis=0, return_inverse=True)
+                order = np.argsort(number.ravel(), kind="stable")
+                spans = places, np.split(np.concatenate(held)[order, 2], np.cumsum(np.bincount(number.ravel()))[:-1])
+            low, high = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            reads = rows.select(list(range(3, rows.num_columns)))
+            first = np.searchsorted(low, cell * REGION_CELL)
+            begin, end = spans[0][:, 0], spans[0][:, 1]
+            for k in np.flatnonzero((begin <= high.max()) & (end >= low[0])):
+                # a region from an earlier cell has met the reads from there already
+                a, b = first if begin[k] < cell * REGION_CELL else 0, np.searchsorted(low, end[k], "right")
+                own = np.flatnonzero(high[a:b] >= begin[k]) + a
+                if not len(own):
+                    continue
+                piece = reads.slice(own[0], len(own)) if own[-1] - own[0] + 1 == len(own) else reads.take(pa.array(own))
+                for region in spans[1][k].tolist():
+                    for row in call(region, piece):
+                        yield region, *row

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandlight.functions import cigar as C
+from strandlight.operators import callbacks, filters
 
 
 def test_colours_of_batches(spark):
@@ -15,3 +16,44 @@ def test_colours_of_batches(spark):
     want = lambda t: "".join(str(code[a] ^ code[b]) if a in code and b in code else "." for a, b in zip(t, t[1:]))
     found = spark.createDataFrame([(k, t) for k, t in enumerate(reads)], "k int, seq string").select("k", C.colours("seq").alias("c")).collect()
     assert {r["k"]: r["c"] for r in found} == {k: None if t is None else want(t.upper()) for k, t in enumerate(reads)}
+
+
+def _reads(rng, n, size=2600):
+    return [(rng.randint(-1, 1), rng.randint(0, size), k, rng.choice(["20M", "5M3D5M", "8M700N8M", "*"]), rng.randint(0, 60)) for k in range(n)]
+
+
+READS = "tid long, pos long, rec_no long, cigar string, mapq long"
+
+
+def _overlaps(reads, spans):
+    ends = {"20M": 20, "5M3D5M": 13, "8M700N8M": 716, "*": 1}
+    return [(region, r[2], r[4]) for region, tid, begin, end in spans for r in reads if tid >= 0 and begin < end and r[0] == tid and r[1] < end and r[1] + ends[r[3]] > begin]
+
+
+def test_regions_counted_by_place(spark):
+    """Against every pair, with equal, repeated, empty and long regions; the plan joins counted places, not reads."""
+    rng = random.Random(2)
+    reads = _reads(rng, 400)
+    spans = [(k % 50, rng.randint(0, 1), b := rng.randint(-30, 2600), b + rng.choice([0, 1, 40, 900])) for k in range(60)]
+    spans += [(90, *spans[0][1:]), (91, *spans[1][1:]), (91, *spans[1][1:])]
+    want = {}
+    for region, rec, _ in _overlaps(reads, spans):
+        n, first, last = want.get(region, (0, rec, rec))
+        want[region] = n + 1, min(first, rec), max(last, rec)
+    found = filters.region_counts(spark.createDataFrame(reads, READS), spark.createDataFrame(spans, "region long, tid long, begin long, end long"))
+    assert {r["region"]: (r["n"], r["first"], r["last"]) for r in found.collect()} == want and len(want) > 30
+
+
+def test_region_batches_are_few(spark):
+    """Each read once a region, and calls by batch and region: the reads of a deep place are not one row a region each."""
+    rng = random.Random(3)
+    reads, spans = _reads(rng, 300), [(k, rng.randint(0, 1), b := rng.randint(-30, 2600), b + rng.choice([0, 1, 40, 900])) for k in range(60)]
+    schema = "region long, tid long, begin long, end long"
+    frame = spark.createDataFrame(reads, READS)
+    got = callbacks.over_regions(frame, spark.createDataFrame(spans, schema), lambda region, batch: zip(batch["rec_no"].to_pylist(), batch["mapq"].to_pylist(), strict=True), "rec_no long, mapq long").collect()
+    assert sorted(tuple(r) for r in got) == sorted(_overlaps(reads, spans)) and len(got) > 100
+    deep = spark.range(4000).selectExpr("0L AS tid", "id % 40 AS pos", "id AS rec_no", "'20M' AS cigar", "1L AS mapq")
+    many = spark.range(500).selectExpr("id AS region", "0L AS tid", "id % 20 AS begin", "id % 20 + 30 AS end")
+    plan = callbacks.over_regions(deep, many, lambda region, batch: [(len(batch),)], "n long")
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r["region"] % 20: r["n"] for r in plan.groupBy("region").agg(F.sum("n").alias("n")).collect()} == {b: 100 * (40 - max(0, b - 19) - max(0, 10 - b)) for b in range(20)}
