@@ -20,7 +20,7 @@ CELL, ROWS = 1 << 10, 10_000
 REGION_CELL = 1 << 9
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+def key_stretches(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """(key, rows without it) of the batches' stretches of equal first columns, which are whole numbers without nulls."""
     for batch in batches:
         if not len(batch):
@@ -86,7 +86,7 @@ def over_sites(aln: DataFrame, call: Callable[[int, int, Iterator[pa.RecordBatch
     found, arrow = _schema("tid bigint, pos bigint", schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        called = ((*site, *row) for site, group in groupby(_stretches(batches, 2), lambda x: x[0]) for row in call(*site, _first((piece for _, piece in group), depth)))
+        called = ((*site, *row) for site, group in groupby(key_stretches(batches, 2), lambda x: x[0]) for row in call(*site, _first((piece for _, piece in group), depth)))
         return _batches(called, arrow)
 
     return sites.sortWithinPartitions("tid", "pos", "rec_no").mapInArrow(run, found)
@@ -111,7 +111,7 @@ def over_regions(aln: DataFrame, regions: DataFrame, call: Callable[[int, pa.Rec
     dealt = both.repartition(tasks, "__tid", "__cell").sortWithinPartitions(*key, "__low", "__high").select(*key, "__low", "__high", "__region", *[F.col("__read")[c].alias(c) for c in aln.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(_met(_stretches(batches, 3), call), arrow)
+        return _batches(_met(key_stretches(batches, 3), call), arrow)
 
     return dealt.mapInArrow(run, found)
 

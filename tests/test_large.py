@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandlight.functions import cigar as C
-from strandlight.operators import callbacks, filters
+from strandlight.operators import callbacks, filters, realign
 
 
 def test_colours_of_batches(spark):
@@ -57,3 +57,23 @@ def test_region_batches_are_few(spark):
     plan = callbacks.over_regions(deep, many, lambda region, batch: [(len(batch),)], "n long")
     assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
     assert {r["region"] % 20: r["n"] for r in plan.groupBy("region").agg(F.sum("n").alias("n")).collect()} == {b: 100 * (40 - max(0, b - 19) - max(0, 10 - b)) for b in range(20)}
+
+
+def test_reads_alike_are_aligned_once(spark):
+    """Copies of reads change counts and sums, not the kinds of reads that are aligned, nor the genotypes' letters."""
+    rng = random.Random(5)
+    ref = "".join(rng.choice("ACGT") for _ in range(400))
+    rows = []
+    for k in range(40):
+        pos = rng.randint(0, 340)
+        cigar, seq = rng.choice([("40M", ref[pos : pos + 40]), ("20M2D20M", ref[pos : pos + 20] + ref[pos + 22 : pos + 42]), ("20M1I20M", ref[pos : pos + 20] + "A" + ref[pos + 20 : pos + 40])])
+        rows.append((0, pos, cigar, seq, rng.randint(0, 60), 0, k))
+    schema = "tid long, pos long, cigar string, seq string, mapq long, flag long, rec_no long"
+    reads, known = spark.createDataFrame(rows, schema), spark.createDataFrame([(0, "c", len(ref), ref)], "tid long, rname string, len long, bases string")
+    many = reads.crossJoin(spark.range(3).toDF("copy")).withColumn("rec_no", F.col("rec_no") + 40 * F.col("copy")).drop("copy")
+    assert realign.counted(many).count() == realign.counted(reads).count()
+    one, three = ({r["pos"]: r for r in realign.indel_genotypes(x, known).collect()} for x in (reads, many))
+    assert set(one) == set(three) and len(one) > 10
+    for pos, r in one.items():
+        assert all(three[pos][c] == 3 * r[c] for c in ("depth", "n1", "n2", "n_other", "n_ref", "n_unclear"))
+        assert three[pos]["likelihood"] == [3 * x for x in r["likelihood"]] and (three[pos]["allele1"], three[pos]["allele2"], three[pos]["rms_q"]) == (r["allele1"], r["allele2"], r["rms_q"])
