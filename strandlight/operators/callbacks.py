@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from strandlight.functions import cigar as C
 from strandlight.operators import filters, pileup
+from strandlight.operators.pileup import key_stretches
 
 #: Bases of a cell, the unit in which sites are dealt to tasks; rows of results in a batch.
 CELL, ROWS = 1 << 10, 10_000
@@ -20,21 +21,6 @@ CELL, ROWS = 1 << 10, 10_000
 REGION_CELL = 1 << 9
 
 
-def key_stretches(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """(key, rows without it) of the batches' stretches of equal first columns, which are whole numbers without nulls."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        table = [batch.column(k).to_numpy() for k in range(keys)]
-        changes = np.zeros(len(batch) - 1, bool)
-        for values in table:
-            changes |= values[1:] != values[:-1]
-        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), len(batch)]
-        rest = batch.select(list(range(keys, batch.num_columns)))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield tuple(int(values[a]) for values in table), rest.slice(a, b - a)
-
-
 def _first(pieces: Iterable[pa.RecordBatch], n: int | None) -> Iterator[pa.RecordBatch]:
     """Pieces up to ``n`` rows in all."""
     left = n

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strandlight.functions import cigar as C
 from strandlight.functions import global_alignment as G
 from strandlight.operators import pileup
-from strandlight.operators.callbacks import key_stretches
+from strandlight.operators.pileup import key_stretches
 from strandlight.operators.sorting import checkpointed
 
 #: Bases of the reference on each side of a site that reads are aligned to, and of a cell in which reads and sites meet.
@@ -338,10 +338,8 @@ def counted(aln: DataFrame) -> DataFrame:
 
 def tallied(aln: DataFrame, sites: DataFrame) -> DataFrame:
     """(tid, pos, t): what the reads over each site add up to, ``Cell.sums`` as one array."""
-    blocks = F.filter(C.walked(C.operations("cigar")), lambda x: x["op"].isin("M", "D") & (x["len"] > 0))
     cell = lambda x: F.floor(x / CELL)
-    touched = F.array_distinct(F.flatten(F.transform(blocks, lambda x: F.sequence(cell(F.col("at") + x["ref"]), cell(F.col("at") + x["ref"] + x["len"] - 1)))))
-    reads = checkpointed(counted(aln)).withColumn("cell", F.explode(touched))
+    reads = checkpointed(counted(aln)).withColumn("cell", F.explode(pileup.touched(CELL, "at")))
     loads = reads.groupBy("tid", "cell").agg((F.floor(F.approx_count_distinct(F.xxhash64("at", "cigar", "seq")) / SHARE) + 1).alias("parts"))
     loads = checkpointed(loads)
     reads = reads.join(loads, ["tid", "cell"]).withColumns({"part": F.pmod(F.xxhash64("at", "cigar", "seq"), F.col("parts")), "side": F.lit(1).cast("bigint")}).drop("parts")
