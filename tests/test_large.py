@@ -1,12 +1,15 @@
 """Queries that took too long or too much disk on larger tables: what makes them short, against versions by definition."""
 
+import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandlight.functions import cigar as C
+from strandlight.functions import opened
 from strandlight.operators import callbacks, calls, filters, pileup, realign
 
 
@@ -131,3 +134,26 @@ def test_evidence_counts_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     depth = {(r["tid"], r["pos"]): r["n"] for r in pileup.elements(reads).where("NOT deleted").groupBy("tid", "pos").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {(r["tid"], r["pos"]): r["depth"] for r in found.collect()} == depth
+
+
+@pytest.mark.parametrize(("held", "most"), [(1 << 26, 1 << 21), (1, 200), (1, 3)])
+def test_deep_cells_open_few_sites(monkeypatch, held, most):
+    """Reads in memory or in a file, many sites, few or one opened at once: the same pieces in order, and no file stays."""
+    monkeypatch.setattr(callbacks, "HELD", held)
+    monkeypatch.setattr(callbacks, "OPENED", most)
+    rows = [r[1:] for r in _pileup_reads(random.Random(11), "A" * 240, 60, True)]
+    names = ["pos", "rec_no", "flag", "mapq", "cigar", "seq", "qual"]
+    reads = callbacks._Reads()
+    for first in range(0, len(rows), 13):
+        reads.add(pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows[first : first + 13]]) for k, n in enumerate(names)}))
+    reads.written()
+    got = {pos: [r["rec_no"] for piece in pieces for r in piece.to_pylist()] for pos, pieces in callbacks._sites(reads, 64, 128)}
+    want = {}
+    for r in rows:
+        for x in opened.template(r[4])[0].tolist():
+            if 64 <= r[0] + x < 128:
+                want.setdefault(r[0] + x, []).append(r[1])
+    assert got == want and len(got) > 40
+    name = reads.file and reads.file.name
+    reads.dropped()
+    assert not name or not os.path.exists(name)
